@@ -57,3 +57,10 @@ def ascii_lower(c: Column) -> Column:
 def small_side(df: DataFrame, rows: int) -> DataFrame:
     """`df`, marked for broadcast if it has few enough rows as counted; else as it is, for a shuffled join that adaptive execution splits where keys are hot."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows to an Arrow batch than Spark's default of 10,000, so that a batch of long texts fits beside the JVM. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) > rows:
+        spark.conf.set(key, str(rows))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import line_dedup
+from millrace.llm import line_dedup, toxicity
 
 QUERIES = {
+    "op2_toxicity": toxicity.op2,
     "op4_line_dedup": line_dedup.op4,
 }
 ORACLE = {
