@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import line_dedup, toxicity
+from millrace.llm import language_id, line_dedup, toxicity
 
 QUERIES = {
+    "op1_language_id": language_id.op1,
     "op2_toxicity": toxicity.op2,
     "op4_line_dedup": line_dedup.op4,
 }
