@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import language_id, line_dedup, toxicity
+from millrace.llm import language_id, line_dedup, minhash_dedup, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1,
     "op2_toxicity": toxicity.op2,
     "op4_line_dedup": line_dedup.op4,
+    "op6_minhash_dedup": minhash_dedup.op6,
 }
 ORACLE = {
     "op4_line_dedup": line_dedup.SQL,
