@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from millrace.llm import language_id, line_dedup, minhash_dedup, toxicity
+from millrace.llm import decontaminate, language_id, line_dedup, minhash_dedup, mixing, toxicity
 
 QUERIES = {
     "op1_language_id": language_id.op1,
     "op2_toxicity": toxicity.op2,
     "op4_line_dedup": line_dedup.op4,
     "op6_minhash_dedup": minhash_dedup.op6,
+    "op7_decontaminate": decontaminate.op7,
+    "op8_mixing": mixing.op8,
 }
 ORACLE = {
+    "op8_mixing": mixing.SQL,
+    "op7_decontaminate": decontaminate.SQL,
     "op4_line_dedup": line_dedup.SQL,
 }
