@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,8 +62,25 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows to an Arrow batch than Spark's default of 10,000, so that a batch of long texts fits beside the JVM. A smaller setting stays."""
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package; Spark hands the file out from the driver."""
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        top = Path(__file__).resolve().parent.parent
+        name = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")
+        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        sc.addPyFile(name)
+        _shipped.add(sc.applicationId)
+
+
+def python_ready(spark: SparkSession, rows: int = 1000) -> None:
+    """Before a Python operator: the package is on the workers, and Arrow batches have fewer rows than Spark's default of 10,000, so that a batch of long texts fits beside the JVM. A smaller setting stays."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))

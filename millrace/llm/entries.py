@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontaminate, language_id, line_dedup, minhash_dedup, mixing, toxicity
+from millrace.llm import decontaminate, fingerprints, language_id, line_dedup, minhash_dedup, mixing, toxicity, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1,
@@ -11,8 +11,11 @@ QUERIES = {
     "op6_minhash_dedup": minhash_dedup.op6,
     "op7_decontaminate": decontaminate.op7,
     "op8_mixing": mixing.op8,
+    "op5_warc": warc.op5,
+    "op10_fingerprints": fingerprints.op10,
 }
 ORACLE = {
+    "op5_warc": warc.SQL,
     "op8_mixing": mixing.SQL,
     "op7_decontaminate": decontaminate.SQL,
     "op4_line_dedup": line_dedup.SQL,

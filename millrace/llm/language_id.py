@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, small_batches, table
+from millrace.llm.common import held_out, python_ready, table
 from millrace.llm.text_arrays import code_points, text_groups
 
 DIM, N = 1024, 3
@@ -89,7 +89,7 @@ class Profiles:
 
 def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", usable: Column | None = None, max_train_rows: int = 4000) -> Profiles:
     """Prototypes of the languages among the rows for which `usable` holds, from about max_train_rows rows of each at most."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
@@ -117,7 +117,7 @@ def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
 
 def identify(docs: DataFrame, profiles: Profiles, *, text: str = "text") -> DataFrame:
     """`docs` with lang_pred and score."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     @F.pandas_udf("lang_pred string, score double")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -2,13 +2,13 @@
 
 1. Each whole text becomes its set of k-word shingles, of which leave: the size, a 128-bit sum that is equal for equal sets, and `TOKENS` minwise tokens.
    Documents with equal sets form one class; only its smallest doc_id goes on.
-2. Trees: a document enters `ROOTS` nodes, one for each of its first tokens (ROOTS / BRANCHES independent trees). A node with at most `SMALL` documents
-   is compared exhaustively by the share of equal tokens. A larger one branches: it selects BRANCHES of the other tokens by a hash of its own path, and every
-   document goes on to the children named by its values there. Two documents of similarity s agree on each token with probability s, so with s = 0.8 and three branches
-   a pair that meets at a root is lost below it with a probability of at most 0.009, and the ROOTS / BRANCHES trees together lose it with less than 1e-7. What is
-   still large after `DEPTH` levels is a true cluster and is compared block by block.
-3. Pairs whose estimate is within five standard deviations of the threshold are confirmed with integer arithmetic on the whole sets. Candidate pairs are grouped by candidate
-   component and block; a task holds the sets of two blocks at most and skips pairs that confirmed links have joined already, so a cluster costs about its size, not its square.
+2. Trees: a document enters `ROOTS` nodes, one for each of its first tokens (ROOTS / BRANCHES independent trees). A node of at most `SMALL` documents is compared exhaustively by
+   the share of equal tokens. A larger one has a pivot, the most central of a few dozen of its documents: documents that estimate at ATTACH or more are attached to it, and those at CORE
+   or more are done here, since by the triangle inequality of the Jaccard distance all that is as similar to them as the threshold is attached too. The others branch: the node selects BRANCHES of
+   the other tokens by a hash of its own path, and each document goes on to the children named by its values there. So a cluster leaves a node at once and documents that only
+   share a passage scatter. With similarity 0.8 and three branches a pair is lost below a root with a probability of at most 0.009, and all four trees together lose it with less than 1e-7.
+3. What was found connected becomes a candidate group. A group is compared exhaustively and exactly on the whole sets, by counting along an inverted index, in cells of at most two
+   blocks of BLOCK_DOCS documents; integer arithmetic decides, and each cell returns the links of a spanning forest only.
 4. Components of the confirmed links, as a loop of joins.
 
 Defined cases: words are runs of anything but ASCII whitespace, A-Z lower-cased; fewer than k words are one shingle; null, empty or blank texts have no
@@ -21,14 +21,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, small_batches, small_side, table
+from millrace.llm.common import materialise, python_ready, small_side, table
 from millrace.llm.components import components
 from millrace.llm.text_arrays import flat, groups, mix, shingles, words_by_row
 
-TOKENS, ROOTS, BRANCHES, DEPTH, SMALL, BLOCK_DOCS = 64, 12, 3, 3, 256, 1024
+TOKENS, ROOTS, BRANCHES, DEPTH, SMALL, BLOCK_DOCS = 64, 12, 3, 8, 400, 2048
+ATTACH, CORE, CENTRAL = 0.45, 0.75, 64
 _ODD = (mix(np.arange(TOKENS, dtype=np.uint64), 3) | np.uint64(1))[None, :]
 _XOR = mix(np.arange(TOKENS, dtype=np.uint64), 5)[None, :]
 
@@ -51,7 +53,7 @@ def _text_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]
 
 def signatures(docs: DataFrame, doc_id: str, text: str, k: int) -> DataFrame:
     """(_id, n, f1, f2, sig) of each row."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -101,94 +103,133 @@ def _ints(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().to_numpy(zero_copy_only=False)
 
 
+def _forest(near: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each component of a boolean matrix, its first row and the others."""
+    free = np.ones(len(near), bool)
+    for first in range(len(near)):
+        if not free[first]:
+            continue
+        free[first] = False
+        edge, found = np.array([first]), []
+        while len(edge):
+            edge = np.flatnonzero(near[edge].any(axis=0) & free)
+            free[edge] = False
+            found.append(edge)
+        if len(rest := np.concatenate(found)):
+            yield first, rest
+
+
+def _equal_tokens(sig: np.ndarray) -> np.ndarray:
+    same = np.zeros((len(sig), len(sig)), np.uint8)
+    for c in range(TOKENS):
+        same += sig[:, c][:, None] == sig[:, c][None, :]
+    return same
+
+
+def _node(table: pa.Table, at: int) -> np.ndarray:
+    return _ints(pa.chunked_array([table.column(at).combine_chunks().flatten()])).reshape(-1, TOKENS)
+
+
+def _edges(out: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x).astype(np.int64) for x in zip(*out))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+
 def compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Nodes (gid, side, rep, n, sig), sorted by gid: pairs that may reach the threshold, as (a, b, est). side 0 and 1 are the blocks of a cell, of which only pairs between the two are new; 2 compares all."""
+    """Small nodes (gid, rep, n, sig), sorted by gid: stars (a, b) over what may be connected by pairs within five standard deviations of the threshold."""
     least = percent / 100 - 5 * float(np.sqrt(percent / 100 * (1 - percent / 100) / TOKENS))
-    out: list[tuple[np.ndarray, ...]] = []
-    held = 0
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for node in _runs(batches):
+        rep, n = _ints(node.column(1)), _ints(node.column(2))
+        near = (_equal_tokens(_node(node, 3)) >= least * TOKENS) & (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None])
+        out += [(np.full(len(rest), rep[first]), rep[rest]) for first, rest in _forest(near)]
+        if len(out) > 5000:
+            yield _edges(out)
+            out = []
+    if out:
+        yield _edges(out)
 
-    def batch() -> pa.RecordBatch:
-        a, b, e = (np.concatenate(x) for x in zip(*out))
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(e)], ["a", "b", "est"])
 
+def central(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Samples (node, rep, sig), sorted by node: the document of each that has most tokens in common with the others."""
     for node in _runs(batches):
-        side, rep, n = (_ints(node.column(c)) for c in (1, 2, 3))
-        sig = _ints(pa.chunked_array([node.column(4).combine_chunks().flatten()])).reshape(len(rep), TOKENS)
-        same = np.zeros((len(rep), len(rep)), np.uint8)
-        for c in range(TOKENS):
-            same += sig[:, c][:, None] == sig[:, c][None, :]
-        ok = (same >= least * TOKENS) & (100 * n[:, None] >= percent * n[None, :]) & (100 * n[None, :] >= percent * n[:, None]) & (rep[:, None] < rep[None, :])
-        if side[0] != 2 or side[-1] != 2:
-            ok &= side[:, None] != side[None, :]
-        a, b = np.nonzero(ok)
-        if len(a):
-            out.append((rep[a], rep[b], same[a, b].astype(np.int32)))
-            held += len(a)
-            if held > 50_000:
-                yield batch()
-                out, held = [], 0
-    if out:
-        yield batch()
+        sig = _node(node, 2)
+        best = int(np.argmax(_equal_tokens(sig).sum(axis=1, dtype=np.int64)))
+        yield pa.RecordBatch.from_arrays([node.column(0).combine_chunks()[:1], node.column(1).combine_chunks()[best : best + 1], pa.array([sig[best].tolist()], pa.list_(pa.int32()))], ["node", "pivot", "psig"])
 
 
 def confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Cells (cell, est, a, b, _set), sorted by cell and est from above; rows with a set come first. Confirmed links (a, b), less those that follow from others of the cell."""
+    """Cells (cell, side, _id, _set), sorted by cell: links (a, b) of a spanning forest of the pairs that reach the threshold. side 0 and 1 are two blocks, of which only pairs between them are new; 2 compares all."""
+    out: list[tuple[np.ndarray, np.ndarray]] = []
     for cell in _runs(batches):
-        est, a, b = (_ints(cell.column(c)) for c in (1, 2, 3))
-        lists = cell.column(4).combine_chunks()
-        sets, parent, links = {}, {}, []
-        values, ends = lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(np.nan_to_num(_ints(pa.chunked_array([pa.compute.fill_null(pa.compute.list_value_length(lists), 0)]))))))
-        for i in range(len(a)):
-            if est[i] > TOKENS:
-                sets[a[i]] = values[ends[i] : ends[i + 1]]
-                parent[a[i]] = a[i]
+        side, ids = _ints(cell.column(1)), _ints(cell.column(2))
+        lists = cell.column(3).combine_chunks()
+        values, size = lists.flatten().to_numpy(zero_copy_only=False), _ints(pa.chunked_array([pa.compute.list_value_length(lists)])).astype(np.int64)
+        ends = np.concatenate(([0], np.cumsum(size)))
+        _, term = np.unique(values, return_inverse=True)
+        owner = np.repeat(np.arange(len(ids)), size)
+        order = np.argsort(term, kind="stable")
+        posting, length = owner[order], np.bincount(term)
+        start = np.concatenate(([0], np.cumsum(length)))
+        free, all_sides = np.ones(len(ids), bool), side.min() == 2
+        for first in range(len(ids)):
+            if not free[first]:
                 continue
-
-            def top(x: int) -> int:
-                while parent[x] != x:
-                    parent[x] = parent[parent[x]]
-                    x = parent[x]
-                return x
-
-            x, y = a[i], b[i]
-            if x in sets and y in sets and (p := top(x)) != (q := top(y)):
-                both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-                if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
-                    parent[q] = p
-                    links.append((x, y))
-        if links:
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+            free[first] = False
+            wave = [first]
+            while wave:
+                x = wave.pop()
+                own = term[ends[x] : ends[x + 1]]
+                n = length[own]
+                at = np.repeat(start[own] - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+                both = np.bincount(posting[at], minlength=len(ids))
+                hit = free & (both > 0) & (100 * both >= percent * (size[x] + size - both))
+                if not all_sides:
+                    hit &= side != side[x]
+                new = np.flatnonzero(hit)
+                if len(new):
+                    free[new] = False
+                    wave += new.tolist()
+                    out.append((np.full(len(new), ids[x]), ids[new]))
+        if len(out) > 5000:
+            yield _edges(out)
+            out = []
+    if out:
+        yield _edges(out)
 
 
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b, est) of `reps` (rep, n, sig) from the trees."""
+    """Edges (a, b) among `reps` (rep, n, sig) that connect whatever may reach the threshold."""
     frontier = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(ROOTS - 1)), lambda c: F.xxhash64(c, F.get(F.col("sig"), c)))).alias("node"))
-    nodes, dense = [], None
+    members, edges = [], []
     for level in range(DEPTH + 1):
         frontier = materialise(frontier.select("node", "rep"), f"nodes-{level}")
         counts = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         counted = frontier.join(counts, "node")
-        nodes.append(counted.where(F.col("size") <= SMALL).groupBy("node").agg(F.array_sort(F.collect_set("rep")).alias("members")).select("members"))
+        last = level == DEPTH  # what is still large is compared whole: its documents have little in common but their path, or it would have left the node
+        members.append(counted.where(F.lit(True) if last else F.col("size") <= SMALL).groupBy("node").agg(F.array_sort(F.collect_set("rep")).alias("members")).select("members"))
+        if last:
+            break
         large = materialise(counted.where(F.col("size") > SMALL), f"large-{level}")
         if large.isEmpty():
             break
-        if level == DEPTH:
-            dense = large
-            break
+        some = large.where(F.pmod(F.xxhash64("rep", "node"), F.col("size")) < CENTRAL).select("node", "rep").join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig")
+        pivots = materialise(some.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(central, "node long, pivot long, psig array<int>"), f"pivots-{level}")
+        known = large.join(small_side(pivots, 64 * pivots.count()), "node", "left").join(reps.select("rep", "sig"), "rep")
+        share = F.coalesce(F.size(F.filter(F.zip_with("sig", "psig", lambda x, y: x == y), lambda e: e)), F.lit(0)) / TOKENS
+        known = materialise(known.select("node", "rep", "pivot", "sig", share.alias("share")), f"known-{level}")
+        edges.append(known.where((F.col("share") >= ATTACH) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
         branch = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda j: F.lit(ROOTS) + F.pmod(F.xxhash64(F.col("node"), j), F.lit(TOKENS - ROOTS)).cast("int"))
-        frontier = large.join(reps.select("rep", "sig"), "rep").select("rep", F.explode(F.transform(branch, lambda c: F.xxhash64(F.col("node"), c, F.get(F.col("sig"), c)))).alias("node"))
-    members = nodes[0]
-    for more in nodes[1:]:
-        members = members.union(more)
-    rows = members.where(F.size("members") > 1).dropDuplicates(["members"]).select(F.xxhash64("members").alias("gid"), F.lit(2).alias("side"), F.explode("members").alias("rep"))
-    if dense is not None:
-        blocks = F.ceil(F.col("size") / SMALL).cast("int")
-        own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-        placed = dense.withColumn("blocks", blocks).withColumn("own", own)
-        cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.xxhash64(F.col("node"), F.least(o, F.col("own")), F.greatest(o, F.col("own"))).alias("gid"), F.when(o == F.col("own"), 2).when(o > F.col("own"), 0).otherwise(1).alias("side")))
-        rows = rows.union(placed.select("rep", F.explode(cells).alias("c")).select("c.gid", "c.side", "rep"))
-    rows = rows.join(reps, "rep").select("gid", "side", "rep", "n", "sig").repartition("gid").sortWithinPartitions("gid")
-    return rows.mapInArrow(lambda it: compare(it, percent), "a long, b long, est int").dropDuplicates(["a", "b"])
+        frontier = known.where(F.col("share") < CORE).select("rep", F.explode(F.transform(branch, lambda c: F.xxhash64(F.col("node"), c, F.get(F.col("sig"), c)))).alias("node"))
+    lists = members[0]
+    for more in members[1:]:
+        lists = lists.union(more)
+    rows = lists.where(F.size("members") > 1).dropDuplicates(["members"]).select(F.xxhash64("members").alias("gid"), F.explode("members").alias("rep"))
+    rows = rows.join(reps, "rep").select("gid", "rep", "n", "sig").repartition("gid").sortWithinPartitions("gid")
+    found = rows.mapInArrow(lambda it: compare(it, percent), "a long, b long")
+    for more in edges:
+        found = found.union(more)
+    return found.distinct()
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -201,17 +242,13 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     out = sigs.select("_id", *key).join(classes.select(*key, "rep"), key, "left")
     if not found.isEmpty():
         group = components(found)
-        sizes = group.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).alias("blocks"))
-        at = materialise(group.join(sizes, "component"), "groups")
-        block = lambda c: F.pmod(F.xxhash64(c), F.col("blocks"))
-        low, high = F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))
-        edges = found.join(at, F.col("a") == F.col("node")).select(F.xxhash64("component", low, high).alias("cell"), "est", "a", "b")
-        edges = materialise(edges, "edges")
-        places = edges.select("cell", F.explode(F.array("a", "b")).alias("_id")).distinct()
-        sets = whole_sets(docs, at.select(F.col("node").alias("_id")), doc_id, text, k)
-        rows = places.join(sets, "_id").select("cell", F.lit(TOKENS + 1).alias("est"), F.col("_id").alias("a"), F.lit(None).cast("long").alias("b"), "_set")
-        rows = rows.union(edges.select("cell", "est", "a", "b", F.lit(None).cast("array<long>").alias("_set")))
-        rows = rows.repartition("cell").sortWithinPartitions("cell", F.desc("est"), "a", "b")
+        sizes = group.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS).cast("int").alias("blocks"))
+        at = materialise(group.join(sizes, "component").select(F.col("node").alias("_id"), "component", "blocks"), "groups")
+        own = F.pmod(F.xxhash64("_id"), F.col("blocks")).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.xxhash64(F.col("component"), F.least(o, own), F.greatest(o, own)).alias("cell"), F.when(o == own, 2).when(o > own, 0).otherwise(1).alias("side")))
+        sets = whole_sets(docs, at.select("_id"), doc_id, text, k)
+        rows = at.join(sets, "_id").select("_id", "_set", F.explode(cells).alias("_c")).select("_c.cell", "_c.side", "_id", "_set")
+        rows = rows.repartition("cell").sortWithinPartitions("cell", "_id")
         links = materialise(rows.mapInArrow(lambda it: confirm(it, percent), "a long, b long"), "confirmed")
         if not links.isEmpty():
             joined = components(links)

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, small_batches, table
+from millrace.llm.common import held_out, python_ready, table
 from millrace.llm.text_arrays import code_points, text_groups
 
 BITS, SIZES, DIM = 18, (3, 4, 5, 6), 8
@@ -131,7 +131,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", to: str = "score") -> DataFrame:
     """`docs` with the score of each whole text in the column `to`."""
-    small_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     @F.pandas_udf("double")
     def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
