@@ -84,7 +84,7 @@ def write(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
                     if out is not None:
                         out.close()
                     name, at = f"{uuid.uuid4().hex}.warc.gz", 0
-                    out = fs.open_output_stream(f"{base}/{name}")
+                    out = fs.open_output_stream(f"{base}/{name}", compression=None)
                 out.write(member)
                 index.append((i, f"{folder}/{name}", at, len(member), u, digest, len(payload), "response" if top is None else "revisit", top))
                 at += len(member)
