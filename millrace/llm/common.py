@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 #: The six ASCII whitespace characters that the contracts strip and split at.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Largest number of rows of two or three longs that a join may broadcast, once they have been counted (about 50 MB).
-BROADCAST_ROWS = 2_000_000
+#: Largest number of rows of two or three longs that a join may broadcast, once they have been counted (about 12 MB).
+BROADCAST_ROWS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

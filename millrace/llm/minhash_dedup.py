@@ -2,11 +2,11 @@
 
 1. Each whole text becomes its set of k-word shingles, of which leave: the size, a 128-bit sum that is equal for equal sets, and `TOKENS` minwise tokens.
    Documents with equal sets form one class; only its smallest doc_id goes on.
-2. Trees: a document enters `ROOTS` nodes, one for each of its first tokens (ROOTS / BRANCHES independent trees). A node of at most `SMALL` documents is compared exhaustively by
+2. Trees: a document enters `ROOTS` trees, each at the node named by one of its first tokens. A node of at most `SMALL` documents is compared exhaustively by
    the share of equal tokens. A larger one has a pivot, the most central of a few dozen of its documents: documents that estimate at ATTACH or more are attached to it, and those at CORE
    or more are done here, since by the triangle inequality of the Jaccard distance all that is as similar to them as the threshold is attached too. The others branch: the node selects BRANCHES of
    the other tokens by a hash of its own path, and each document goes on to the children named by its values there. So a cluster leaves a node at once and documents that only
-   share a passage scatter. With similarity 0.8 and three branches a pair is lost below a root with a probability of at most 0.009, and all four trees together lose it with less than 1e-7.
+   share a passage scatter. At similarity 0.8 a pair misses a root with probability 0.2 and is lost below it, with two branches, with at most 0.0625; so one tree loses it with at most 0.25 and all twelve with less than 1e-7.
 3. What was found connected becomes a candidate group. A group is compared exhaustively and exactly on the whole sets, by counting along an inverted index, in cells of at most two
    blocks of BLOCK_DOCS documents; integer arithmetic decides, and each cell returns the links of a spanning forest only.
 4. Components of the confirmed links, as a loop of joins.
@@ -29,7 +29,7 @@ from millrace.llm.common import materialise, python_ready, small_side, table
 from millrace.llm.components import components
 from millrace.llm.text_arrays import flat, groups, mix, shingles, words_by_row
 
-TOKENS, ROOTS, BRANCHES, DEPTH, SMALL, BLOCK_DOCS = 64, 12, 3, 8, 400, 2048
+TOKENS, ROOTS, BRANCHES, DEPTH, SMALL, BLOCK_DOCS = 64, 12, 2, 8, 1024, 2048
 ATTACH, CORE, CENTRAL = 0.45, 0.75, 64
 _ODD = (mix(np.arange(TOKENS, dtype=np.uint64), 3) | np.uint64(1))[None, :]
 _XOR = mix(np.arange(TOKENS, dtype=np.uint64), 5)[None, :]
@@ -213,14 +213,16 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
         large = materialise(counted.where(F.col("size") > SMALL), f"large-{level}")
         if large.isEmpty():
             break
-        some = large.where(F.pmod(F.xxhash64("rep", "node"), F.col("size")) < CENTRAL).select("node", "rep").join(reps.select("rep", "sig"), "rep").select("node", "rep", "sig")
+        held = reps.select("rep", "sig").join(small_side(large, large.count()), "rep")
+        some = held.where(F.pmod(F.xxhash64("rep", "node"), F.col("size")) < CENTRAL).select("node", "rep", "sig")
         pivots = materialise(some.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(central, "node long, pivot long, psig array<int>"), f"pivots-{level}")
-        known = large.join(small_side(pivots, 64 * pivots.count()), "node", "left").join(reps.select("rep", "sig"), "rep")
+        known = held.join(small_side(pivots, 64 * pivots.count()), "node", "left")
         share = F.coalesce(F.size(F.filter(F.zip_with("sig", "psig", lambda x, y: x == y), lambda e: e)), F.lit(0)) / TOKENS
-        known = materialise(known.select("node", "rep", "pivot", "sig", share.alias("share")), f"known-{level}")
-        edges.append(known.where((F.col("share") >= ATTACH) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
         branch = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda j: F.lit(ROOTS) + F.pmod(F.xxhash64(F.col("node"), j), F.lit(TOKENS - ROOTS)).cast("int"))
-        frontier = known.where(F.col("share") < CORE).select("rep", F.explode(F.transform(branch, lambda c: F.xxhash64(F.col("node"), c, F.get(F.col("sig"), c)))).alias("node"))
+        below = F.transform(branch, lambda c: F.xxhash64(F.col("node"), c, F.get(F.col("sig"), c)))
+        known = materialise(known.select("rep", "pivot", share.alias("share"), below.alias("below")), f"known-{level}")
+        edges.append(known.where((F.col("share") >= ATTACH) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
+        frontier = known.where(F.col("share") < CORE).select("rep", F.explode("below").alias("node"))
     lists = members[0]
     for more in members[1:]:
         lists = lists.union(more)
