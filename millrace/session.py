@@ -2,8 +2,29 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession | None = None) -> None:
+    """Give the executors' Python workers this package; Spark hands the file out from the driver. Once for each application."""
+    spark = spark or SparkSession.getActiveSession()
+    sc = spark.sparkContext
+    if sc.applicationId not in _shipped:
+        top = Path(__file__).resolve().parent
+        name = os.path.join(tempfile.mkdtemp(prefix="millrace-"), "millrace.zip")
+        with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        sc.addPyFile(name)
+        _shipped.add(sc.applicationId)
+
 
 def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
     """A local session with UTC, adaptive execution and as many shuffle partitions as cores."""
