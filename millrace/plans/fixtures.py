@@ -44,14 +44,14 @@ TABLES: dict[str, tuple[list[str], str]] = {
   CASE id % 6 WHEN 0 THEN 'skip' WHEN 1 THEN 'quarantine' WHEN 2 THEN 'media' ELSE 'copy' END AS action, CASE WHEN id % 13 = 0 THEN NULL ELSE cast(id % 100 AS double) / 100 END AS confidence,
   CASE WHEN id % 9 = 0 THEN 1 WHEN id % 17 = 0 THEN NULL ELSE 0 END AS needs_review, CASE id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'ground_truth' ELSE 'run' || cast(id % 3 AS string) END AS run_id,
   CASE id % 5 WHEN 0 THEN 'manual' WHEN 1 THEN 'deterministic' WHEN 2 THEN 'heuristic' WHEN 3 THEN 'llm' ELSE NULL END AS method, '2025-' || {_DAY.format("id")} AS decided_at,
-  'SEM' || cast(1 + id % 7 AS string) || '/S' || cast(id % 5 AS string) || '/file_' || cast(id % 400 AS string) || '.txt' AS target, id % 11 = 0 AS outdated FROM {{content}} WHERE id % 10 <> 3""",
+  'SEM' || cast(1 + id % 7 AS string) || '/S' || cast(id % 5 AS string) || '/file_' || cast(id % 60 AS string) || '.txt' AS target, id % 11 = 0 AS outdated FROM {{content}} WHERE id % 10 <> 3""",
     ),
     "relations": (
         ["content"],
         """SELECT a.sha AS src, b.sha AS tgt, CASE a.id % 3 WHEN 0 THEN 'near_duplicate' WHEN 1 THEN 'older_version' ELSE 'related' END AS type, cast(50 + a.id % 50 AS double) / 100 AS confidence,
   CASE WHEN a.id % 4 = 0 THEN 'manual' ELSE 'near_dupe:simhash' END AS method FROM {content} a JOIN {content} b ON b.id = a.id + 1 WHERE a.id % 4 < 3""",
     ),
-    "applied": (["decisions"], "SELECT 'SEM' || cast(semester AS string) || '/S' || cast(id % 5 AS string) || '/FILE_' || cast(id % 400 AS string) || '.TXT' AS target, sha FROM {decisions} WHERE id % 10 = 0"),
+    "applied": (["decisions"], "SELECT 'SEM' || cast(semester AS string) || '/S' || cast(id % 5 AS string) || '/FILE_' || cast(id % 60 AS string) || '.TXT' AS target, sha FROM {decisions} WHERE id % 10 = 0"),
     "manual": (["content"], f"SELECT sha, CASE id % 3 WHEN 0 THEN 'accept' WHEN 1 THEN 'skip' ELSE 'move' END AS kind, 'u' || cast(id % 4 AS string) AS decided_by, '2025-' || {_DAY.format('id')} AS decided_at, id FROM {{content}} WHERE id % 7 = 0"),
     "links": (["folders"], "SELECT least(a.folder, b.folder) AS folder_a, greatest(a.folder, b.folder) AS folder_b FROM {folders} a JOIN {folders} b ON a.package = 'src1' AND b.package = 'src1_copy' AND substring(a.folder, 5) = substring(b.folder, 10)"),
     "nodes": (
