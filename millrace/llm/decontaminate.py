@@ -5,8 +5,8 @@ sentence becomes <name>; all other tokens are literals, lower-cased. A window is
 that two literals stand side by side. A document's windows are hash-joined with the items' windows on the template; the values in the slots must agree
 one to one (equal values in the item are equal in the document and different ones differ), which catches questions whose numbers, names or units were changed.
 
-Before that, one pass over all whole texts drops the documents that hold none of the word pairs which stand for the items' windows: every window
-has one such pair, and a document with the window has the pair, so nothing is lost.
+Before that, one pass over all whole texts notes which of the items' neighbouring literal pairs each document holds. A document with a window holds all the window's pairs, so only documents with all
+pairs of some window go on, and nothing is lost. Each window is looked up by the one of its pairs that the fewest documents hold, as counted over all of them.
 
 DataFrame functions only. Defined cases: null and empty texts and items have no window; repeated items count for each item_id; a document is listed once for each item that it leaks.
 """
@@ -16,12 +16,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import small_side, table
+from millrace.llm.common import materialise, small_side, table
 
 #: Units that may follow a number.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "min", "h", "hz", "khz", "mhz", "ghz", "v", "w", "kw", "j", "kj", "n", "pa", "k", "c", "f", "inch", "inches", "ft", "feet", "foot", "yard", "yards", "mile", "miles", "oz", "lb", "lbs", "gallon", "gallons", "liter", "liters", "litre", "litres", "meter", "meters", "metre", "metres", "gram", "grams", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents"]
 TOKEN = r"[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*|[.!?\n]"
-ANCHOR_WINDOWS = 200_000
+PAIR_WINDOWS = 200_000
 
 
 def needed(size: Column) -> Column:
@@ -67,9 +67,10 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id:
     known = rows.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.size("_w"))).alias("lengths")).first()
     if not known["n"]:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, n_exact long, kind string")
-    found = docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_x"))
-    if known["n"] <= ANCHOR_WINDOWS:
-        found = found.where(F.arrays_overlap(pair_hashes(F.col("_x")), anchors(rows).scalar()))
+    found = docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_x")).where("_k IS NOT NULL")
+    if known["n"] <= PAIR_WINDOWS:
+        some = holders(found, materialise(rows.select(literal_pairs(F.col("_w")).alias("_p")).distinct(), "item-pairs"))
+        found = found.join(small_side(some, some.count()), "_k", "left_semi")
     theirs = windows(template(found, "_k", "_x"), F.lit(known["lengths"])).select(F.col("_k").alias("doc_id"), F.col("at").alias("doc_at"), "tpl", F.col("slots").alias("doc_slots"))
     both = theirs.join(small_side(rows.drop("_w"), known["n"]), "tpl")
     pairs = F.array_distinct(F.arrays_zip("item_slots", "doc_slots"))
@@ -78,21 +79,35 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id:
     return hits.withColumn("kind", F.when(F.col("n_exact") > 0, "verbatim").otherwise("reparameterised"))
 
 
-def pair_hashes(text: Column) -> Column:
-    """A hash of each two neighbouring letter runs, lower-cased."""
-    words = F.split(F.lower(text), r"[^\p{L}\p{M}]+", -1)
+def neighbours(words: Column) -> Column:
+    """A hash of each two neighbouring words."""
     return F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(a, b))
 
 
-def anchors(rows: DataFrame) -> DataFrame:
-    """One row: the hash of the longest pair of neighbouring literals of each window."""
-    pairs = F.zip_with("_w", F.slice("_w", F.lit(2), F.size("_w")), lambda a, b: F.when(~a.startswith("<") & ~b.startswith("<"), F.struct((F.length(a) + F.length(b)).alias("n"), F.xxhash64(a, b).alias("h"))))
-    return rows.select(F.array_max(F.filter(pairs, lambda p: p.isNotNull()))["h"].alias("h")).agg(F.collect_set("h"))
+def literal_pairs(window: Column) -> Column:
+    """The hashes of a window's neighbouring literals."""
+    after = F.slice(window, F.lit(2), F.size(window))
+    return F.array_distinct(F.filter(F.zip_with(window, after, lambda a, b: F.when(~a.startswith("<") & ~b.startswith("<"), F.xxhash64(a, b))), lambda h: h.isNotNull()))
+
+
+def holders(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_k) of the texts (_k, _x) that hold all the pairs of one of the windows `wanted` (_p)."""
+    pairs = wanted.select(F.explode("_p").alias("h")).agg(F.collect_set("h"))
+    # the word array stands behind a Generate, so that it is made once
+    words = texts.select("_k", F.explode(F.array(F.struct(F.split(F.lower("_x"), r"[^\p{L}\p{M}]+", -1).alias("w")))).alias("s"))
+    held = words.select("_k", F.array_intersect(pairs.scalar(), neighbours(F.col("s.w"))).alias("_h"))
+    held = materialise(held.select("_k", F.explode(F.array(F.struct("_h"))).alias("s")).select("_k", "s._h").where(F.size("_h") > 0), "held-pairs")
+    shares = held.select(F.explode("_h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    window = wanted.withColumn("_w", F.xxhash64("_p"))
+    rarest = window.select("_w", F.explode("_p").alias("h")).join(shares, "h", "left").groupBy("_w").agg(F.min_by("h", F.struct(F.coalesce("n", F.lit(0)), "h")).alias("h"))
+    keyed = materialise(window.join(rarest, "_w").select("h", "_p"), "rarest-pairs")
+    met = held.select("_k", "_h", F.explode("_h").alias("h")).join(small_side(keyed, 8 * keyed.count()), "h")
+    return materialise(met.where(F.size(F.array_except("_p", "_h")) == 0).select("_k").distinct(), "holders")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", **options: object) -> DataFrame:
     """The documents that leak no item. Rows with a null doc_id stay."""
-    bad = leaks(docs, items, doc_id=doc_id, **options).select(F.col("doc_id").alias(doc_id)).distinct()
+    bad = materialise(leaks(docs, items, doc_id=doc_id, **options).select(F.col("doc_id").alias(doc_id)).distinct(), "leaking")
     return docs.join(small_side(bad, bad.count()), doc_id, "left_anti")
 
 
