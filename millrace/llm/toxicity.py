@@ -11,6 +11,9 @@ from; rows repeated in labels count once. With no labelled row, or one class onl
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -110,9 +113,18 @@ def train(texts: list[str], labels: np.ndarray, *, steps: int = 3000, batch: int
             b -= 0.1 * lr * float(err.sum())
     weight = np.zeros(size, np.float32)
     weight[used] = scale * (e @ u)
+    del docs
+    _give_back()
     return Model(weight, b, pad)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system where the C library can: the driver lives on after training."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None, max_train_rows: int = 8000, max_train_chars: int = 200_000) -> Model:
     """A model of a bounded sample of the labelled rows for which `usable` (a condition on the labels' doc_id) holds. A row's hash decides, so the sample is the same on every run."""
     rows = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1))
