@@ -10,7 +10,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = "src06_content_hash"
+FLAGSHIP = "agg12_folder_overlap"
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
