@@ -48,22 +48,29 @@ def template(texts: DataFrame, key: str, text: str) -> DataFrame:
     return tokens.select("_k", F.col("_s.c").alias("_c"), F.col("_s.v").alias("_v"))
 
 
-def windows(tokens: DataFrame, width: Column) -> DataFrame:
-    """(_k, at, tpl, slots) for each window of `width` (an array of lengths) tokens with enough literals."""
-    starts = F.flatten(F.transform(width, lambda w: F.transform(F.when(F.size("_c") >= w, F.sequence(F.lit(0), F.size("_c") - w)).otherwise(F.array().cast("array<int>")), lambda i: F.struct(i.alias("at"), w.alias("w")))))
-    one = tokens.select("_k", "_c", "_v", F.explode(starts).alias("_p"))
-    cut = one.select("_k", F.col("_p.at").alias("at"), F.slice("_c", F.col("_p.at") + 1, F.col("_p.w")).alias("_w"), F.slice("_v", F.col("_p.at") + 1, F.col("_p.w")).alias("_x"))
+def windows(tokens: DataFrame, widths: list[int]) -> DataFrame:
+    """(_k, at, _w, tpl, slots) for each window of a width with enough literals. Windows are cut by place, so a text costs its length times the width."""
+
+    def cut(width: int) -> Column:
+        take = lambda c, i: F.array(*[F.get(F.col(c), i + j) for j in range(width)])
+        starts = F.when(F.size("_c") >= width, F.sequence(F.lit(0), F.size("_c") - width)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(i.alias("at"), take("_c", i).alias("c"), take("_v", i).alias("v")))
+
+    cells = tokens.select("_k", F.explode(F.concat(*[cut(w) for w in widths])).alias("_p"))
+    apart = cells.select("_k", F.col("_p.at").alias("at"), F.col("_p.c").alias("_w"), F.col("_p.v").alias("_x"))
     literals = F.size(F.filter("_w", lambda c: ~c.startswith("<")))
-    held = cut.where(literals >= needed(F.size("_w")))
+    held = apart.where(literals >= needed(F.size("_w")))
     return held.select("_k", "at", "_w", F.array_join("_w", " ").alias("tpl"), F.transform(F.filter(F.arrays_zip("_w", "_x"), lambda z: z["_w"].startswith("<")), lambda z: z["_x"]).alias("slots"))
 
 
 def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = 8) -> DataFrame:
     """(doc_id, item_id, n_windows, n_exact, kind) for each document that holds windows of an item; kind is `verbatim` if a window has the item's own slot values, else `reparameterised`."""
     bench = template(items.where(F.col(item_id).isNotNull()), item_id, text)
-    lengths = F.array(F.least(F.size("_c"), F.lit(width)))
-    own = windows(bench.where(F.size("_c") > 1), lengths)
+    own = windows(bench.where(F.size("_c") >= width), [width])
+    for short in range(2, width):
+        own = own.union(windows(bench.where(F.size("_c") == short), [short]))
     rows = own.select(F.col("_k").alias("item_id"), F.col("at").alias("item_at"), "_w", "tpl", F.col("slots").alias("item_slots"))
+    rows = materialise(rows, "item-windows")
     known = rows.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.size("_w"))).alias("lengths")).first()
     if not known["n"]:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, n_exact long, kind string")
@@ -71,7 +78,7 @@ def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id:
     if known["n"] <= PAIR_WINDOWS:
         some = holders(found, materialise(rows.select(literal_pairs(F.col("_w")).alias("_p")).distinct(), "item-pairs"))
         found = found.join(small_side(some, some.count()), "_k", "left_semi")
-    theirs = windows(template(found, "_k", "_x"), F.lit(known["lengths"])).select(F.col("_k").alias("doc_id"), F.col("at").alias("doc_at"), "tpl", F.col("slots").alias("doc_slots"))
+    theirs = windows(template(found, "_k", "_x"), known["lengths"]).select(F.col("_k").alias("doc_id"), F.col("at").alias("doc_at"), "tpl", F.col("slots").alias("doc_slots"))
     both = theirs.join(small_side(rows.drop("_w"), known["n"]), "tpl")
     pairs = F.array_distinct(F.arrays_zip("item_slots", "doc_slots"))
     agree = (F.size(pairs) == F.size(F.array_distinct("item_slots"))) & (F.size(pairs) == F.size(F.array_distinct("doc_slots")))

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm.common import ASCII_SPACE, ascii_lower, materialise, remove, shared_path, small_side
@@ -87,9 +87,14 @@ def line_table(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataF
             )
         ).alias("_s"),
     )
-    one = hashed.select("_id", "_t", F.posexplode("_s").alias("_i", "_l"), "_s")
-    before = F.get(F.col("_s"), F.col("_i") - 1)
-    return one.select("_id", "_t", F.col("_l.pos").alias("pos"), F.col("_l.h1").alias("h1"), F.col("_l.h2").alias("h2"), ((F.col("_i") == 0) | (before["h1"] != F.col("_l.h1")) | (before["h2"] != F.col("_l.h2"))).alias("first"))
+    # the sorted array stands behind a Generate, so that it is made once and looked up by place
+    held = hashed.select("_id", "_t", F.explode(F.array(F.struct("_s"))).alias("_b")).select("_id", "_t", F.col("_b._s").alias("_s"))
+
+    def marked(x: Column, i: Column) -> Column:
+        before = F.get(F.col("_s"), i - 1)
+        return F.struct(x["pos"].alias("pos"), x["h1"].alias("h1"), x["h2"].alias("h2"), ((i == 0) | (before["h1"] != x["h1"]) | (before["h2"] != x["h2"])).alias("first"))
+
+    return held.select("_id", "_t", F.inline(F.transform("_s", marked)))
 
 
 def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 3) -> DataFrame:

@@ -1,0 +1,110 @@
+import json
+
+from millrace.llm import tool_calls as C
+from millrace.llm import url_filter as U
+
+CALLS = "conv_id long, call_id string, turn long, tool string, arguments string, needs array<string>"
+RESULTS = "conv_id long, call_id string, turn long, content string"
+SCHEMAS = {"add": {"properties": {"a": {"type": "integer"}, "b": {"type": "number"}}, "required": ["a"]}}
+
+
+def linked(spark, calls, results):
+    return {(r.call_id, r.turn, r.result_turn): r for r in C.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame(results, RESULTS), SCHEMAS).collect()}
+
+
+def test_links_orders_validates_and_serialises(spark):
+    calls = [(1, "a", 0, "add", '{"b": 2.5, "a": 1}', []), (1, "b", 2, "add", '{"a": true}', ["a"]), (1, "c", 3, "add", "not json", ["a", "b"]), (1, "d", 4, "other", "{}", ["gone"]), (1, "e", 5, "add", None, ["f"]), (1, "f", 6, "add", '{"a": 1, "z": 2}', ["e"])]
+    got = linked(spark, calls, [(1, "a", 1, "zażółć"), (1, "x", 9, "lost"), (2, "b", 3, "other conversation")])
+    a = got["a", 0, 1]
+    assert (a.status, a.level, a.valid) == ("linked", 0, True)
+    assert a.json == '{"call":{"arguments":{"a":1,"b":2.5},"id":"a","name":"add"},"result":{"content":"zażółć","id":"a"}}'
+    assert {k[0]: (r.status, r.level, r.valid) for k, r in got.items() if k[1] is not None and k[0] != "a"} == {"b": ("unanswered", 1, False), "c": ("unanswered", 2, False), "d": ("unanswered", 0, False), "e": ("unanswered", None, False), "f": ("unanswered", None, False)}
+    assert got["x", None, 9].status == "orphan" and got["b", None, 3].status == "orphan" and got["x", None, 9].valid is None
+
+
+def test_repeated_and_null_identifiers(spark):
+    calls = [(1, "a", 0, "add", '{"a": 1}', []), (1, "a", 4, "add", '{"a": 2}', []), (1, None, 5, "add", '{"a": 3}', [])]
+    got = linked(spark, calls, [(1, "a", 2, "first"), (1, "a", 3, "second"), (1, None, 6, "nothing")])
+    assert {k: r.status for k, r in got.items()} == {("a", 0, 2): "linked", ("a", 4, None): "repeated", (None, 5, None): "unanswered", ("a", None, 3): "repeated", (None, None, 6): "orphan"}
+
+
+def test_empty_tables_and_long_texts(spark):
+    assert linked(spark, [], []) == {}
+    turns = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "x" * 300_000), (1, 2, "assistant", "y"), (1, 3, "user", None)], "conv_id long, turn long, role string, text string")
+    calls, results = C.from_conversations(turns)
+    got = {r.turn: r for r in C.link(calls, results, C.SCHEMAS).collect()}
+    assert got[1].status == "linked" and got[1].level == 1 and got[3].valid is False and got[0].level == 0
+    assert json.loads(got[1].json)["result"]["content"] == "y"
+
+
+def judged(spark, urls, **options):
+    rows = [(i, u) for i, u in enumerate(urls)]
+    return {rows[r.page_id][1]: r for r in U.judge(spark.createDataFrame(rows, "page_id long, url string"), **options).collect()}
+
+
+def test_rules_and_parts(spark):
+    got = judged(spark, ["http://A.Example.NET/en/1?q", "http://example.net/de/x", "http://example.netx/en", "https://x.org/fr/2#f", "http://org/fr/", "http://net", "net/x", None, "http://b.example.com/de", "ftp://u@net:80/", "http://fr.org?x=/fr/"])
+    assert {u: (r.host, r.path, r.rule, r.verdict) for u, r in got.items()} == {
+        "http://A.Example.NET/en/1?q": ("a.example.net", "/en/1", "example.net/en/", "allow"),
+        "http://example.net/de/x": ("example.net", "/de/x", "net/", "block"),
+        "http://example.netx/en": ("example.netx", "/en", None, "allow"),
+        "https://x.org/fr/2#f": ("x.org", "/fr/2", "org/fr/", "allow"),
+        "http://org/fr/": ("org", "/fr/", "org/fr/", "allow"),
+        "http://net": ("net", "", None, "allow"),
+        "net/x": ("", "", None, "allow"),
+        None: ("", "", None, "allow"),
+        "http://b.example.com/de": ("b.example.com", "/de", None, "allow"),
+        "ftp://u@net:80/": ("u@net:80", "/", None, "allow"),
+        "http://fr.org?x=/fr/": ("fr.org", "", None, "allow"),
+    }
+
+
+def test_templates_merge_and_reject_by_purity(spark):
+    urls = [f"http://h.x/spam/{i}" for i in range(30)] + [f"http://h.x/spam{k}/{i}" for k in range(3) for i in range(20)] + [f"http://h.x/good/{i}/page" for i in range(20)]
+    rules = [("block", "h.x/spam0/1"), ("block", "h.x/spam1/1"), ("allow", "h.x/good/1")]
+    got = judged(spark, urls, rules=rules)
+    assert got["http://h.x/spam0/2"].verdict == "block" and got["http://h.x/spam1/2"].verdict == "block"
+    assert got["http://h.x/spam0/2"].template == got["http://h.x/spam1/2"].template
+    assert got["http://h.x/good/2/page"].verdict == "allow" and got["http://h.x/spam/2"].verdict == "allow"
+
+
+def test_variable_segments_become_wildcards(spark):
+    urls = [f"http://h.x/user/name{chr(97 + i // 26)}{chr(97 + i % 26)}/home" for i in range(60)]
+    assert {r.template for r in judged(spark, urls).values()} == {"h.x/user/*/home"}
+
+
+def test_url_empty_table_and_clashing_columns(spark):
+    assert U.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    got = U.judge(spark.createDataFrame([(1, "http://a.net/", "h", 5)], "page_id long, url string, host string, n int")).first()
+    assert (got.host, got.n, got.verdict) == ("a.net", 5, "block")
+
+
+def test_pipeline_stages_against_brute_force(spark):
+    import corpus_pipeline as P
+    from test_decontaminate import brute as leak_brute
+    from test_line_dedup import brute as line_brute
+    from test_minhash import brute as near_brute
+    from test_mixing import brute as mix_brute
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    assert [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontaminate", "mix"]
+    rows = {r.doc_id: r for r in docs.collect()}
+    a = P.materialise(P.drop_toxic(spark, docs, sf), "t")
+    assert a.columns == columns and 0 < a.count() < len(rows)
+    b = P.materialise(P.drop_lines(spark, a, sf), "t")
+    kept = [(r.doc_id, r.text) for r in a.collect()]
+    want = line_brute(kept)
+    assert b.columns == columns and {r.doc_id: r.text for r in b.collect()} == {i: t for i, (_, _, t) in want.items()}
+    assert all(r.n_chars == len(r.text) for r in b.collect())
+    c = P.materialise(P.drop_near(spark, b, sf), "t")
+    near = near_brute([(r.doc_id, r.text) for r in b.collect()], 5)
+    assert c.columns == columns and {r.doc_id for r in c.collect()} == {i for i, (_, _, k) in near.items() if k}
+    e = P.materialise(P.drop_leaks(spark, c, sf), "t")
+    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    bad = {i for i, _ in leak_brute([(r.doc_id, r.text) for r in c.collect()], items)}
+    assert e.columns == columns and {r.doc_id for r in e.collect()} == {r.doc_id for r in c.collect()} - bad
+    f = P.mix(spark, e, sf)
+    words = [(r.doc_id, len(__import__("re").findall("[^\x20\x09-\x0d]+", r.text)), r.source) for r in e.collect()]
+    assert {r.doc_id: r.copies for r in f.collect()} == mix_brute(words)
