@@ -53,9 +53,10 @@ def contains_tokens(text: Column, phrase: Column) -> Column:
 
 
 def shingles(words: Column, k: int = 3) -> Column:
-    """The overlapping k-word shingles; of fewer words, the words."""
+    """The overlapping k-word shingles; of fewer words, the words. `words` should be a column, not an expression: it is looked up for every shingle."""
     n = F.size(words)
-    return F.when(n < k, words).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.array_join(F.slice(words, i + 1, F.lit(k)), " ")))
+    at = F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))
+    return F.when(n < k, words).otherwise(F.transform(at, lambda i: F.concat_ws(" ", *[F.get(words, i + j) for j in range(k)])))
 
 
 def hamming_hex(a: Column, b: Column) -> Column:
