@@ -78,3 +78,33 @@ def resolve(links: DataFrame, notes: DataFrame) -> DataFrame:
     best = tiers.groupBy("k").agg(F.min(F.struct("tier", "id", "n")).alias("b"))
     j = links.withColumn("_k", F.regexp_replace(key, r"\.md$", "")).join(best, F.col("_k") == F.col("k"), "left")
     return j.select("source", "target_text", F.col("b.id").alias("id"), F.col("b.tier").alias("tier"), F.coalesce(F.col("b.n") > 1, F.lit(False)).alias("ambiguous"))
+
+
+def single_child_end(parent: DataFrame, depth: int = 16) -> DataFrame:
+    """(node, end): where one comes from a node by going down while there is exactly one child."""
+    only = parent.groupBy("parent").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("child")).where("n = 1")
+    down = ancestor_pairs(only.select(F.col("parent").alias("child"), F.col("child").alias("parent")), depth)
+    return down.groupBy("node").agg(F.max_by("above", "steps").alias("end"))
+
+
+def merged_chains(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """(folder, label): the folders that hold files or don't have exactly one child, named from the nearest such folder above, so that chains of single children are one row."""
+    from millrace.functions import text as T
+
+    up = folders.select("folder", T.parent(F.col("folder")).alias("parent"))
+    children = up.where("parent <> ''").groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
+    holds = files.select("folder").distinct().withColumn("_own", F.lit(True))
+    kept = folders.select("folder").join(children.withColumnRenamed("parent", "folder"), "folder", "left").join(holds, "folder", "left").where(F.col("_own") | F.col("n").isNull() | (F.col("n") != 1)).select("folder")
+    above = kept.select("folder", F.explode(T.ancestors(F.col("folder"), inclusive=False)).alias("a")).join(kept.select(F.col("folder").alias("a")), "a").groupBy("folder").agg(F.max(F.length("a")).alias("cut"))
+    return kept.join(above, "folder", "left").select("folder", F.substring("folder", F.coalesce(F.col("cut") + 2, F.lit(1)), F.lit(10_000)).alias("label"))
+
+
+def scope_options(nodes: DataFrame, types: list[str]) -> DataFrame:
+    """(type, tag, parent, n) of `nodes` (id, type, tags, members): for each type but the finest, the tag of each node that no other node with the same coarser tags has and that isn't a tag of a coarser type; of several the one with the most members, the first on ties."""
+    rank = F.array_position(F.array(*map(F.lit, types)), F.col("type"))
+    tags = nodes.withColumn("rank", rank).where((F.col("rank") > 0) & (F.col("rank") < len(types))).select("id", "type", "rank", "members", F.posexplode("tags").alias("pos", "tag"))
+    taken = tags.groupBy("tag").agg(F.min("rank").alias("first"))
+    own = tags.join(taken, "tag").where("rank = first")
+    unique = Window.partitionBy("type", "tag")
+    best = own.withColumn("same", F.count(F.lit(1)).over(unique)).where("same = 1").groupBy("id", "type").agg(F.max_by(F.struct("tag", "members"), F.struct("members", (-F.col("pos")).alias("p"))).alias("b"))
+    return best.select("id", "type", F.col("b.tag").alias("tag"), F.col("b.members").alias("n"))

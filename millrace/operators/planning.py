@@ -170,3 +170,30 @@ def integrity(files: DataFrame, content: DataFrame, folders: DataFrame, dups: Da
     }
     rows = [f.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n") for name, f in tests.items()]
     return reduce(DataFrame.unionAll, rows)
+
+
+def key_violations(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
+    """(table, n): how many natural keys occur more than once."""
+    rows = [df.groupBy(*key).agg(F.count(F.lit(1)).alias("c")).where("c > 1").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n") for name, (df, key) in tables.items()]
+    return reduce(DataFrame.unionAll, rows)
+
+
+def renamed(df: DataFrame, column: str, old: str, new: str) -> DataFrame:
+    """Paths equal to `old` or below it, moved to `new`."""
+    c = F.col(column)
+    return df.withColumn(column, F.when((c == old) | c.startswith(old + "/"), F.concat(F.lit(new), F.substring(c, F.lit(len(old) + 1), F.length(c)))).otherwise(c))
+
+
+def applied_rows(states: DataFrame, blocking: int, at: str, plan_hash: str, dry_run: bool = True) -> DataFrame:
+    """Audit rows for operations that would copy, or none where something blocks; the copying itself is the caller's."""
+    rows = states.where(F.lit(blocking == 0) & (F.col("state") == "new"))
+    return rows.select("sha", "target", F.lit("would copy" if dry_run else "copied").alias("action"), F.lit(plan_hash).alias("plan_hash"), F.lit(at).alias("applied_at"))
+
+
+def migrated(df: DataFrame, version: int, steps: dict[int, object], current: int) -> DataFrame:
+    """A table of an older version brought to `current`, step by step; a newer one is refused."""
+    if version > current:
+        raise ValueError(f"the table has version {version}; this engine knows {current}")
+    for v in range(version, current):
+        df = steps[v](df)
+    return df

@@ -220,7 +220,7 @@ def top02(spark: SparkSession, d: str) -> DataFrame:
     return R.top_waste(frame(spark, d, "files"))
 
 
-@query("joi04_integrity_anti_joins", sql("files content folders applied", f"""WITH {CLEAN_HASHES}
+@query("joi04_rul06_integrity", sql("files content folders applied", f"""WITH {CLEAN_HASHES}
 SELECT 'file_without_content' AS "check", count(*) AS n FROM files WHERE sha IS NOT NULL AND sha NOT IN (SELECT sha FROM content) UNION ALL SELECT 'content_without_file', count(*) FROM content WHERE sha NOT IN (SELECT sha FROM files WHERE sha IS NOT NULL) AND sha NOT IN (SELECT sha FROM applied)
 UNION ALL SELECT 'file_without_folder', count(*) FROM files WHERE folder NOT IN (SELECT folder FROM folders) UNION ALL SELECT 'duplicate_of_duplicate', count(*) FROM dups d WHERE EXISTS (SELECT 1 FROM dups t WHERE t.folder = d.duplicate_of)
 UNION ALL SELECT 'negative_size', count(*) FROM files WHERE size < 0 UNION ALL SELECT 'unknown_status', 0 UNION ALL SELECT 'hashed_without_hash', count(*) FROM files WHERE status = 'hashed' AND sha IS NULL"""))

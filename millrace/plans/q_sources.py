@@ -233,7 +233,7 @@ def stm06(spark: SparkSession, d: str) -> DataFrame:
     return ledger.reopened(rows, folders, rows.where("id % 10 = 7"))[1]
 
 
-@query("udf01_cached_calls", sql("content", "SELECT sha, CASE WHEN id % 2 = 0 THEN 'known' WHEN id % 3 = 0 THEN NULL ELSE upper(kind) END AS answer FROM content"))
+@query("udf01_03_cached_calls", sql("content", "SELECT sha, CASE WHEN id % 2 = 0 THEN 'known' WHEN id % 3 = 0 THEN NULL ELSE upper(kind) END AS answer FROM content"))
 def udf01(spark: SparkSession, d: str) -> DataFrame:
     c = frame(spark, d, "content").withColumn("arg", F.when(F.col("id") % 3 == 0, "").otherwise(F.col("kind")))
 

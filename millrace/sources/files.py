@@ -171,7 +171,7 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def notes(spark: SparkSession, root: str) -> DataFrame:
     """(path, raw) of the Markdown files below a root, none under a folder or file whose name begins with a dot."""
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(root)
+    raw = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
     where = raw.select(F.col("_metadata.file_path").alias("full"), F.col("value").alias("raw"))
     base = root.rstrip("/").removeprefix("file:")
     rel = F.regexp_replace(F.regexp_replace("full", "^file:/*", "/"), "^" + base.replace("\\", "\\\\") + "/", "")
