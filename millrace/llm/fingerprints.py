@@ -95,7 +95,8 @@ def describe(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     low = -(2**63)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(low)).alias("_o"), F.col(text).alias("_text"))
-    cuts = sorted(set(rows.select(F.percentile_approx("_o", [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] or []))
+    ranges = 4 * parts  # several to a task, so that tasks even out
+    cuts = sorted(set(rows.select(F.percentile_approx("_o", [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"] or []))
     bucket = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("_o"))) if cuts else F.lit(0)
     first = [(r["b"], r["m"]) for r in rows.groupBy(bucket.alias("b")).agg(F.min("_o").alias("m")).orderBy("b").collect()]
     also = {m: first[k - 1][0] for k, (_, m) in enumerate(first)}  # the range before; before the first comes the last
