@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -37,11 +38,25 @@ def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> D
     path = shared_path(spark, label)
     writer = df.write.mode("overwrite")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _made[id(out)] = (weakref.ref(out), path)
+    return out
+
+
+#: The path of each table that materialise() returned and that is still referred to.
+_made: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete the files of tables that materialise() returned, once everything made of them has been written itself."""
+    for df in tables:
+        ref, path = _made.pop(id(df), (None, ""))
+        if ref is not None and ref() is df:
+            remove(df.sparkSession, path)
 
 
 def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder that materialise() made."""
+    """Delete a folder of the shared folder."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)

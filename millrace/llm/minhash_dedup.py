@@ -25,7 +25,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, python_ready, small_side, table
+from millrace.llm.common import forget, materialise, python_ready, small_side, table
 from millrace.llm.components import components
 from millrace.llm.text_arrays import flat, groups, mix, shingles, words_by_row
 
@@ -199,28 +199,34 @@ def confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
 
 
 def candidates(reps: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) among `reps` (rep, n, sig) that connect whatever may reach the threshold."""
+    """Edges (a, b) among `reps` (rep, n, sig) that connect whatever may reach the threshold, written."""
+    used: list[DataFrame] = []
+
+    def written(df: DataFrame, label: str) -> DataFrame:
+        used.append(materialise(df, label))
+        return used[-1]
+
     frontier = reps.select("rep", F.explode(F.transform(F.sequence(F.lit(0), F.lit(ROOTS - 1)), lambda c: F.xxhash64(c, F.get(F.col("sig"), c)))).alias("node"))
     members, edges = [], []
     for level in range(DEPTH + 1):
-        frontier = materialise(frontier.select("node", "rep"), f"nodes-{level}")
+        frontier = written(frontier.select("node", "rep"), f"nodes-{level}")
         counts = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         counted = frontier.join(counts, "node")
         last = level == DEPTH  # what is still large is compared whole: its documents have little in common but their path, or it would have left the node
         members.append(counted.where(F.lit(True) if last else F.col("size") <= SMALL).groupBy("node").agg(F.array_sort(F.collect_set("rep")).alias("members")).select("members"))
         if last:
             break
-        large = materialise(counted.where(F.col("size") > SMALL), f"large-{level}")
+        large = written(counted.where(F.col("size") > SMALL), f"large-{level}")
         if large.isEmpty():
             break
         held = reps.select("rep", "sig").join(small_side(large, large.count()), "rep")
         some = held.where(F.pmod(F.xxhash64("rep", "node"), F.col("size")) < CENTRAL).select("node", "rep", "sig")
-        pivots = materialise(some.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(central, "node long, pivot long, psig array<int>"), f"pivots-{level}")
+        pivots = written(some.repartition("node").sortWithinPartitions("node", "rep").mapInArrow(central, "node long, pivot long, psig array<int>"), f"pivots-{level}")
         known = held.join(small_side(pivots, 64 * pivots.count()), "node", "left")
         share = F.coalesce(F.size(F.filter(F.zip_with("sig", "psig", lambda x, y: x == y), lambda e: e)), F.lit(0)) / TOKENS
         branch = F.transform(F.sequence(F.lit(0), F.lit(BRANCHES - 1)), lambda j: F.lit(ROOTS) + F.pmod(F.xxhash64(F.col("node"), j), F.lit(TOKENS - ROOTS)).cast("int"))
         below = F.transform(branch, lambda c: F.xxhash64(F.col("node"), c, F.get(F.col("sig"), c)))
-        known = materialise(known.select("rep", "pivot", share.alias("share"), below.alias("below")), f"known-{level}")
+        known = written(known.select("rep", "pivot", share.alias("share"), below.alias("below")), f"known-{level}")
         edges.append(known.where((F.col("share") >= ATTACH) & (F.col("rep") != F.col("pivot"))).select(F.col("pivot").alias("a"), F.col("rep").alias("b")))
         frontier = known.where(F.col("share") < CORE).select("rep", F.explode("below").alias("node"))
     lists = members[0]
@@ -231,7 +237,9 @@ def candidates(reps: DataFrame, percent: int) -> DataFrame:
     found = rows.mapInArrow(lambda it: compare(it, percent), "a long, b long")
     for more in edges:
         found = found.union(more)
-    return found.distinct()
+    out = materialise(found.distinct(), "candidates")
+    forget(*used)
+    return out
 
 
 def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -240,7 +248,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     key = ["n", "f1", "f2"]
     classes = materialise(sigs.where("n > 0 AND _id IS NOT NULL").groupBy(*key).agg(F.min("_id").alias("rep"), F.first("sig").alias("sig")), "classes")
     reps = classes.select("rep", "n", "sig")
-    found = materialise(candidates(reps, percent), "candidates")
+    found = candidates(reps, percent)
     out = sigs.select("_id", *key).join(classes.select(*key, "rep"), key, "left")
     if not found.isEmpty():
         group = components(found)
@@ -252,6 +260,7 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
         rows = at.join(sets, "_id").select("_id", "_set", F.explode(cells).alias("_c")).select("_c.cell", "_c.side", "_id", "_set")
         rows = rows.repartition("cell").sortWithinPartitions("cell", "_id")
         links = materialise(rows.mapInArrow(lambda it: confirm(it, percent), "a long, b long"), "confirmed")
+        forget(found, at)
         if not links.isEmpty():
             joined = components(links)
             out = out.join(joined.withColumnRenamed("node", "rep"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
