@@ -12,21 +12,54 @@ from pyspark.sql.types import StringType
 
 from millrace.session import ship
 
-#: Windows device names, academic titles, kinds by extension.
+#: Windows device names, academic titles, kinds by extension, slot number patterns, signs of errors that pass.
 DEVICES = ["con", "prn", "aux", "nul", *[f"com{i}" for i in range(1, 10)], *[f"lpt{i}" for i in range(1, 10)]]
-TITLES = ["dr", "mgr", "prof", "inz", "hab", "doc"]
+TITLES = ["dr", "mgr", "prof", "inz", "hab"]
 KINDS = {
-    "pdf": ["pdf"], "docx": ["docx", "doc", "odt", "rtf"], "pptx": ["pptx", "ppt", "odp"], "xlsx": ["xlsx", "xls", "ods"],
-    "image": ["png", "jpg", "jpeg", "gif", "bmp", "webp", "tif", "tiff", "svg"], "text": ["txt", "md", "csv", "tex", "log", "html", "htm", "xml", "json", "yaml", "yml", "ini"],
-    "code": ["py", "c", "h", "cpp", "hpp", "cs", "java", "js", "ts", "m", "r", "sql", "asm", "s", "sh", "vhd", "v", "ipynb", "go", "rs", "php", "rb", "pl", "hs"],
-    "archive": ["zip", "rar", "7z", "tar", "gz", "bz2", "xz"], "media": ["mp4", "mkv", "avi", "mov", "mp3", "wav", "m4a", "flac", "webm"],
-}
+    "pdf": ["pdf"],
+    "docx": ["doc", "docx", "odt", "rtf"],
+    "pptx": ["ppt", "pptx", "pps", "ppsx", "odp"],
+    "xlsx": ["xls", "xlsx", "xlsm", "ods", "csv"],
+    "image": ["png", "jpg", "jpeg", "gif", "bmp", "tif", "tiff", "webp", "heic", "jfif", "svg"],
+    "text": ["txt", "md", "tex", "typ", "html", "htm", "json", "yaml", "yml", "xml", "log"],
+    "code": ["c", "cpp", "cc", "h", "hpp", "py", "java", "js", "ts", "cs", "sql", "sh", "m", "r", "go", "rs", "kt", "ipynb", "asm", "s", "v", "vhd", "vhdl", "hs"],
+    "archive": ["zip", "rar", "7z", "tar", "gz", "bz2", "xz", "tgz"],
+    "media": ["mp4", "mov", "avi", "mkv", "webm", "wav", "flac", "mp3", "m4a"],
+}
+SLOTS = {
+    "nr_laby": r"(?<![a-z0-9])lab(?:oratorium)?[_\-. ]?(\d{1,2})(?![0-9])",
+    "nr_kolosa": r"(?<![a-z0-9])kol(?:okwium|os)?[_\-. ]?(\d{1,2})(?![0-9])",
+    "nr_wykladu": r"(?<![a-z0-9])wyk(?:lad)?[_\-. ]?(\d{1,2})(?![0-9])",
+    "nr_projektu": r"(?<![a-z0-9])proj(?:ekt)?[_\-. ]?(\d{1,2})(?![0-9])",
+}
+PASSING = ["server error", "service unavailable", "bad gateway", "gateway timeout", "too many requests", "too many users", "again later", "many accesses", "rate limit", "ratelimit", "quota", "temporar", "timeout", "timed out", "connection reset", "connection aborted", "connectionerror", "connection error", "remote end closed", "broken pipe"]
+PASSING_STATUS = r"(status code |http )(429|500|502|503|504)|\b(429|500|502|503|504)\b\s+(client|server)\s+error"
 
 
 def kind_of(extension: Column) -> Column:
-    """Content kind of an extension, whatever its case and the blanks around it; `other` if unknown."""
-    pairs = [F.lit(x) for kind, exts in KINDS.items() for e in exts for x in ("." + e, kind)]
-    return F.coalesce(F.element_at(F.create_map(*pairs), F.lower(F.trim(extension))), F.lit("other"))
+    """Content kind of an extension, with or without its dot, whatever its case and the blanks around it; `other` if unknown."""
+    pairs = [F.lit(x) for kind, exts in KINDS.items() for e in exts for x in (e, kind)]
+    return F.coalesce(F.element_at(F.create_map(*pairs), F.regexp_replace(F.lower(F.trim(extension)), r"^\.", "")), F.lit("other"))
+
+
+def passing_error(message: Column) -> Column:
+    """Whether an error is worth another try."""
+    low = F.lower(message)
+    return low.rlike("|".join(PASSING)) | low.rlike(PASSING_STATUS)
+
+
+def lecturer(path: Column) -> Column:
+    """The name in the first path segment that begins with an academic title; null if there is none."""
+    pattern = r"^(?:" + "|".join(TITLES) + r")(?![a-z])[.\s_-]*(.+)$"
+    names = F.transform(F.split(path, "/"), lambda s: F.btrim(F.regexp_extract(F.trim(folded(s)), pattern, 1), F.lit(" ._-")))
+    return F.get(F.filter(names, lambda n: n != ""), F.lit(0))
+
+
+def slot_numbers(c: Column) -> Column:
+    """A map from slot to its number, for slots with exactly one number in the text."""
+    low = folded(c)
+    found = F.array(*[F.struct(F.lit(k).alias("k"), F.array_distinct(F.regexp_extract_all(low, F.lit(p), F.lit(1))).alias("v")) for k, p in SLOTS.items()])
+    return F.map_from_entries(F.transform(F.filter(found, lambda e: F.size(e["v"]) == 1), lambda e: F.struct(e["k"].alias("key"), F.get(e["v"], F.lit(0)).alias("value"))))
 
 
 def folded(c: Column) -> Column:
@@ -72,7 +105,7 @@ def safe_name(c: Column, default: str = "bez_nazwy") -> Column:
 
 
 def numbers(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(r"(?<![0-9])([0-9]{4})(?![0-9])"), F.lit(1))
+    return F.regexp_extract_all(c, F.lit(r"(?<!\d)((?:19|20)\d{2})(?!\d)"), F.lit(1))
 
 
 def year_of(c: Column, today: int) -> Column:

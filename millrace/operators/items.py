@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 
 GROUND_TRUTH = "ground_truth"
+#: Suffixes and folders of build products, and patterns of paths that are noise among clusters.
+BUILD_SUFFIXES = ["obj", "o", "ilk", "pdb", "tlog", "lastbuildstate", "idb", "exp", "res", "ncb", "suo", "sdf", "opendb", "aps", "user", "lib", "dll", "exe", "class", "pyc", "log", "tmp", "bak"]
+BUILD_FOLDERS = ["Debug", "Release", "x64", "ipch", "bin", "obj", ".vs", ".git", "__pycache__", "node_modules", ".idea"]
+NOISE = ["*.vcxproj*", "*.sln", "*.suo", "*/__pycache__/*", "*/node_modules/*", "*/.git/*"]
 STAGES = ["discovered", "hashed", "extracted", "classified", "planned", "applied", "verified"]
 
 
@@ -89,12 +93,23 @@ def pending(files: DataFrame, stage: str, duplicates: DataFrame) -> DataFrame:
     return rows if stage == "hashed" else under_any(rows, "folder", duplicates, "folder", keep=False)
 
 
-def artifact(path: Column, suffixes: list[str], folders: list[str]) -> Column:
-    """Build products: by suffix, or under a folder of that name."""
+def artifact(path: Column, suffixes: list[str] = BUILD_SUFFIXES, folders: list[str] = BUILD_FOLDERS) -> Column:  # noqa: B006
+    """Build products: by suffix, or under a folder of that name, whatever the case."""
     segs = F.transform(F.split(path, "/"), T.folded)
-    name = F.element_at(segs, -1)
-    by_suffix = reduce(lambda a, b: a | b, [name.endswith(s) for s in suffixes], F.lit(False))
-    return by_suffix | F.arrays_overlap(F.slice(segs, F.lit(1), F.greatest(F.size(segs) - 1, F.lit(0))), F.lit(folders))
+    suffix = F.regexp_extract(F.element_at(segs, -1), r"\.([^.]*)$", 1)
+    return suffix.isin([x.lower().lstrip(".") for x in suffixes]) | F.arrays_overlap(F.slice(segs, F.lit(1), F.greatest(F.size(segs) - 1, F.lit(0))), F.lit([x.lower() for x in folders]))
+
+
+def glob(pattern: str) -> str:
+    """A file name pattern as a regular expression."""
+    import fnmatch
+
+    return fnmatch.translate(pattern).replace(r"\Z", "$").replace(r"\z", "$")
+
+
+def noise(path: Column, patterns: list[str] = NOISE) -> Column:  # noqa: B006
+    """Whether a path matches one of the patterns."""
+    return reduce(lambda a, b: a | b, [path.rlike(glob(p)) for p in patterns], F.lit(False))
 
 
 def skip_reason(name: Column, is_link: Column) -> Column:

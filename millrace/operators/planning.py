@@ -139,15 +139,17 @@ def numbered_names(rows: DataFrame, key: list[str], name: str, order: str) -> Da
     return rows.withColumn("unique_name", F.when(n == 1, F.col(name)).otherwise(F.concat(stem, F.lit("__dup"), (n - 1).cast("string"), suffix)))
 
 
+#: Marks of copies, and names given by devices.
+COPY_NAME = r"(?i)^(?:Kop(?:i)?a |Copy of )|\([1-9][0-9]*\)$| - (?:kopia|Copy)$"
+DEVICE_NAME = r"(?i)^(?:IMG[-_ ]?[0-9]+|DSC[-_ ]?[0-9]+|scan[-_ ]?[0-9]*$|obraz(?: \([0-9]+\))?$|zrzut ekranu.*$|bez tytułu$|[0-9]{8}[-_ ][0-9]{6}$)"
+
+
 def best_name(rows: DataFrame, key: str, name: str) -> DataFrame:
-    """The most telling file name: no copy mark, not generic, more parts, longer, then by name."""
-    n = F.lower(name)
-    stem = F.regexp_replace(name, r"\.[^.]*$", "")
-    copy = n.rlike(r"kopia|copy|\(\d+\)").cast("int")
-    generic = n.rlike(r"^(img|scan|doc|document|skan|untitled|bez)[ _-]?\d*\.").cast("int")
-    parts = F.size(F.filter(F.split(stem, r"[ _-]+"), lambda p: p != ""))
-    order = F.struct(copy.alias("a"), generic.alias("b"), (-parts).alias("c"), (-F.length(stem)).alias("d"), F.col(name).alias("e"))
-    return rows.groupBy(key).agg(F.min_by(name, order).alias("best"))
+    """The most telling file name: no copy mark, not given by a device, more parts, longer, then by name."""
+    stem = F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
+    parts = F.size(F.filter(F.split(stem, r"[_\s.-]+"), lambda p: p != ""))
+    order = F.struct(stem.rlike(COPY_NAME).alias("a"), stem.rlike(DEVICE_NAME).alias("b"), (-parts).alias("c"), (-F.length(stem)).alias("d"), F.col(name).alias("e"))
+    return rows.where(F.trim(name) != "").groupBy(key).agg(F.min_by(name, order).alias("best"))
 
 
 def undo_last(log: DataFrame, user: str) -> DataFrame:

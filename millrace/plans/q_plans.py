@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import planning as P
 from millrace.operators import similarity as S
+from millrace.operators.items import noise
 from millrace.plans.fixtures import frame, sql
 from millrace.plans.registry import query
 
@@ -36,8 +37,9 @@ def win03(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "files").where("sha IS NOT NULL").groupBy("sha").agg(F.min("file_id").alias("file_id"))
 
 
-@query("win05_best_name", sql("files", r"""SELECT sha, arg_min(filename, {'a': regexp_matches(lower(filename), 'kopia|copy|\(\d+\)')::INT, 'b': regexp_matches(lower(filename), '^(img|scan|doc|document|skan|untitled|bez)[ _-]?\d*\.')::INT,
-  'c': -len(list_filter(regexp_split_to_array(regexp_replace(filename, '\.[^.]*$', ''), '[ _-]+'), lambda p: p <> '')), 'd': -length(regexp_replace(filename, '\.[^.]*$', '')), 'e': filename}) AS best FROM files WHERE sha IS NOT NULL GROUP BY sha"""))
+@query("win05_best_name", sql("files", r"""WITH s AS (SELECT sha, filename, regexp_replace(filename, '\.[^.]*$', '') AS st FROM files WHERE sha IS NOT NULL)
+SELECT sha, arg_min(filename, {'a': regexp_matches(st, '(?i)^(?:Kop(?:i)?a |Copy of )|\([1-9][0-9]*\)$| - (?:kopia|Copy)$'), 'b': regexp_matches(st, '(?i)^(IMG[-_ ]?[0-9]+|DSC[-_ ]?[0-9]+|scan[-_ ]?[0-9]*$)'),
+  'c': -len(list_filter(regexp_split_to_array(st, '[_\s.-]+'), lambda p: p <> '')), 'd': -length(st), 'e': filename}) AS best FROM s GROUP BY sha"""))
 def win05(spark: SparkSession, d: str) -> DataFrame:
     return P.best_name(frame(spark, d, "files").where("sha IS NOT NULL"), "sha", "filename")
 
@@ -275,9 +277,9 @@ def gra01(spark: SparkSession, d: str) -> DataFrame:
 @query("fil13_noise_clusters", sql("files relations", "SELECT src, tgt FROM relations WHERE src NOT IN (SELECT sha FROM files WHERE sha IS NOT NULL AND regexp_matches(relpath, '^.*/doc_1[^/]*$')) AND tgt NOT IN (SELECT sha FROM files WHERE sha IS NOT NULL AND regexp_matches(relpath, '^.*/doc_1[^/]*$'))"))
 def fil13(spark: SparkSession, d: str) -> DataFrame:
     made: dict = {}
-    noise = frame(spark, d, "files", made).where("sha IS NOT NULL").where(F.col("relpath").rlike("^.*/doc_1[^/]*$")).select("sha").distinct()
+    bad = frame(spark, d, "files", made).where("sha IS NOT NULL").where(noise(F.col("relpath"), ["*/doc_1*"])).select("sha").distinct()
     r = frame(spark, d, "relations", made)
-    return r.join(noise.withColumnRenamed("sha", "src"), "src", "left_anti").join(noise.withColumnRenamed("sha", "tgt"), "tgt", "left_anti").select("src", "tgt")
+    return r.join(bad.withColumnRenamed("sha", "src"), "src", "left_anti").join(bad.withColumnRenamed("sha", "tgt"), "tgt", "left_anti").select("src", "tgt")
 
 
 SIG = """sig AS (SELECT sha, 'h' || (id % 40) AS text_hash, sha2x AS simhash, id FROM (SELECT sha, id, substr(md5((id // 3)::VARCHAR), 1, 14) || lpad(to_hex(id % 4), 2, '0') AS sha2x FROM content) x)"""

@@ -137,14 +137,21 @@ def str27(spark: SparkSession, d: str) -> DataFrame:
 @query("str28_transient_error", "SELECT event_id, regexp_matches(m, '(timeout|reset|temporar|HTTP (429|5[0-9][0-9]))') AS transient FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'HTTP 503' WHEN 1 THEN 'HTTP 404' WHEN 2 THEN 'read timeout' ELSE 'denied' END AS m FROM events) x")
 def str28(spark: SparkSession, d: str) -> DataFrame:
     m = F.expr("CASE event_id % 4 WHEN 0 THEN 'HTTP 503' WHEN 1 THEN 'HTTP 404' WHEN 2 THEN 'read timeout' ELSE 'denied' END")
-    return frame(spark, d, "events").select("event_id", m.rlike("(timeout|reset|temporar|HTTP (429|5[0-9][0-9]))").alias("transient"))
+    return frame(spark, d, "events").select("event_id", T.passing_error(m).alias("transient"))
 
 
-@query("str12_lecturer", sql("files", "SELECT file_id, CASE WHEN file_id % 4 = 0 THEN 'dr Anna ' || package END AS lecturer FROM files"))
+@query("str10_slot_numbers", sql("files", "SELECT file_id, CASE WHEN file_id % 3 = 0 THEN (file_id % 20)::VARCHAR END AS lab, CASE WHEN file_id % 3 = 1 AND file_id % 20 = (file_id + 1) % 20 THEN '1' END AS kol FROM files"))
+def str10b(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("file_id")
+    s = F.when(i % 3 == 0, F.concat(F.lit("Lab "), (i % 20).cast("string"), F.lit(".pdf"))).when(i % 3 == 1, F.concat(F.lit("kol_"), (i % 20).cast("string"), F.lit(" kol_"), ((i + 1) % 20).cast("string"))).otherwise(F.col("filename"))
+    m = T.slot_numbers(s)
+    return frame(spark, d, "files").select("file_id", F.element_at(m, "nr_laby").alias("lab"), F.element_at(m, "nr_kolosa").alias("kol"))
+
+
+@query("str12_lecturer", sql("files", "SELECT file_id, CASE WHEN file_id % 4 = 0 THEN 'anna ' || package END AS lecturer FROM files"))
 def str12(spark: SparkSession, d: str) -> DataFrame:
     path = F.concat_ws("/", "package", F.when(F.col("file_id") % 4 == 0, F.concat(F.lit("dr Anna "), "package")), "filename")
-    segs = F.filter(F.split(path, "/"), lambda s: F.lower(s).rlike("^(" + "|".join(T.TITLES) + r")\b"))
-    return frame(spark, d, "files").select("file_id", F.get(segs, F.lit(0)).alias("lecturer"))
+    return frame(spark, d, "files").select("file_id", T.lecturer(path).alias("lecturer"))
 
 
 @query("dat01_02_days", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%Y-%m-%d') AS day FROM events")

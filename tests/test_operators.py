@@ -152,3 +152,15 @@ def test_filters(spark):
     assert ids() == {1, 2, 3} and ids(classified=False) == {3} and ids(ground_truth=False) == {1, 3} and ids(needs_review=False) == {1, 3} and ids(confidence=(0.5, 0.5)) == {1}
     got = spark.createDataFrame([(0.9,), (0.7,), (0.69,), (None,)], "c double").select(confidence_bucket(F.col("c"))).collect()
     assert [r[0] for r in got] == ["auto", "review", "unresolved", "brak"]
+
+
+def test_best_name_prefers_telling_names(spark):
+    rows = spark.createDataFrame([(1, "Kopia egzamin.pdf"), (1, "IMG_20190312_123456.jpg"), (1, "AiSD_2012_egzamin.jpg"), (1, "egzamin (1).pdf"), (2, "scan12.pdf"), (2, "b.pdf")], "k int, name string")
+    assert {r.k: r.best for r in P.best_name(rows, "k", "name").collect()} == {1: "AiSD_2012_egzamin.jpg", 2: "b.pdf"}
+
+
+def test_build_products_and_noise(spark):
+    from millrace.operators.items import artifact, noise
+
+    df = spark.createDataFrame([("a/Debug/x.c",), ("a/x.OBJ",), ("a/debug.c",), ("p/.git/x",), ("p/x.sln",)], "p string")
+    assert [tuple(r) for r in df.select(artifact(F.col("p")), noise(F.col("p"))).collect()] == [(True, False), (True, False), (False, False), (True, True), (False, True)]

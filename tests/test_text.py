@@ -57,3 +57,14 @@ def test_sizes_times_and_cuts(spark):
     assert one(spark, T.duration(F.lit(3725))) == "1:02:05" and one(spark, T.duration(F.lit(65))) == "01:05" and one(spark, T.duration(F.lit(None).cast("double"))) == "—"
     assert one(spark, T.middle_cut(F.col("s"), 5), s="abcdefgh") == "ab…gh"
     assert one(spark, T.safe_name(F.col("s")), s=" a:b?. ") == "a_b_" and one(spark, T.safe_name(F.col("s")), s="...") == "bez_nazwy"
+
+
+def test_slots_lecturers_and_errors(spark):
+    assert one(spark, T.slot_numbers(F.col("s")), s="Laboratorium 3 - kol_2 kol_4") == {"nr_laby": "3"}
+    assert one(spark, T.lecturer(F.col("p")), p="x/Drzewa/dr inż. Kowalski/a.pdf") == "inz. kowalski"
+    assert one(spark, T.lecturer(F.col("p")), p="x/drzewa") is None
+    assert [one(spark, T.passing_error(F.col("m")), m=m) for m in ("HTTP 503", "429 Client Error", "http 404", "Read timed out")] == [True, True, False, True]
+
+
+def test_kinds(spark):
+    assert [one(spark, T.kind_of(F.col("e")), e=e) for e in (".PDF", "csv ", "", ".nope", "tgz")] == ["pdf", "xlsx", "other", "other", "archive"]
