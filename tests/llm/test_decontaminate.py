@@ -1,4 +1,3 @@
-import itertools
 import re
 
 from millrace.llm import decontaminate as D
@@ -45,12 +44,17 @@ def brute(rows, items):
     own = [(k, tpl, slots) for k, t in items if len(tokens(t)) > 1 for _, tpl, slots in windows(t, [min(8, len(tokens(t)))])]
     lengths = {len(tpl) for _, tpl, _ in own}
     out = {}
-    for (i, t), (k, tpl, slots) in itertools.product(rows, own):
+    for i, t in rows:
+        held = {}
         for at, x, s in windows(t, lengths):
-            if x == tpl and len(set(zip(slots, s))) == len(set(slots)) == len(set(s)):
-                out.setdefault((i, k), (set(), set()))[0].add(at)
-                if s == slots:
-                    out[i, k][1].add(at)
+            held.setdefault(x, []).append((at, s))
+        for k, tpl, slots in own:
+            for at, s in held.get(tpl, []):
+                if len(set(zip(slots, s))) == len(set(slots)) == len(set(s)):
+                    found = out.setdefault((i, k), (set(), set()))
+                    found[0].add(at)
+                    if s == slots:
+                        found[1].add(at)
     return {key: (len(a), len(b)) for key, (a, b) in out.items()}
 
 
