@@ -215,10 +215,19 @@ def normalised(c: Column) -> Column:
     return run(c)
 
 
+def shingle_halves(words: Column, k: int = 3) -> Column:
+    """The two halves of the md5 of each word shingle, as integers."""
+    grams = F.filter(shingles(words, k), lambda g: g != "")
+    return F.transform(grams, lambda g: F.struct(F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long").alias("a"), F.conv(F.substring(F.md5(g), 9, 8), 16, 10).cast("long").alias("b")))
+
+
 def simhash64(words: Column, k: int = 3) -> Column:
     """A 64-bit signature as 16 hex digits, from md5 of the word shingles weighted by their frequency: SQL alone can state it. Null without words."""
-    grams = F.filter(shingles(words, k), lambda g: g != "")
-    halves = F.transform(grams, lambda g: F.struct(F.conv(F.substring(F.md5(g), 1, 8), 16, 10).cast("long").alias("a"), F.conv(F.substring(F.md5(g), 9, 8), 16, 10).cast("long").alias("b")))
+    return simhash_of(shingle_halves(words, k))
+
+
+def simhash_of(halves: Column) -> Column:
+    """The signature of `shingle_halves`; each bit reads them once, so long texts have them behind a Generate."""
 
     def digit(first: int, field: str) -> Column:
         value = F.lit(0)
@@ -228,4 +237,4 @@ def simhash64(words: Column, k: int = 3) -> Column:
             value = value + F.when(votes > 0, 8 >> bit).otherwise(0)
         return F.lower(F.hex(value.cast("long")))
 
-    return F.when(F.size(grams) > 0, F.concat(*[digit(i, f) for f in ("a", "b") for i in range(8)]))
+    return F.when(F.size(halves) > 0, F.concat(*[digit(i, f) for f in ("a", "b") for i in range(8)]))

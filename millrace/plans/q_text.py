@@ -31,8 +31,9 @@ _DIGITS = ", ".join(f"(CASE WHEN sum(CASE WHEN (('0x' || substr(h, {1 + 8 * f},
 
 @query("str04_simhash_md5", f"WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE n_chars < 1500), g AS (SELECT doc_id, md5(unnest(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS h FROM w), v AS (SELECT doc_id, [{_DIGITS}] AS b FROM g GROUP BY doc_id) SELECT doc_id, array_to_string(list_transform(range(0, 16), lambda k: lower(to_hex(8 * b[4 * k + 1] + 4 * b[4 * k + 2] + 2 * b[4 * k + 3] + b[4 * k + 4]))), '') AS simhash FROM v")
 def str04(spark: SparkSession, d: str) -> DataFrame:
-    rows = frame(spark, d, "documents").where("n_chars < 1500").select("doc_id", F.explode(F.array(F.struct(F.split("text", " ").alias("w")))).alias("x"))
-    return rows.select("doc_id", T.simhash64(F.col("x.w")).alias("simhash"))
+    rows = frame(spark, d, "documents").select("doc_id", F.explode(F.array(F.struct(F.split("text", " ").alias("w")))).alias("x"))
+    made = rows.select("doc_id", F.explode(F.array(F.struct(T.shingle_halves(F.col("x.w")).alias("h")))).alias("y"))
+    return made.select("doc_id", T.simhash_of(F.col("y.h")).alias("simhash"))
 
 
 @query("str05_hamming", "SELECT doc_id, bit_count(xor(('0x' || substr(md5(text), 1, 16))::UBIGINT, ('0x' || substr(md5(lang), 1, 16))::UBIGINT))::INT AS distance FROM documents")
