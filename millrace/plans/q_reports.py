@@ -180,8 +180,7 @@ def agg25(spark: SparkSession, d: str) -> DataFrame:
 
 @query("agg26_longest_streak", "WITH d AS (SELECT DISTINCT ts::DATE AS day FROM events WHERE event_id % 40 = 0 AND user_id % 3 = 0), g AS (SELECT day - (row_number() OVER (ORDER BY day))::INT AS k FROM d) SELECT coalesce(max(n), 0) AS streak FROM (SELECT count(*) AS n FROM g GROUP BY k) x")
 def agg26(spark: SparkSession, d: str) -> DataFrame:
-    rows = frame(spark, d, "events").where("event_id % 40 = 0 AND user_id % 3 = 0")
-    return R.longest_streak(rows.select(F.col("ts").cast("date").alias("day")))
+    return R.longest_streak(frame(spark, d, "events").select(F.col("ts").cast("date").alias("day")))
 
 
 @query("agg34_media_files", sql("decisions", "SELECT action, count(*) AS n, count(DISTINCT regexp_replace(target, '/[^/]*$', '')) AS parents, min(target) AS first_target FROM decisions WHERE action IN ('copy', 'media') GROUP BY action"))
