@@ -116,7 +116,7 @@ def str21(spark: SparkSession, d: str) -> DataFrame:
 
 @query("str22_quoted", r"""SELECT doc_id, '"' || replace(replace(replace(substr(text, 1, 60), '\', '\\'), '"', '\"'), chr(10), '\n') || '"' AS quoted FROM documents""")
 def str22(spark: SparkSession, d: str) -> DataFrame:
-    t = F.replace(F.replace(F.replace(F.substring("text", 1, 60), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+    t = F.replace(F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     return frame(spark, d, "documents").select("doc_id", F.concat(F.lit('"'), t, F.lit('"')).alias("quoted"))
 
 

@@ -13,6 +13,7 @@ SF = "/root/testdata/sf0.001"
     [
         ("str04_simhash_md5", "documents", " WHERE n_chars < 1500", ""),
         ("agg26_longest_streak", "events", " WHERE event_id % 40 = 0 AND user_id % 3 = 0", ""),
+        ("str22_quoted", "documents", "substr(text, 1, 60)", "text"),
     ],
 )
 def test_no_row_or_length_limit(spark, name, table, limit, whole):
