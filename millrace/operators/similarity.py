@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,17 +31,59 @@ def bands(limit: int) -> list[tuple[int, int]]:
     return out
 
 
-def distance_pairs(signatures: DataFrame, attribute: str, limit: int, max_bucket: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """((left, right, distance), (skipped)) for signatures within `limit` bits. Pairs meet in a band; bands with more than max_bucket contents are left out and counted."""
+def meet(rows: DataFrame, by: list[str], item: str, n: Column, block: int) -> DataFrame:
+    """(*by, x, y), x < y: all pairs of items of `rows` with the same `by`, of which there are n. A group of more than `block` is dealt over blocks, and each two blocks meet under a key of their own."""
+    parts = F.greatest(F.ceil(n / block), F.lit(1))
+    dealt = rows.select(*by, F.col(item).alias("_i"), parts.alias("_n")).withColumn("_m", F.pmod(F.xxhash64("_i"), F.col("_n")))
+    each = dealt.select(*by, "_i", "_m", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_o")).withColumns({"_lo": F.least("_m", "_o"), "_hi": F.greatest("_m", "_o")})
+    key = [*by, "_lo", "_hi"]
+    a, b = each.where("_m = _lo").select(*key, F.col("_i").alias("_a")), each.where("_m = _hi").select(*key, F.col("_i").alias("_b"))
+    return a.join(b, key).where("_lo < _hi OR _a < _b").select(*by, F.least("_a", "_b").alias("x"), F.greatest("_a", "_b").alias("y"))
+
+
+def finer(tables: dict[int, tuple[int, list[int]]], limit: int) -> list[tuple[int, int, list[int]]]:
+    """(table, mask, free bits) for each table (its mask and free bits) and each of limit + 1 bands of its free bits added to its mask."""
+    out = []
+    for t, (mask, free) in tables.items():
+        at = 0
+        for i in range(limit + 1):
+            width = len(free) // (limit + 1) + (i < len(free) % (limit + 1))
+            band = free[at : at + width]
+            at += width
+            out.append((t, mask | sum(1 << b for b in band), [b for b in free if b not in band]))
+    return out
+
+
+def distance_pairs(signatures: DataFrame, attribute: str, limit: int, max_bucket: int = 1000, max_tables: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """((left, right, distance), (skipped)) for signatures within `limit` bits; every pair is found. Distinct values meet in a band. Those in a bucket of more than max_bucket values meet in the bands of
+    the bits that are left, which again hold one on which a near pair agrees, and so on while there are at most max_tables tables; what is still larger is compared block by block.
+    `skipped` counts the buckets of the first bands that were split so."""
     rows = signatures.where(F.coalesce(F.col(attribute), F.lit("")) != "").select("sha", F.conv(F.col(attribute), 16, -10).cast("long").alias("v"))
-    cut = [F.struct(F.lit(i).alias("band"), (F.shiftrightunsigned("v", off) if off else F.col("v")).bitwiseAND(F.lit((1 << width) - 1 if width < 64 else -1)).alias("key")) for i, (off, width) in enumerate(bands(limit))]
-    keyed = rows.select("sha", "v", F.explode(F.array(*cut)).alias("k")).select("sha", "v", "k.band", "k.key")
-    sizes = keyed.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    small = sizes.where(F.col("n") <= max_bucket).select("band", "key")
-    kept = keyed.join(small, ["band", "key"])
-    a, b = kept.select("band", "key", F.col("sha").alias("left"), F.col("v").alias("x")), kept.select("band", "key", F.col("sha").alias("right"), F.col("v").alias("y"))
-    near = a.join(b, ["band", "key"]).where("left < right").withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y")))).where(F.col("distance") <= limit)
-    return near.select("left", "right", "distance").dropDuplicates(["left", "right"]), sizes.agg(F.count(F.when(F.col("n") > max_bucket, 1)).alias("skipped"))
+    spark = signatures.sparkSession
+    todo = rows.select("v").distinct().withColumn("t", F.lit(0))
+    tables: dict[int, tuple[int, list[int]]] = {0: (0, list(range(64)))}
+    found, skipped = [], None
+    while True:
+        cut = finer(tables, limit)
+        signed = [(t, i, m - (1 << 64) if m >> 63 else m) for i, (t, m, _) in enumerate(cut)]
+        masks = F.broadcast(spark.createDataFrame(signed, "t int, u int, mask long"))
+        keyed = todo.join(masks, "t").select("v", F.col("u").alias("t"), F.col("v").bitwiseAND(F.col("mask")).alias("key"))
+        sizes = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        many = sizes.where(F.col("n") > max_bucket)
+        skipped = many.agg(F.count(F.lit(1)).alias("skipped")) if skipped is None else skipped
+        tables = {i: (m, free) for i, (_, m, free) in enumerate(cut)}
+        more = many.limit(1).count() > 0
+        last = not more or len(tables) * (limit + 1) > max_tables or min(len(free) for _, free in tables.values()) <= limit
+        close = keyed.join(sizes if last else sizes.where(F.col("n") <= max_bucket), ["t", "key"])
+        found.append(meet(close, ["t", "key"], "v", F.col("n"), max_bucket))
+        if last:
+            break
+        todo = keyed.join(many, ["t", "key"], "left_semi").select("v", "t")
+    near = reduce(DataFrame.unionAll, [f.select("x", "y") for f in found]).withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y")))).where(F.col("distance") <= limit).distinct()
+    one, two = rows.select(F.col("sha").alias("s"), F.col("v").alias("x")), rows.select(F.col("sha").alias("o"), F.col("v").alias("y"))
+    apart = near.join(one, "x").join(two, "y").where("s <> o").select(F.least("s", "o").alias("left"), F.greatest("s", "o").alias("right"), "distance")
+    same = one.join(two, F.col("x") == F.col("y")).where("s < o").select(F.col("s").alias("left"), F.col("o").alias("right"), F.lit(0).alias("distance"))
+    return same.union(apart).dropDuplicates(["left", "right"]), skipped
 
 
 def relations(signatures: DataFrame, *, near: int = 3, related: int = 8, phash: int = 8, veto: int = 12, min_chars: int = 40, bonus: float = 0.05, scale: float = 0.6, max_bucket: int = 1000) -> DataFrame:

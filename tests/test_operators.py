@@ -76,6 +76,19 @@ def test_distances_and_bucket_guard(spark):
     assert skipped.first().skipped > 0
 
 
+def test_pairs_in_large_buckets_are_found(spark):
+    import random
+
+    r = random.Random(5)
+    values = [r.getrandbits(64) & ~0xFF | i % 4 for i in range(6)]
+    values += [v ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 9))) for v in values for _ in range(20)]
+    rows = sigs(spark, [(f"s{i:03}", None, f"{v:016x}", None, None, [], 0) for i, v in enumerate(values)])
+    for limit in (3, 8):
+        want = {(f"s{i:03}", f"s{j:03}", d) for j, y in enumerate(values) for i, x in enumerate(values[:j]) if (d := (x ^ y).bit_count()) <= limit}
+        near, skipped = S.distance_pairs(rows, "simhash", limit, max_bucket=2)
+        assert [tuple(x) for x in near.orderBy("left", "right").collect()] == sorted(want) and skipped.first().skipped > 0
+
+
 def test_relations_layers(spark):
     rows = sigs(spark, [
         ("a", "h", flip(0), None, "2020", ["f"], 100), ("b", "h", flip(0), None, "2021", ["g"], 100),
