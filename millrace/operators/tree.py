@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.similarity import meet
 
 
 def up(files: DataFrame, folders: DataFrame, *cols: str) -> DataFrame:
@@ -66,15 +67,21 @@ def inventory(files: DataFrame, content: DataFrame, dups: DataFrame) -> DataFram
     return files.drop("text").join(content.select("sha", "kind"), "sha", "left").join(copies, "sha", "left").join(near, "folder", "left")
 
 
-def common_counts(sets: DataFrame, max_folders: int = 200, max_pairs: int = 5_000_000) -> tuple[DataFrame | None, int]:
-    """(a, b, common) for folders that share contents, of `sets` (folder, sha) without repeats, and the number of contents left out because more than max_folders hold them. None if that would count more than max_pairs."""
+def common_counts(sets: DataFrame, max_folders: int | None = None, max_pairs: int | None = None) -> tuple[DataFrame | None, int]:
+    """(a, b, common) for folders that share contents, of `sets` (folder, sha) without repeats, and the number of contents left out. None is left out unless max_folders or max_pairs is given: then contents that more folders hold are,
+    and the result is None if it would count more pairs. Contents of the same folders are counted as one, and folders that share many meet block by block."""
     sizes = sets.groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
-    told = sizes.agg(F.sum(F.when(F.col("n") <= max_folders, F.col("n") * (F.col("n") - 1) / 2)).alias("pairs"), F.count(F.when(F.col("n") > max_folders, 1)).alias("skipped")).first()
-    if (told["pairs"] or 0) > max_pairs:
-        return None, told["skipped"]
-    kept = sets.join(sizes.where((F.col("n") > 1) & (F.col("n") <= max_folders)).select("sha"), "sha")
-    other = kept.select("sha", F.col("folder").alias("b"))
-    return kept.withColumnRenamed("folder", "a").join(other, "sha").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")), told["skipped"]
+    few, skipped = F.lit(True) if max_folders is None else F.col("n") <= max_folders, 0
+    if max_folders is not None or max_pairs is not None:
+        told = sizes.agg(F.sum(F.when(few, F.col("n") * (F.col("n") - 1) / 2)).alias("pairs"), F.count(F.when(~few, 1)).alias("skipped")).first()
+        skipped = told["skipped"]
+        if max_pairs is not None and (told["pairs"] or 0) > max_pairs:
+            return None, skipped
+    kept = sets.join(sizes.where((F.col("n") > 1) & few).select("sha"), "sha")
+    alike = kept.groupBy("sha").agg(F.array_sort(F.collect_list("folder")).alias("f")).groupBy("f").agg(F.count(F.lit(1)).alias("w"))
+    held = alike.select(F.sha2(F.array_join("f", "\0"), 256).alias("k"), "w", F.size("f").alias("n"), F.explode("f").alias("folder"))
+    pairs = meet(held, ["k", "w"], "folder", F.col("n"), 256).groupBy(F.col("x").alias("a"), F.col("y").alias("b")).agg(F.sum("w").alias("common"))
+    return pairs, skipped
 
 
 def most_specific(pairs: DataFrame) -> DataFrame:
@@ -90,8 +97,6 @@ def overlap(files: DataFrame, folders: DataFrame, dups: DataFrame, min_ratio: fl
     sets = up(files.where("sha IS NOT NULL"), folders, "sha").select("folder", "sha").distinct()
     sizes = sets.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     pairs, _ = common_counts(sets.join(sizes.select("folder"), "folder"))
-    if pairs is None:
-        raise ValueError("too many pairs of folders share contents")
     nested = F.col("b").startswith(F.concat("a", F.lit("/"))) | F.col("a").startswith(F.concat("b", F.lit("/")))
     met = pairs.where(~nested).join(sizes.select(F.col("folder").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("folder").alias("b"), F.col("n").alias("nb")), "b")
     met = met.withColumns({"ratio": F.round(F.col("common") / F.least("na", "nb"), 4), "jaccard": F.round(F.col("common") / (F.col("na") + F.col("nb") - F.col("common")), 4)}).where(F.col("common") / F.least("na", "nb") >= min_ratio)

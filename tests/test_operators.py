@@ -54,6 +54,17 @@ def test_overlap_guards(spark):
     assert tree.common_counts(sets, max_pairs=1) == (None, 0)
 
 
+def test_overlap_counts_contents_of_many_folders(spark):
+    wide = spark.createDataFrame([(f"f{i:03}", "s") for i in range(300)] + [("f000", "t"), ("f001", "t"), ("f299", "u")], "folder string, sha string")
+    pairs, skipped = tree.common_counts(wide)
+    got = {(r.a, r.b): r.common for r in pairs.collect()}
+    assert len(got) == 300 * 299 // 2 and got["f000", "f001"] == 2 and got["f000", "f299"] == 1 and skipped == 0
+    # over 5,000,000 pairs of occurrences
+    sets = spark.range(260).select(F.col("id").cast("string").alias("sha")).crossJoin(spark.range(200).select(F.col("id").cast("string").alias("folder")))
+    pairs, _ = tree.common_counts(sets)
+    assert pairs.count() == 200 * 199 // 2 and [r.common for r in pairs.select("common").distinct().collect()] == [260]
+
+
 def test_bands_cover_64_bits():
     for k in range(9):
         b = S.bands(k)
