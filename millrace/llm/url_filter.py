@@ -3,8 +3,8 @@
 A rule `host/path` fits its host and all subdomains if the url's path starts with the rule's; the longest rule that fits wins.
 
 The tree: a path's segments are typed (numbers, numbers with an extension, hex identifiers, dates), and, level by level and host by host, a literal segment becomes the
-wildcard * where its parent has more than max_children literal children and the segment has less than min_share of the parent's pages. Branches under
-one parent are compared with the parent's largest branch of the same label class (none, mostly allowed, mostly blocked): if the total variation between the two distributions of shapes
+wildcard * where its parent has more than max_children literal children and the segment has less than min_share of the parent's pages. A host's first segments
+are compared with its largest one of the same label class (none, mostly allowed, mostly blocked): if the total variation between the two distributions of shapes
 below them is at most merge_distance, the branch is merged into it. A template is rejected if its smoothed purity, (blocked + strength * prior) / (labelled + strength), exceeds
 `reject`. Labels come from the pages that a rule decides; prior is one half, so a template without labels is allowed.
 
