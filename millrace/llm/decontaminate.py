@@ -4,6 +4,7 @@ A text's tokens are its letter runs and numbers. Numbers become <num>, a unit ri
 sentence becomes <name>; all other tokens are literals, lower-cased. A window is `width` consecutive template tokens (an item of fewer tokens is one window), most of them literals, so
 that two literals stand side by side. A document's windows are hash-joined with the items' windows on the template; the values in the slots must agree
 one to one (equal values in the item are equal in the document and different ones differ), which catches questions whose numbers, names or units were changed.
+An item that has no window with enough literals is found by its windows' lower-cased tokens, word for word. An item of one window is also met with its capitalised first word as a <name>, as in mid-line, and word for word.
 
 Before that, one pass over all whole texts notes which of the items' neighbouring literal pairs each document holds. A document with a window holds all the window's pairs, so only documents with all
 pairs of some window go on, and nothing is lost. Each window is looked up by the one of its pairs that the fewest documents hold, as counted over all of them.
@@ -48,42 +49,75 @@ def template(texts: DataFrame, key: str, text: str) -> DataFrame:
     return tokens.select("_k", F.col("_s.c").alias("_c"), F.col("_s.v").alias("_v"))
 
 
-def windows(tokens: DataFrame, widths: list[int]) -> DataFrame:
-    """(_k, at, _w, tpl, slots) for each window of a width with enough literals. Windows are cut by place, so a text costs its length times the width."""
+def cells(tokens: DataFrame, widths: list[int]) -> DataFrame:
+    """(_k, at, _w, _x): template tokens and tokens of each window of a width. Windows are cut by place, so a text costs its length times the width."""
 
     def cut(width: int) -> Column:
         take = lambda c, i: F.array(*[F.get(F.col(c), i + j) for j in range(width)])
         starts = F.when(F.size("_c") >= width, F.sequence(F.lit(0), F.size("_c") - width)).otherwise(F.array().cast("array<int>"))
         return F.transform(starts, lambda i: F.struct(i.alias("at"), take("_c", i).alias("c"), take("_v", i).alias("v")))
 
-    cells = tokens.select("_k", F.explode(F.concat(*[cut(w) for w in widths])).alias("_p"))
-    apart = cells.select("_k", F.col("_p.at").alias("at"), F.col("_p.c").alias("_w"), F.col("_p.v").alias("_x"))
+    parts = tokens.select("_k", F.explode(F.concat(*[cut(w) for w in widths])).alias("_p"))
+    return parts.select("_k", F.col("_p.at").alias("at"), F.col("_p.c").alias("_w"), F.col("_p.v").alias("_x"))
+
+
+def templates(apart: DataFrame) -> DataFrame:
+    """(_k, at, _w, tpl, slots) for each of the windows with enough literals."""
     literals = F.size(F.filter("_w", lambda c: ~c.startswith("<")))
     held = apart.where(literals >= needed(F.size("_w")))
     return held.select("_k", "at", "_w", F.array_join("_w", " ").alias("tpl"), F.transform(F.filter(F.arrays_zip("_w", "_x"), lambda z: z["_w"].startswith("<")), lambda z: z["_x"]).alias("slots"))
 
 
+def windows(tokens: DataFrame, widths: list[int]) -> DataFrame:
+    """(_k, at, _w, tpl, slots) for each window of a width with enough literals."""
+    return templates(cells(tokens, widths))
+
+
 def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = 8) -> DataFrame:
     """(doc_id, item_id, n_windows, n_exact, kind) for each document that holds windows of an item; kind is `verbatim` if a window has the item's own slot values, else `reparameterised`."""
     bench = template(items.where(F.col(item_id).isNotNull()), item_id, text)
-    own = windows(bench.where(F.size("_c") >= width), [width])
-    for short in range(2, width):
-        own = own.union(windows(bench.where(F.size("_c") == short), [short]))
+    apart = cells(bench.where(F.size("_c") >= width), [width]).withColumn("one", F.lit(False))
+    for short in range(2, width + 1):
+        whole = cells(bench.where(F.size("_c") == short), [short])
+        # the first word of a text is a literal, but in mid-line a capitalised one is a name
+        inside = whole.join(capitalised(items.where(F.col(item_id).isNotNull()), item_id, text), "_k", "left_semi").select("_k", "at", F.concat(F.array(F.lit("<name>")), F.slice("_w", 2, short)).alias("_w"), "_x")
+        apart = apart.union(inside.withColumn("one", F.lit(True)))
+        if short < width:
+            apart = apart.union(whole.withColumn("one", F.lit(False)))
+    apart = materialise(apart, "item-cells")
+    own = templates(apart)
     rows = own.select(F.col("_k").alias("item_id"), F.col("at").alias("item_at"), "_w", "tpl", F.col("slots").alias("item_slots"))
     rows = materialise(rows, "item-windows")
     known = rows.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.size("_w"))).alias("lengths")).first()
-    if not known["n"]:
+    # items without a template, and those whose first word is a name in mid-line, are looked up word for word
+    bare = apart.join(rows.select(F.col("item_id").alias("_k")).distinct(), "_k", "left_anti").union(apart.where("one"))
+    bare = materialise(bare.select(F.col("_k").alias("item_id"), F.array_join("_x", " ").alias("words"), F.size("_x").alias("w")).distinct(), "item-words")
+    plain = bare.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("w")).alias("lengths")).first()
+    every = docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_x")).where("_k IS NOT NULL")
+    hits = []
+    if known["n"]:
+        found = every
+        if known["n"] <= PAIR_WINDOWS:
+            some = holders(found, materialise(rows.select(literal_pairs(F.col("_w")).alias("_p")).distinct(), "item-pairs"))
+            found = found.join(small_side(some, some.count()), "_k", "left_semi")
+        theirs = windows(template(found, "_k", "_x"), known["lengths"]).select(F.col("_k").alias("doc_id"), F.col("at").alias("doc_at"), "tpl", F.col("slots").alias("doc_slots"))
+        both = theirs.join(small_side(rows.drop("_w"), known["n"]), "tpl")
+        pairs = F.array_distinct(F.arrays_zip("item_slots", "doc_slots"))
+        agree = (F.size(pairs) == F.size(F.array_distinct("item_slots"))) & (F.size(pairs) == F.size(F.array_distinct("doc_slots")))
+        hits.append(both.where(agree).select("doc_id", "item_id", "doc_at", (F.col("item_slots") == F.col("doc_slots")).alias("exact")))
+    if plain["n"]:
+        theirs = cells(template(every, "_k", "_x"), plain["lengths"]).select(F.col("_k").alias("doc_id"), F.col("at").alias("doc_at"), F.array_join("_x", " ").alias("words"))
+        hits.append(theirs.join(small_side(bare.drop("w"), plain["n"]), "words").select("doc_id", "item_id", "doc_at", F.lit(True).alias("exact")))
+    if not hits:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, n_exact long, kind string")
-    found = docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_x")).where("_k IS NOT NULL")
-    if known["n"] <= PAIR_WINDOWS:
-        some = holders(found, materialise(rows.select(literal_pairs(F.col("_w")).alias("_p")).distinct(), "item-pairs"))
-        found = found.join(small_side(some, some.count()), "_k", "left_semi")
-    theirs = windows(template(found, "_k", "_x"), known["lengths"]).select(F.col("_k").alias("doc_id"), F.col("at").alias("doc_at"), "tpl", F.col("slots").alias("doc_slots"))
-    both = theirs.join(small_side(rows.drop("_w"), known["n"]), "tpl")
-    pairs = F.array_distinct(F.arrays_zip("item_slots", "doc_slots"))
-    agree = (F.size(pairs) == F.size(F.array_distinct("item_slots"))) & (F.size(pairs) == F.size(F.array_distinct("doc_slots")))
-    hits = both.where(agree).groupBy("doc_id", "item_id").agg(F.count_distinct("doc_at").alias("n_windows"), F.count_distinct(F.when(F.col("item_slots") == F.col("doc_slots"), F.col("doc_at"))).alias("n_exact"))
-    return hits.withColumn("kind", F.when(F.col("n_exact") > 0, "verbatim").otherwise("reparameterised"))
+    met = hits[0] if len(hits) == 1 else hits[0].union(hits[1])
+    out = met.groupBy("doc_id", "item_id").agg(F.count_distinct("doc_at").alias("n_windows"), F.count_distinct(F.when(F.col("exact"), F.col("doc_at"))).alias("n_exact"))
+    return out.withColumn("kind", F.when(F.col("n_exact") > 0, "verbatim").otherwise("reparameterised"))
+
+
+def capitalised(items: DataFrame, key: str, text: str) -> DataFrame:
+    """(_k) of the items whose first word is capitalised."""
+    return items.where(F.get(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0)), F.lit(0)).rlike(r"^\p{Lu}\p{Ll}")).select(F.col(key).alias("_k")).distinct()
 
 
 def neighbours(words: Column) -> Column:

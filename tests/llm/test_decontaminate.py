@@ -114,3 +114,16 @@ def test_empty_tables_and_clashing_columns(spark, docs, empty):
 def test_null_ids_stay(spark, docs):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert D.decontaminate(docs([(None, ITEMS[0][1]), (1, ITEMS[0][1])]), items).count() == 1
+
+
+def test_items_without_enough_literals_are_found_word_for_word(spark, docs):
+    items = [(0, "Compute 12 + 30 - 4 and 7 + 9 - 2"), (1, "Die Summe der Zahlen 3 und 4 aus Berlin und Hamburg Nord"), (2, "Say: 5 of 6")]
+    rows = [(i, f"he asks: {t}. More.") for i, t in items] + [(9, "Compute 12 + 31 - 4 and 7 + 9 - 2")]
+    assert set(got(spark, docs, rows, items)) == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_first_word_of_a_short_item_in_mid_line(spark, docs):
+    items = [(0, "Divide the sum of apples by 7"), (1, "Short item.")]
+    rows = [(1, "we then Divide the sum of apples by 7"), (2, "so Divide the sum of apples by 9"), (3, "see Short item here"), (4, "Divide the sum of apples by 7")]
+    found = got(spark, docs, rows, items)
+    assert set(found) == {(1, 0), (2, 0), (3, 1), (4, 0)} and found[2, 0][1] == 0 < found[1, 0][1]
