@@ -21,7 +21,6 @@ from millrace.llm.common import ascii_lower, materialise, small_side, table
 
 #: The rules of the query, as fixed by its contract.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
-DEPTH = 6
 
 
 def ruled(pages: DataFrame, rules: list[tuple[str, str]], *, url: str = "url") -> DataFrame:
@@ -55,8 +54,10 @@ def typed(s: Column) -> Column:
 def generalised(pages: DataFrame, max_children: int, min_share: float) -> DataFrame:
     """(_host, _raw, _segs): for each host and typed path of `pages` (_host, _raw, n) the segments with wildcards, decided level by level."""
     at = materialise(pages.withColumn("_segs", F.col("_raw")), "paths")
-    deepest = at.agg(F.max(F.size("_raw"))).first()[0] or 0
-    for level in range(min(deepest, DEPTH)):
+    # a parent has no more literal children than its host has literal segments at that level, so other levels can't change
+    places = at.select("_host", F.posexplode("_raw").alias("level", "_s")).where(~F.col("_s").startswith("{")).groupBy("_host", "level", "_s").agg(F.count(F.lit(1)).alias("_n"))
+    full = places.groupBy("_host", "level").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > max_children)
+    for level in sorted(r.level for r in full.select("level").distinct().collect()):
         seg = F.get(F.col("_segs"), F.lit(level))
         parent = F.array_join(F.slice("_segs", 1, level), "/")
         rows = at.withColumns({"_p": parent, "_s": seg})
@@ -68,7 +69,7 @@ def generalised(pages: DataFrame, max_children: int, min_share: float) -> DataFr
             continue
         rare = children.join(small_side(wide, count), ["_host", "_p"]).where(F.col("c") < F.col("all") * min_share).select("_host", "_p", "_s", F.lit(True).alias("rare"))
         rows = rows.join(rare, ["_host", "_p", "_s"], "left")
-        changed = F.when(F.col("rare"), F.concat(F.slice("_segs", 1, level), F.array(F.lit("*")), F.slice("_segs", level + 2, DEPTH * 100))).otherwise(F.col("_segs"))
+        changed = F.when(F.col("rare"), F.concat(F.slice("_segs", 1, level), F.array(F.lit("*")), F.slice("_segs", F.lit(level + 2), F.size("_segs")))).otherwise(F.col("_segs"))
         at = materialise(rows.withColumn("_segs", changed).select("_host", "_raw", "n", "lab", "blk", "_segs"), f"paths-{level}")
     return at
 
@@ -76,7 +77,7 @@ def generalised(pages: DataFrame, max_children: int, min_share: float) -> DataFr
 def merged(templates: DataFrame, distance: float) -> DataFrame:
     """(_host, branch, leader): first segments of each host whose shapes below are distributed like those of its largest branch of the same label class."""
     branch = F.coalesce(F.get(F.col("_segs"), F.lit(0)), F.lit(""))
-    below = F.array_join(F.slice("_segs", 2, 1000), "/")
+    below = F.array_join(F.slice("_segs", F.lit(2), F.size("_segs")), "/")
     shapes = templates.select("_host", branch.alias("branch"), below.alias("shape"), "n", "lab", "blk").groupBy("_host", "branch", "shape").agg(*[F.sum(c).alias(c) for c in ("n", "lab", "blk")])
     shapes = materialise(shapes, "shapes")
     whole = shapes.groupBy("_host", "branch").agg(*[F.sum(c).alias(c) for c in ("n", "lab", "blk")])
@@ -101,7 +102,7 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, *, url: str =
     alike = materialise(merged(tree, merge_distance), "merged")
     branch = F.coalesce(F.get(F.col("_segs"), F.lit(0)), F.lit(""))
     named = tree.withColumn("branch", branch).join(small_side(alike, alike.count()), ["_host", "branch"], "left")
-    segs = F.when(F.size("_segs") > 0, F.concat(F.array(F.coalesce("leader", "branch")), F.slice("_segs", 2, 1000))).otherwise(F.col("_segs"))
+    segs = F.when(F.size("_segs") > 0, F.concat(F.array(F.coalesce("leader", "branch")), F.slice("_segs", F.lit(2), F.size("_segs")))).otherwise(F.col("_segs"))
     named = named.select("_host", "_raw", "n", "lab", "blk", F.concat(F.col("_host"), F.lit("/"), F.array_join(segs, "/")).alias("template"))
     stats = named.groupBy("template").agg(F.sum("lab").alias("lab"), F.sum("blk").alias("blk"))
     purity = (F.col("blk") + F.lit(strength / 2)) / (F.col("lab") + F.lit(strength))

@@ -73,6 +73,16 @@ def test_variable_segments_become_wildcards(spark):
     assert {r.template for r in judged(spark, urls).values()} == {"h.x/user/*/home"}
 
 
+def test_deep_and_long_paths(spark):
+    deep = [f"http://d.x/a/b/c/d/e/f/g/{chr(97 + i // 26)}{chr(97 + i % 26)}x/home" for i in range(60)]
+    long = ["http://l.x/" + "s/" * 1100 + str(i) for i in range(3)]
+    got = judged(spark, deep, max_children=20)
+    assert {r.template for r in got.values()} == {"d.x/a/b/c/d/e/f/g/*/home"}
+    tree = U.merged(spark.createDataFrame([("l.x", ["s"] * 1101 + [t], 1, 0, 0) for t in ("p", "q")], "_host string, _segs array<string>, n long, lab long, blk long"), 0.2)
+    assert tree.where("branch = 's'").count() == 1
+    assert all(r.template == "l.x/" + "s/" * 1100 + "{num}" for r in judged(spark, long).values())
+
+
 def test_url_empty_table_and_clashing_columns(spark):
     assert U.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
     got = U.judge(spark.createDataFrame([(1, "http://a.net/", "h", 5)], "page_id long, url string, host string, n int")).first()
