@@ -26,6 +26,17 @@ def ship(spark: SparkSession | None = None) -> None:
         _shipped.add(sc.applicationId)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, only a local master gets one of its own; a cluster has to name it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base.rstrip("/")
+
+
 def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
     """A local session with UTC, adaptive execution and as many shuffle partitions as cores."""
     return (
