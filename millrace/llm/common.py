@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.session import ship
+from millrace.session import shared_folder, ship
 
 #: The six ASCII whitespace characters that the contracts strip and split at.
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Largest number of rows of two or three longs that a join may broadcast, once they have been counted (about 12 MB).
 BROADCAST_ROWS = 500_000
+#: Largest number of bytes of strings that such a table may hold besides.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,12 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share. The session's spark.checkpoint.dir names it; only where that is unset (tests, local runs) one is made here."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:12]}"
+    """A new path in the folder that driver and executors share, as the session's spark.checkpoint.dir names it."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:12]}"
 
 
 def materialise(df: DataFrame, label: str, partition_by: str | None = None) -> DataFrame:
@@ -76,6 +73,33 @@ def small_side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """`df` (written, so that counting is cheap), marked for broadcast if its rows and the bytes of its strings are few, both measured."""
+    text = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in df.schema.fields if f.dataType.typeName() == "string"]
+    m = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(sum(text, F.lit(0))), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if m["n"] <= BROADCAST_ROWS and m["b"] <= BROADCAST_BYTES else df
+
+
+def named(column: str) -> Column:
+    """A column by its exact name, dots and back-ticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def packed(df: DataFrame, **own: Column) -> DataFrame:
+    """The caller's columns as one struct _row, beside columns of the operator's own: no name of the caller's can clash with them."""
+    return df.select(F.struct(*[named(c) for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in own.items()])
+
+
+def unpacked(df: DataFrame, columns: list[str], **made: Column) -> DataFrame:
+    """The caller's columns again, those that the operator makes in their place if the caller has such a name, else behind them."""
+    left = {n.lower(): (n, c) for n, c in made.items()}
+    out = []
+    for c in columns:
+        name, new = left.pop(c.lower(), (c, F.col("_row")[c]))
+        out.append(new.alias(name))
+    return df.select(*out, *[c.alias(n) for n, c in left.values()])
+
+
 def python_ready(spark: SparkSession, rows: int = 1000) -> None:
     """Before a Python operator: the package is on the workers, and Arrow batches have fewer rows than Spark's default of 10,000, so that a batch of long texts fits beside the JVM. A smaller setting stays."""
     ship(spark)

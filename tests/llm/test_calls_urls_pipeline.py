@@ -1,7 +1,6 @@
 import json
 
 from millrace.llm import tool_calls as C
-from millrace.llm import url_filter as U
 
 CALLS = "conv_id long, call_id string, turn long, tool string, arguments string, needs array<string>"
 RESULTS = "conv_id long, call_id string, turn long, content string"
@@ -37,58 +36,6 @@ def test_empty_tables_and_long_texts(spark):
     assert json.loads(got[1].json)["result"]["content"] == "y"
 
 
-def judged(spark, urls, **options):
-    rows = [(i, u) for i, u in enumerate(urls)]
-    return {rows[r.page_id][1]: r for r in U.judge(spark.createDataFrame(rows, "page_id long, url string"), **options).collect()}
-
-
-def test_rules_and_parts(spark):
-    got = judged(spark, ["http://A.Example.NET/en/1?q", "http://example.net/de/x", "http://example.netx/en", "https://x.org/fr/2#f", "http://org/fr/", "http://net", "net/x", None, "http://b.example.com/de", "ftp://u@net:80/", "http://fr.org?x=/fr/"])
-    assert {u: (r.host, r.path, r.rule, r.verdict) for u, r in got.items()} == {
-        "http://A.Example.NET/en/1?q": ("a.example.net", "/en/1", "example.net/en/", "allow"),
-        "http://example.net/de/x": ("example.net", "/de/x", "net/", "block"),
-        "http://example.netx/en": ("example.netx", "/en", None, "allow"),
-        "https://x.org/fr/2#f": ("x.org", "/fr/2", "org/fr/", "allow"),
-        "http://org/fr/": ("org", "/fr/", "org/fr/", "allow"),
-        "http://net": ("net", "", None, "allow"),
-        "net/x": ("", "", None, "allow"),
-        None: ("", "", None, "allow"),
-        "http://b.example.com/de": ("b.example.com", "/de", None, "allow"),
-        "ftp://u@net:80/": ("u@net:80", "/", None, "allow"),
-        "http://fr.org?x=/fr/": ("fr.org", "", None, "allow"),
-    }
-
-
-def test_templates_merge_and_reject_by_purity(spark):
-    urls = [f"http://h.x/spam/{i}" for i in range(30)] + [f"http://h.x/spam{k}/{i}" for k in range(3) for i in range(20)] + [f"http://h.x/good/{i}/page" for i in range(20)]
-    rules = [("block", "h.x/spam0/1"), ("block", "h.x/spam1/1"), ("allow", "h.x/good/1")]
-    got = judged(spark, urls, rules=rules)
-    assert got["http://h.x/spam0/2"].verdict == "block" and got["http://h.x/spam1/2"].verdict == "block"
-    assert got["http://h.x/spam0/2"].template == got["http://h.x/spam1/2"].template
-    assert got["http://h.x/good/2/page"].verdict == "allow" and got["http://h.x/spam/2"].verdict == "allow"
-
-
-def test_variable_segments_become_wildcards(spark):
-    urls = [f"http://h.x/user/name{chr(97 + i // 26)}{chr(97 + i % 26)}/home" for i in range(60)]
-    assert {r.template for r in judged(spark, urls).values()} == {"h.x/user/*/home"}
-
-
-def test_deep_and_long_paths(spark):
-    deep = [f"http://d.x/a/b/c/d/e/f/g/{chr(97 + i // 26)}{chr(97 + i % 26)}x/home" for i in range(60)]
-    long = ["http://l.x/" + "s/" * 1100 + str(i) for i in range(3)]
-    got = judged(spark, deep, max_children=20)
-    assert {r.template for r in got.values()} == {"d.x/a/b/c/d/e/f/g/*/home"}
-    tree = U.merged(spark.createDataFrame([("l.x", ["s"] * 1101 + [t], 1, 0, 0) for t in ("p", "q")], "_host string, _segs array<string>, n long, lab long, blk long"), 0.2)
-    assert tree.where("branch = 's'").count() == 1
-    assert all(r.template == "l.x/" + "s/" * 1100 + "{num}" for r in judged(spark, long).values())
-
-
-def test_url_empty_table_and_clashing_columns(spark):
-    assert U.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
-    got = U.judge(spark.createDataFrame([(1, "http://a.net/", "h", 5)], "page_id long, url string, host string, n int")).first()
-    assert (got.host, got.n, got.verdict) == ("a.net", 5, "block")
-
-
 def test_pipeline_stages_against_brute_force(spark):
     import corpus_pipeline as P
     from test_decontaminate import brute as leak_brute
