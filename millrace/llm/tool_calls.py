@@ -2,29 +2,50 @@
 
 Calls (call_id, conv_id, turn, tool, arguments, needs) and results (call_id, conv_id, turn, content) are hash-joined by conversation and identifier. Within a
 conversation a call comes after the calls that it needs: its level is the length of the longest chain below it, found by peeling (a call is released when all
-it needs are), one join a level; a call that is never released is in a cycle or needs one, and has level null. Arguments are validated
-against the tool's schema, and every message is serialised as canonical JSON: sorted keys, no blanks, non-ASCII characters as they are, numbers in their shortest form.
+it needs are), one join a level and as many levels as there are; a call that is never released is in a cycle or needs one, and has level null. Arguments are validated
+against the tool's schema, and every message is serialised as canonical JSON: sorted keys, no blanks, non-ASCII characters as they are, one form for each number (whole numbers as digits, others as the shortest decimal that reads back the same).
 (level, turn, call_id) orders the messages of a conversation; each message is a row, so a conversation of any length stays distributed.
 
-`status` is linked, unanswered (no result), orphan (no call); where an identifier repeats within a conversation, the smallest turn is the call, the smallest turn after it is its result, and the others
-are `repeated`. `valid` tells whether the tool is known, the arguments are a JSON object with all required fields, no unknown ones and the right types; null for results without a call.
+There is one row for each call and each result that no call takes. `status` is linked, unanswered (no result), orphan (no call); where an identifier repeats within a conversation, the call is the row of the smallest turn
+(then tool, arguments and needs), its result is the one of the smallest turn after it (then content), and all other rows, equal ones too, are `repeated`. `valid` tells whether the tool is known, the arguments are a JSON object with all required
+fields, no unknown ones and the right types; null for results without a call.
 
-Defined cases: a null call_id links with nothing; null arguments are invalid; a needed identifier that doesn't exist in the conversation is ignored.
+Defined cases: a null call_id links with nothing; null arguments are invalid, and so are texts that are no JSON, that hold NaN, infinities, numbers beyond a double or of over 4,300 digits, lone surrogates, repeated keys, or nesting deeper than the parser goes:
+they are serialised as the text that they are. A needed identifier that doesn't exist in the conversation is ignored; a type that the schema names but this module doesn't know fits nothing. Columns beside those named are not read.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from millrace.llm.common import materialise, python_ready, table
+from millrace.llm.common import forget, materialise, python_ready, shared_path, table
 
-#: type name of a schema -> Python types that json.loads gives
-TYPES = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "object": (dict,), "array": (list,)}
+#: type name of a schema -> Python types that the parser gives
+TYPES = {"string": (str,), "integer": (int,), "number": (int, float), "boolean": (bool,), "object": (dict,), "array": (list,), "null": (type(None),)}
+
+
+def _number(text: str) -> int | float:
+    x = float(text)
+    if not math.isfinite(x):
+        raise ValueError(f"beyond a double: {text}")
+    return int(x) if x.is_integer() and abs(x) < 1 << 53 else x
+
+
+def _refused(text: str) -> None:
+    raise ValueError(f"not JSON: {text}")
+
+
+def _once(pairs: list[tuple[str, object]]) -> dict:
+    if len(found := dict(pairs)) < len(pairs):
+        raise ValueError("a key repeats")
+    return found
 
 
 def canonical(value: object) -> str:
@@ -32,14 +53,17 @@ def canonical(value: object) -> str:
 
 
 def _is(value: object, kind: str) -> bool:
-    return isinstance(value, TYPES[kind]) and (kind == "boolean" or not isinstance(value, bool))
+    return isinstance(value, TYPES.get(kind, ())) and (kind == "boolean" or not isinstance(value, bool))
 
 
 def check(arguments: str | None, schema: dict | None) -> tuple[bool, object]:
     """Whether the arguments fit the schema {"properties": {name: {"type": ...}}, "required": [...]}, and the value parsed (or the text)."""
+    if arguments is None:
+        return False, None
     try:
-        value = json.loads(arguments) if arguments is not None else None
-    except ValueError:
+        value = json.loads(arguments, parse_float=_number, parse_constant=_refused, object_pairs_hook=_once)
+        canonical(value).encode()
+    except (ValueError, RecursionError):
         return False, arguments
     if schema is None or not isinstance(value, dict):
         return False, value
@@ -48,52 +72,55 @@ def check(arguments: str | None, schema: dict | None) -> tuple[bool, object]:
     return good, value
 
 
-def levels(calls: DataFrame, limit: int = 10_000) -> DataFrame:
-    """(conv_id, call_id, level) of `calls` (conv_id, call_id, needs): 0 without needs, else one more than the largest of what is needed. One round a level, each over what is left."""
-    ids = calls.select("conv_id", "call_id").where("call_id IS NOT NULL").distinct()
-    edges = calls.where("call_id IS NOT NULL").select("conv_id", "call_id", F.explode("needs").alias("need")).distinct()
-    edges = edges.join(ids.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi")
-    edges = materialise(edges, "needs")
-    done = ids.join(edges, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0))
-    if edges.isEmpty():
-        return done
-    out = [done := materialise(done, "level")]
-    while not edges.isEmpty() and len(out) < limit:
-        released = out[-1].select("conv_id", F.col("call_id").alias("need"))
-        left = materialise(edges.join(released, ["conv_id", "need"], "left_anti"), "needs")
-        last = edges.select("conv_id", "call_id").distinct().join(left, ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(len(out)))
-        last = materialise(last, "level")
-        if last.isEmpty():
-            break
-        out.append(last)
-        edges = left
-    found = out[0]
-    for more in out[1:]:
-        found = found.union(more)
-    return found
+def levels(calls: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) of `calls` (conv_id, call_id, needs): 0 without needs, else one more than the largest of what is needed. One round a level, each over what is left; all rounds write into one folder."""
+    spark = calls.sparkSession
+    key = ["conv_id", "call_id"]
+    ids = calls.select(*key).where("call_id IS NOT NULL").distinct()
+    edges = calls.where("call_id IS NOT NULL").select(*key, F.explode("needs").alias("need")).distinct()
+    edges = materialise(edges.join(ids.withColumnRenamed("call_id", "need"), ["conv_id", "need"], "left_semi"), "needs")
+    folder, level, done = shared_path(spark, "levels"), 0, None
+    released = ids.join(edges, key, "left_anti")
+    while True:
+        path = f"{folder}/level={level}"
+        released.write.parquet(path)
+        if done is not None:
+            forget(done)
+        released = spark.read.schema(ids.schema).parquet(path)
+        if edges.isEmpty() or released.isEmpty():  # what is left is in a cycle or needs one
+            return spark.read.schema(StructType([*ids.schema.fields, StructField("level", IntegerType())])).option("basePath", folder).parquet(folder)
+        left = materialise(edges.join(released.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"], "left_anti"), "needs")
+        released = edges.select(*key).distinct().join(left, key, "left_anti")
+        done, edges, level = edges, left, level + 1
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """(conv_id, call_id, turn, result_turn, tool, status, level, valid, json), a row for each call and each result that no call takes."""
     python_ready(calls.sparkSession)
     key = ["conv_id", "call_id"]
-    firsts = calls.where("call_id IS NOT NULL").groupBy(*key).agg(F.min("turn").alias("_first"))
-    marked = calls.join(firsts, key, "left").withColumn("_own", F.coalesce(F.col("turn") == F.col("_first"), F.lit(False)))
-    after = results.where("call_id IS NOT NULL").join(firsts, key).where(F.col("turn") > F.col("_first")).groupBy(*key).agg(F.min_by(F.struct(F.col("turn").alias("result_turn"), "content"), F.struct("turn", "content")).alias("_r"))
-    both = marked.join(after, key, "left").join(levels(calls), key, "left")
-    taken = F.col("_own") & F.col("_r").isNotNull()
-    status = F.when(taken, "linked").when(~F.col("_own") & F.col("call_id").isNotNull(), "repeated").otherwise("unanswered")
-    rows = both.select(*key, "turn", F.when(taken, F.col("_r.result_turn")).alias("result_turn"), "tool", "arguments", F.when(taken, F.col("_r.content")).alias("content"), status.alias("status"), "level")
-    used = after.select(*key, F.col("_r.result_turn").alias("_u"))
-    rest = results.join(used, key, "left").where(F.col("_u").isNull() | (F.col("_u") != F.col("turn")))
-    lost = rest.select(*key, F.lit(None).cast("long").alias("turn"), F.col("turn").alias("result_turn"), F.lit(None).cast("string").alias("tool"), F.lit(None).cast("string").alias("arguments"), "content", F.when(F.col("_u").isNull(), "orphan").otherwise("repeated").alias("status"), F.lit(None).cast("int").alias("level"))
+    # rows get numbers, so that of equal ones just one is taken; written, as the numbers have to stay
+    calls = materialise(calls.select(*key, "turn", "tool", "arguments", "needs").withColumn("row", F.monotonically_increasing_id()), "calls")
+    results = materialise(results.select(*key, "turn", "content").withColumn("row", F.monotonically_increasing_id()), "results")
+    firsts = calls.where("call_id IS NOT NULL").groupBy(*key).agg(F.min(F.struct("turn", "tool", "arguments", "needs", "row")).alias("f")).select(*key, F.col("f.turn").alias("first"), F.col("f.row").alias("first_row"))
+    firsts = materialise(firsts, "first-calls")
+    after = results.join(firsts, key).where(F.col("turn") > F.col("first")).groupBy(*key).agg(F.min(F.struct("turn", "content", "row")).alias("r"))
+    after = materialise(after.select(*key, F.col("r.turn").alias("result_turn"), F.col("r.content").alias("content"), F.col("r.row").alias("result_row")), "first-results")
+    both = calls.join(firsts, key, "left").join(after, key, "left").join(levels(calls), key, "left")
+    own = F.coalesce(F.col("row") == F.col("first_row"), F.lit(False))
+    taken = own & F.col("result_row").isNotNull()
+    status = F.when(taken, "linked").when(~own & F.col("call_id").isNotNull(), "repeated").otherwise("unanswered")
+    rows = both.select(*key, "turn", F.when(taken, F.col("result_turn")).alias("result_turn"), "tool", "arguments", F.when(taken, F.col("content")).alias("content"), status.alias("status"), "level", F.lit(True).alias("called"))
+    used = after.select(*key, "result_row")
+    rest = results.join(used, key, "left").where(F.col("result_row").isNull() | (F.col("result_row") != F.col("row")))
+    none = lambda kind: F.lit(None).cast(kind)
+    lost = rest.select(*key, none("long").alias("turn"), F.col("turn").alias("result_turn"), none("string").alias("tool"), none("string").alias("arguments"), "content", F.when(F.col("result_row").isNull(), "orphan").otherwise("repeated").alias("status"), none("int").alias("level"), F.lit(False).alias("called"))
 
     @F.pandas_udf("valid boolean, json string")
     def serialised(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-        for ids, tools, arguments, contents, statuses in batches:
+        for ids, tools, arguments, contents, statuses, called in batches:
             out = []
-            for i, tool, given, content, status in zip(ids, tools, arguments, contents, statuses):
-                if tool is None:
+            for i, tool, given, content, status, call in zip(ids, tools, arguments, contents, statuses, called):
+                if not call:
                     out.append((None, canonical({"result": {"content": content, "id": i}})))
                     continue
                 good, value = check(given, schemas.get(tool))
@@ -103,8 +130,8 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
                 out.append((good, canonical(message)))
             yield pd.DataFrame({"valid": pd.Series([g for g, _ in out], dtype="object"), "json": [j for _, j in out]})
 
-    done = rows.union(lost).withColumn("_s", serialised("call_id", "tool", "arguments", "content", "status"))
-    return done.select(*key, "turn", "result_turn", "tool", "status", "level", F.col("_s.valid").alias("valid"), F.col("_s.json").alias("json"))
+    done = rows.union(lost).withColumn("s", serialised("call_id", "tool", "arguments", "content", "status", "called"))
+    return done.select(*key, "turn", "result_turn", "tool", "status", "level", F.col("s.valid").alias("valid"), F.col("s.json").alias("json"))
 
 
 #: The conversations carry no tool calls: each user turn is taken as a call of `reply`, answered by the assistant's next turn under the same identifier; the system turn is a call that all of the conversation's replies need.

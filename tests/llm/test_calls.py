@@ -36,32 +36,32 @@ def test_empty_tables_and_long_texts(spark):
     assert json.loads(got[1].json)["result"]["content"] == "y"
 
 
-def test_pipeline_stages_against_brute_force(spark):
-    import corpus_pipeline as P
-    from test_decontaminate import brute as leak_brute
-    from test_line_dedup import brute as line_brute
-    from test_minhash import brute as near_brute
-    from test_mixing import brute as mix_brute
-
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    columns = docs.columns
-    assert [n for n, _ in P.STAGES] == ["toxicity", "line_dedup", "near_dedup", "decontaminate", "mix"]
-    rows = {r.doc_id: r for r in docs.collect()}
-    a = P.materialise(P.drop_toxic(spark, docs, sf), "t")
-    assert a.columns == columns and 0 < a.count() < len(rows)
-    b = P.materialise(P.drop_lines(spark, a, sf), "t")
-    kept = [(r.doc_id, r.text) for r in a.collect()]
-    want = line_brute(kept)
-    assert b.columns == columns and {r.doc_id: r.text for r in b.collect()} == {i: t for i, (_, _, t) in want.items()}
-    assert all(r.n_chars == len(r.text) for r in b.collect())
-    c = P.materialise(P.drop_near(spark, b, sf), "t")
-    near = near_brute([(r.doc_id, r.text) for r in b.collect()], 5)
-    assert c.columns == columns and {r.doc_id for r in c.collect()} == {i for i, (_, _, k) in near.items() if k}
-    e = P.materialise(P.drop_leaks(spark, c, sf), "t")
-    items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
-    bad = {i for i, _ in leak_brute([(r.doc_id, r.text) for r in c.collect()], items)}
-    assert e.columns == columns and {r.doc_id for r in e.collect()} == {r.doc_id for r in c.collect()} - bad
-    f = P.mix(spark, e, sf)
-    words = [(r.doc_id, len(__import__("re").findall("[^\x20\x09-\x0d]+", r.text)), r.source) for r in e.collect()]
-    assert {r.doc_id: r.copies for r in f.collect()} == mix_brute(words)
+def test_equal_calls_and_results_have_a_row_each(spark):
+    call = (1, "a", 0, "add", '{"a": 1}', [])
+    rows = C.link(spark.createDataFrame([call, call, (1, "a", 0, "add", '{"a": 0}', [])], CALLS), spark.createDataFrame([(1, "a", 2, "yes"), (1, "a", 2, "no"), (1, "a", 2, "no"), (1, "a", 0, "early")], RESULTS), SCHEMAS).collect()
+    assert sorted((r.turn is None, r.status, r.json) for r in rows) == [
+        (False, "linked", '{"call":{"arguments":{"a":0},"id":"a","name":"add"},"result":{"content":"no","id":"a"}}'),
+        (False, "repeated", '{"call":{"arguments":{"a":1},"id":"a","name":"add"}}'),
+        (False, "repeated", '{"call":{"arguments":{"a":1},"id":"a","name":"add"}}'),
+        (True, "repeated", '{"result":{"content":"early","id":"a"}}'),
+        (True, "repeated", '{"result":{"content":"no","id":"a"}}'),
+        (True, "repeated", '{"result":{"content":"yes","id":"a"}}'),
+    ]
+
+
+def test_arguments_that_are_no_plain_json(spark):
+    bad = ['{"a": NaN}', '{"a": 1, "b": 1e400}', '{"a": -Infinity}', '{"a": 1, "b": "\\ud800"}', '{"a": 1, "a": 2}', "[" * 100_000, "[" * 900 + "]" * 900, '{"a": ' + "9" * 5000 + "}", "", None]
+    good = ['{"a": 1.0, "b": 2.50}', '{"a": 10e1, "b": 0.1e-6}', '{"a": -0.0}', '{"b": 1e22, "a": ' + "9" * 30 + "}"]
+    calls = [(1, f"c{i}", i, "add", x, []) for i, x in enumerate(bad + good)]
+    got = {k[1]: r for k, r in linked(spark, calls, []).items()}
+    assert [got[i].valid for i in range(len(bad))] == [False] * len(bad)
+    assert all(json.loads(r.json)["call"]["arguments"] == x or i == 6 for (i, r), x in zip(sorted(got.items()), bad))
+    assert [got[len(bad) + i].json.split('"arguments":')[1].split(',"id"')[0] for i in range(4)] == ['{"a":1,"b":2.5}', '{"a":100,"b":1e-07}', '{"a":0}', '{"a":' + "9" * 30 + ',"b":1e+22}']
+    assert all(got[len(bad) + i].valid for i in range(4))
+
+
+def test_a_chain_of_calls_and_clashing_columns(spark):
+    calls = spark.createDataFrame([(1, f"c{i:02}", i, "add", '{"a": 1}', [f"c{i - 1:02}"] if i else [], "x", 5) for i in range(12)], CALLS + ", content string, row long")
+    results = spark.createDataFrame([(1, "c03", 20, "r", "y")], RESULTS + ", first string")
+    got = {r.call_id: (r.level, r.status) for r in C.link(calls, results, SCHEMAS).collect()}
+    assert got == {f"c{i:02}": (i, "linked" if i == 3 else "unanswered") for i in range(12)}
