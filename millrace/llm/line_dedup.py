@@ -5,9 +5,11 @@ at 1e12 lines a chance collision has a probability of about 1e-15). Documents ar
 aggregates its own keys, merge-anti-joins the keys that the runs have settled already (seen in enough documents: their keeper
 can't change, as later batches have smaller ids), and adds what is left as a sorted run of level 0. When a level holds
 `fanout` runs they are merged into one run of the next level, so a key is rewritten a logarithmic number of times.
+Runs are plain Parquet in the shared folder: their order within files serves the column encoding and the row-group statistics. An order across files that Spark would use for a join without a shuffle
+needs bucketed catalogue tables, which a job on a foreign cluster can't rely on; so a batch's anti-join shuffles its own new keys and the settled ones, both as two longs, never texts.
 
 Defined cases: null or empty text is one empty line; every row counts as a document, so rows that repeat a doc_id count
-each, and all rows with the largest doc_id keep the line; a null doc_id is below every other; input columns named like the outputs are replaced.
+each, and all rows with the largest doc_id keep the line; a null doc_id is below every other; input columns named like the outputs are replaced, and all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ASCII_SPACE, ascii_lower, materialise, remove, shared_path, small_side
+from millrace.llm.common import ASCII_SPACE, ascii_lower, materialise, named, packed, remove, shared_path, small_side, table, unpacked
 
 
 @dataclass
@@ -71,10 +73,11 @@ class LineRuns:
 
 def line_table(docs: DataFrame, doc_id: str, text: str, min_chars: int) -> DataFrame:
     """A row for each line whose key is long enough: _id, _t (hash of the text, which tells rows of one id apart), pos, h1, h2, first (the key's first line in its document)."""
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
+    body = F.coalesce(named(text), F.lit(""))
+    lines = F.split(body, "\n", -1)
     keys = docs.select(
-        F.col(doc_id).cast("long").alias("_id"),
-        F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_t"),
+        named(doc_id).cast("long").alias("_id"),
+        F.xxhash64(body).alias("_t"),
         F.transform(lines, lambda x: ascii_lower(F.btrim(x, F.lit(ASCII_SPACE)))).alias("_keys"),
     )
     hashed = keys.select(
@@ -103,7 +106,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     A key of at least min_chars code points in at least min_docs documents keeps its lines in the largest doc_id that holds it and loses all others.
     """
     spark = docs.sparkSession
-    cuts = docs.select(F.percentile_approx(F.col(doc_id).cast("long"), [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"] or []
+    cuts = docs.select(F.percentile_approx(named(doc_id).cast("long"), [i / batches for i in range(1, batches)], 10_000).alias("c")).first()["c"] or []
     cuts = sorted(set(cuts))
     batch = sum(((F.col("_id") > c).cast("int") for c in cuts), F.lit(0)) if cuts else F.lit(0)
     lines = materialise(line_table(docs, doc_id, text, min_chars).withColumn("batch", F.coalesce(batch, F.lit(0))), "lines", partition_by="batch")
@@ -120,12 +123,13 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         .groupBy("_id", "_t")
         .agg(F.collect_set("pos").alias("_drop"))
     )
-    body = F.coalesce(F.col(text), F.lit(""))
-    at = docs.select("*", F.col(doc_id).cast("long").alias("_id"), F.xxhash64(body).alias("_t"))
-    joined = at.join(hits, at["_id"].eqNullSafe(hits["_id"]) & (at["_t"] == hits["_t"]), "left").drop(hits["_id"]).drop(hits["_t"]).withColumn("_lines", F.split(body, "\n", -1))
-    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_drop")), lambda i: F.get(F.col("_lines"), i))
-    changed = F.col("_drop").isNotNull()
-    return joined.withColumns({text: F.when(changed, F.array_join(left, "\n")).otherwise(body), "n_lines": F.size("_lines").cast("long"), "n_dropped": F.coalesce(F.size(F.col("_drop")), F.lit(0)).cast("long")}).drop("_id", "_t", "_drop", "_lines")
+    at = packed(docs, id=named(doc_id).cast("long"), t=F.xxhash64(F.coalesce(named(text), F.lit(""))))
+    hits = hits.select(F.col("_id").alias("hit"), F.col("_t").alias("hit_t"), F.col("_drop").alias("drop"))
+    body = F.coalesce(F.col("_row")[text], F.lit(""))
+    joined = at.join(hits, F.col("id").eqNullSafe(F.col("hit")) & (F.col("t") == F.col("hit_t")), "left").withColumn("lines", F.split(body, "\n", -1))
+    left = F.transform(F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop")), lambda i: F.get(F.col("lines"), i))
+    kept = F.when(F.col("drop").isNotNull(), F.array_join(left, "\n")).otherwise(body)
+    return unpacked(joined, docs.columns, **{text: kept, "n_lines": F.size("lines").cast("long"), "n_dropped": F.coalesce(F.size("drop"), F.lit(0)).cast("long")})
 
 
 SQL = r"""
@@ -146,7 +150,5 @@ FROM marked GROUP BY doc_id
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from millrace.llm.common import table
-
     out = dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))

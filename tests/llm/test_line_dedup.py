@@ -55,6 +55,14 @@ def test_empty_table_and_clashing_columns(spark, empty):
     assert sorted((r.doc_id, r.h1, r.n_lines, r.text) for r in got.collect()) == [(1, "a", 1, ""), (2, "b", 1, ""), (3, "c", 1, LONG)]
 
 
+def test_no_column_name_is_reserved(spark):
+    names = ["_id", "_t", "_drop", "_lines", "_keys", "_row", "id", "t", "lines", "drop", "keeper", "a.b", "N_Dropped"]
+    df = spark.createDataFrame([(i, LONG, *[f"{n}{i}" for n in names]) for i in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = dedup_lines(df)
+    assert got.columns == ["doc_id", "text", *names[:-1], "n_dropped", "n_lines"]
+    assert {(r.doc_id, *[r[n] for n in names[:-1]]) for r in got.collect()} == {(i, *[f"{n}{i}" for n in names[:-1]]) for i in range(3)}
+
+
 def test_very_long_text(docs):
     big = "\n".join(f"{LONG} {i % 5000}" for i in range(20_000))
     check([(1, big), (2, big), (3, big + "\nend")], docs)
