@@ -1,7 +1,7 @@
 import hashlib
 import math
 
-from millrace.llm.mixing import mix
+from millrace.llm.mixing import mix, schedule
 
 
 def brute(rows, entropy=0.98, most=4.0):
@@ -58,9 +58,9 @@ def test_agrees_with_brute_force(docs):
     assert got == brute(rows) and min(got.values()) >= 1
 
 
-def test_blocks_do_not_change_the_result(docs):
+def test_cells_do_not_change_the_result(docs):
     rows = rows_of([("a", 300, 9), ("b", 90, 7), ("c", 30, 5)])
-    assert copies(docs, rows, blocks=2) == copies(docs, rows, blocks=4096) == brute(rows)
+    assert copies(docs, rows, cells=2) == copies(docs, rows, cells=4096) == brute(rows)
 
 
 def test_repetition_limit_and_budget(docs):
@@ -81,4 +81,29 @@ def test_odd_rows(docs, empty):
 def test_repeated_rows_and_clashing_columns(spark, docs):
     d = docs([(1, "a b c", "en", "s"), (1, "a b c", "en", "s"), (2, "d", "en", "t")]).withColumn("copies", docs([(1,)]).select("doc_id").first().doc_id * __import__("pyspark").sql.functions.lit(9))
     got = mix(d)
-    assert got.count() == 3 and sorted(got.columns) == sorted([*docs([(1,)]).columns, "n_tokens", "weight_ppm", "copies"])
+    assert got.count() == 3 and sorted(got.columns) == sorted([*docs([(1,)]).columns, "n_tokens", "weight_ppm", "copies", "blocks"])
+
+
+def test_blocks_hold_the_weights_and_a_permutation_each(docs):
+    rows = rows_of([("a", 900, 30), ("b", 300, 20), ("c", 120, 10)])
+    mixed = mix(docs([(i, "w " * n, "en", s) for i, n, s in rows]), block_tokens=5000)
+    got = schedule(mixed).collect()
+    of, size = {i: s for i, _, s in rows}, {i: n for i, n, _ in rows}
+    assert sorted((r.doc_id, r.epoch) for r in got) == sorted((r.doc_id, e) for r in mixed.collect() for e in range(r.copies))
+    want = {r.source: r.weight_ppm / 1e6 for r in mixed.collect()}
+    blocks = {}
+    for r in got:
+        blocks.setdefault(r.block, []).append(r)
+    assert sorted(blocks) == list(range(len(blocks))) and len(blocks) > 5
+    for b in blocks.values():
+        assert sorted(r.place for r in b) == list(range(len(b)))
+        total = sum(size[r.doc_id] for r in b)
+        assert all(abs(sum(size[r.doc_id] for r in b if of[r.doc_id] == s) / total - w) < 0.12 for s, w in want.items())
+
+
+def test_no_column_name_is_reserved(spark):
+    names = ["_src", "_i", "_key", "_row", "id", "src", "n", "key", "cell", "s", "a.b", "Copies"]
+    df = spark.createDataFrame([(i, "a b c", "x", *[f"{n}{i}" for n in names]) for i in range(3)], "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names))
+    got = mix(df)
+    assert got.columns == ["doc_id", "text", "source", *names[:-1], "copies", "n_tokens", "weight_ppm", "blocks"]
+    assert {(r.doc_id, *[r[n] for n in names[:-1]]) for r in got.collect()} == {(i, *[f"{n}{i}" for n in names[:-1]]) for i in range(3)}
