@@ -9,7 +9,7 @@ nothing about the alphabet has to be learned or sent. Prototypes come from a bou
 added up where the rows are; only one vector for each language and partition moves. Prediction reads whole texts.
 
 The score is the nearest prototype's share of a softmax over the cosines (times `sharpness`). Ties go to the smaller language name. A text
-without a letter, or null, is `und` with score 0; so is everything when no labelled row has a letter.
+without a letter, or null, is `und` with score 0; so is everything when no labelled row has a letter. Input columns named like the outputs are replaced, and all others stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, python_ready, table
-from millrace.llm.text_arrays import code_points, text_groups
+from millrace.llm.common import held_out, named, packed, python_ready, table, unpacked
+from millrace.llm.text_arrays import code_points, pieces
 
-DIM, N = 1024, 3
+DIM, N, GROUP = 1024, 3, 1 << 17
 
 
 @lru_cache(maxsize=20_000)
@@ -44,30 +44,33 @@ def ngram_vectors(codes: np.ndarray) -> np.ndarray:
 
 
 def bundles(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray | None]]:
-    """Each text's place and vector (None without a letter). Single letters count with the boundaries around them."""
-    for i, j in text_groups(texts, 1 << 19):
-        x, bounds = code_points(texts[i:j], "alpha")
+    """Each text's place and vector (None without a letter). Single letters count with the boundaries around them. Texts go in pieces of GROUP characters, so the n-grams held at once are few whatever the alphabet and the length."""
+    total = np.zeros(DIM)
+    some = False
+    for parts, skip, size, strings in pieces(texts, GROUP, 1, 1):
+        x, bounds = code_points(strings, "alpha")
         x = x.astype(np.int64)
-        grams = (x[:-2] << 42) | (x[1:-1] << 21) | x[2:]
-        ok = np.flatnonzero(x[1:-1] != 0)
-        if not len(ok):
-            yield from ((k, None) for k in range(i, j))
-            continue
-        found, at = np.unique(grams[ok], return_inverse=True)
-        row = np.searchsorted(ok + 1, bounds)
-        vectors = np.empty((len(found), DIM), np.float32)
+        first = bounds[:-1] + 1 + skip  # of each piece, the first character that counts
+        counts = x != 0
+        inside = np.zeros(len(x) + 1, np.int64)
+        np.add.at(inside, first, 1)
+        np.add.at(inside, first + size, -1)
+        ok = np.flatnonzero(counts & (np.cumsum(inside[:-1]) > 0))
+        found, at = np.unique((x[ok - 1] << 42) | (x[ok] << 21) | x[ok + 1], return_inverse=True)
+        row = np.searchsorted(ok, np.append(first, len(x)))
+        vectors = np.empty((len(found), DIM), np.int8)
         for k in range(0, len(found), 4096):
             vectors[k : k + 4096] = ngram_vectors(found[k : k + 4096])
-        for k in range(j - i):
-            own = at[row[k] : row[k + 1]]
-            if not len(own):
-                yield i + k, None
-                continue
-            kinds, n = np.unique(own, return_counts=True)
-            total = np.zeros(DIM, np.float32)
-            for m in range(0, len(kinds), 4096):
-                total += n[m : m + 4096].astype(np.float32) @ vectors[kinds[m : m + 4096]]
-            yield i + k, total
+        for r, (place, last) in enumerate(parts):
+            own = at[row[r] : row[r + 1]]
+            if len(own):
+                some = True
+                kinds, n = np.unique(own, return_counts=True)
+                for m in range(0, len(kinds), 4096):
+                    total += n[m : m + 4096].astype(np.float32) @ vectors[kinds[m : m + 4096]].astype(np.float32)
+            if last:
+                yield place, total if some else None
+                total, some = np.zeros(DIM), False
 
 
 @dataclass
@@ -90,14 +93,15 @@ class Profiles:
 def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", usable: Column | None = None, max_train_rows: int = 4000) -> Profiles:
     """Prototypes of the languages among the rows for which `usable` holds, from about max_train_rows rows of each at most."""
     python_ready(docs.sparkSession)
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
+    rows = docs.where(named(lang).isNotNull() & named(text).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
-    counts = {r["k"]: r["n"] for r in rows.groupBy(F.col(lang).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.select(named(doc_id).alias("id"), named(text).alias("text"), named(lang).alias("lang"))
+    counts = {r["k"]: r["n"] for r in rows.groupBy(F.col("lang").alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return Profiles([], np.zeros((0, DIM)))
-    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, max_train_rows / n))]), F.col(lang))
-    rows = rows.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit(5)), F.lit(1_000_000)) < share * 1e6)
+    share = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, max_train_rows / n))]), F.col("lang"))
+    rows = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < share * 1e6)
 
     def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
@@ -109,7 +113,7 @@ def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
         if sums:
             yield pd.DataFrame({"lang": list(sums), "v": [v.tolist() for v in sums.values()]})
 
-    parts = rows.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInPandas(added, "lang string, v array<double>")
+    parts = rows.select("lang", "text").mapInPandas(added, "lang string, v array<double>")
     total = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v"))
     found = sorted((r["lang"], np.array([e["x"] for e in r["v"]])) for r in total.collect())
     return Profiles([k for k, _ in found], np.array([v / max(float(np.linalg.norm(v)), 1e-9) for _, v in found]).reshape(len(found), DIM))
@@ -125,8 +129,8 @@ def identify(docs: DataFrame, profiles: Profiles, *, text: str = "text") -> Data
             langs, scores = profiles.predict(s.tolist())
             yield pd.DataFrame({"lang_pred": langs, "score": scores})
 
-    out = docs.withColumn("_p", predicted(F.col(text)))
-    return out.withColumns({"lang_pred": F.col("_p.lang_pred"), "score": F.col("_p.score")}).drop("_p")
+    out = packed(docs, told=predicted(named(text)))
+    return unpacked(out, docs.columns, lang_pred=F.col("told.lang_pred"), score=F.col("told.score"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """Whole texts as numpy arrays: words and their hashes straight from the UTF-8 bytes of an Arrow column.
 
-Work goes in blocks of about a megabyte, so memory is bounded by the longest single text, not by a batch.
+Work goes in blocks of about a megabyte. What is held beside is the Arrow batch that Spark hands over (bounded by rows and by spark.sql.execution.arrow.maxBytesPerBatch, or one text) and, for sets of shingles, one text's hashes.
+Character n-grams are read in pieces of texts, so there no text is too long.
 """
 
 from __future__ import annotations
@@ -138,14 +139,33 @@ def code_points(texts: list[str | None], kind: str = "alnum") -> tuple[np.ndarra
     return _kept(kind)[np.minimum(codes, 0x10FFFF)], np.concatenate(([0], np.cumsum(lengths)))
 
 
-def text_groups(texts: list[str | None], limit: int = BLOCK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of at most `limit` code points together, or of one text."""
-    i, total = 0, 0
-    for j, t in enumerate(texts):
-        n = len(t or "") + 1
-        if j > i and total + n > limit:
-            yield i, j
-            i, total = j, 0
-        total += n
-    if i < len(texts):
-        yield i, len(texts)
+def pieces(texts: list[str | None], size: int, before: int, after: int) -> Iterator[tuple[list[tuple[int, bool]], np.ndarray, np.ndarray, list[str]]]:
+    """Texts in groups of at most `size` code points, long ones cut: for each piece its text's place and whether it is the text's last, and the pieces' strings with `before` and `after` neighbours at
+    a cut, from how many characters in they count themselves, and how many count."""
+    held: list[tuple[int, int, int]] = []
+    room = size
+
+    def group() -> tuple[list[tuple[int, bool]], np.ndarray, np.ndarray, list[str]]:
+        own = [texts[k] or "" for k, _, _ in held]
+        skip = np.array([min(a, before) for _, a, _ in held], np.int64)
+        return [(k, b >= len(t)) for (k, _, b), t in zip(held, own)], skip, np.array([b - a for _, a, b in held], np.int64), [t[a - min(a, before) : b + after] for (_, a, b), t in zip(held, own)]
+
+    for k, t in enumerate(texts):
+        n, a = len(t or ""), 0
+        while True:
+            b = min(n, a + room)
+            if b < n and a == 0 and n <= size:  # fits the next group whole
+                b = 0
+            else:
+                held.append((k, a, b))
+            room -= b - a + 1
+            if b < n:
+                yield group()
+                held, room, a = [], size, b
+                continue
+            if room <= 0:
+                yield group()
+                held, room = [], size
+            break
+    if held:
+        yield group()
