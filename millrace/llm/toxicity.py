@@ -4,9 +4,9 @@ A text is the bag of the character n-grams (3 to 6, with word boundaries) of its
 is the mean of their embeddings, so a misspelling that was never seen, or an unknown ending, shares most of its n-grams with known words. As
 the classifier is linear in the mean, scoring needs one number a bucket: the embedding times the difference of the two classes' weights.
 
-The model learns from a bounded sample of the labelled rows (max_train_rows, a third of them toxic at most; texts of over max_train_chars are left
-out of the sample, never out of scoring). Every text is scored whole. Null, empty and letterless texts get the model's bias. Labels other than 0 and 1, and null labels, aren't learned
-from; rows repeated in labels count once. With no labelled row, or one class only, every score is the share of label 1 (0 without any).
+The model learns from a bounded sample of the labelled rows: max_train_rows, a third of them toxic at most, chosen by a hash whatever their length. Whole texts become bags where they are; only bags, a number a bucket, come to the
+driver, and if those of the sample together have more than max_train_cells buckets, a hash takes a smaller share of the rows. Every text is scored whole, long ones in pieces. Null, empty and letterless texts get the model's bias. Labels other than 0 and 1, and null
+labels, aren't learned from; rows repeated in labels count once. With no labelled row, or one class only, every score is the share of label 1 (0 without any). Input columns named like the output are replaced, and all others stay.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import held_out, python_ready, table
-from millrace.llm.text_arrays import code_points, text_groups
+from millrace.llm.common import held_out, materialise, named, packed, python_ready, table, unpacked
+from millrace.llm.text_arrays import BLOCK, code_points, pieces
 
 BITS, SIZES, DIM = 18, (3, 4, 5, 6), 8
 _M, _A = np.uint32(0x01000193), np.uint32(0x9E3779B1)
@@ -43,11 +44,23 @@ def subwords(x: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
             yield n, ((h ^ (h >> np.uint32(15))) * _A + np.uint32(n)) >> np.uint32(32 - BITS), valid
 
 
-def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+def places(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
+    """Groups of pieces: their texts, the code points, and from where to where n-grams that start there are theirs; the boundary before a text is its first piece's."""
+    for parts, skip, size, strings in pieces(texts, BLOCK, 1, max(SIZES) - 1):
+        x, bounds = code_points(strings)
+        low = bounds[:-1] + skip + (skip > 0)
+        yield [k for k, _ in parts], x, low, bounds[:-1] + 1 + skip + size
+
+
+def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct buckets of a text and how often each occurs."""
-    x, _ = code_points([text])
-    found = [ids[ok] for _, ids, ok in subwords(x)]
-    return np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    total = np.zeros(1 << BITS, np.int64)
+    for _, x, low, high in places([text]):
+        for _, ids, ok in subwords(x):
+            a, b = int(low[0]), int(high[0])
+            total += np.bincount(ids[a:b][ok[a:b]], minlength=1 << BITS)
+    ids = np.flatnonzero(total)
+    return ids.astype(np.int32), total[ids].astype(np.int32)
 
 
 @dataclass
@@ -59,33 +72,29 @@ class Model:
     pad: int = 40
 
     def score(self, texts: list[str | None]) -> np.ndarray:
-        out = np.empty(len(texts))
-        for i, j in text_groups(texts):
-            x, bounds = code_points(texts[i:j])
-            total, count = np.zeros(j - i), np.zeros(j - i)
+        total, count = np.zeros(len(texts)), np.zeros(len(texts))
+        for owner, x, low, high in places(texts):
             for _, ids, ok in subwords(x):
                 at = np.flatnonzero(ok)
-                row = np.searchsorted(at, bounds)
+                a, b = np.searchsorted(at, low), np.searchsorted(at, high)
                 sums = np.concatenate(([0.0], np.cumsum(self.weight[ids[at]], dtype=np.float64)))
-                total += sums[row[1:]] - sums[row[:-1]]
-                count += np.diff(row)
-            out[i:j] = 1 / (1 + np.exp(-np.clip(total / (count + self.pad) + self.bias, -30, 30)))
-        return out
+                np.add.at(total, owner, sums[b] - sums[a])
+                np.add.at(count, owner, b - a)
+        return 1 / (1 + np.exp(-np.clip(total / (count + self.pad) + self.bias, -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, *, steps: int = 3000, batch: int = 32, rate: float = 2.0, scale: float = 100.0, min_docs: int = 3, min_share: float = 0.005, decay: float = 3e-4, pad: int = 40, seed: int = 7) -> Model:
-    """Gradient descent on the embeddings and the softmax weights together. `scale` multiplies the mean; buckets in fewer than min_docs texts, or less than min_share of them, are left out: they only learn single texts by heart."""
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, steps: int = 3000, batch: int = 32, rate: float = 2.0, scale: float = 100.0, min_docs: int = 3, min_share: float = 0.005, decay: float = 3e-4, pad: int = 40, seed: int = 7) -> Model:
+    """Gradient descent over the texts' bags on the embeddings and the softmax weights together. `scale` multiplies the mean; buckets in fewer than min_docs texts, or less than min_share of them, are left out: they only learn single texts by heart."""
     size = 1 << BITS
     labels = np.asarray(labels, float)
     if len(labels) == 0 or labels.min() == labels.max():
         p = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(size, np.float32), float(np.clip(np.log((p + 1e-9) / (1 - p + 1e-9)), -20, 20)), pad)
     docs, seen = [], np.zeros(size, np.int32)
-    for t in texts:
-        ids, n = bag(t)
+    for ids, n in bags:
         seen[ids] += 1
-        docs.append((ids.astype(np.int32), (scale * n / (n.sum() + pad)).astype(np.float32)))
-    used = np.flatnonzero(seen >= max(min_docs, min_share * len(texts)))
+        docs.append((ids, (scale * n / (n.sum(dtype=np.int64) + pad)).astype(np.float32)))
+    used = np.flatnonzero(seen >= max(min_docs, min_share * len(bags)))
     place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
     for k, (ids, w) in enumerate(docs):
@@ -125,9 +134,10 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None, max_train_rows: int = 8000, max_train_chars: int = 200_000) -> Model:
-    """A model of a bounded sample of the labelled rows for which `usable` (a condition on the labels' doc_id) holds. A row's hash decides, so the sample is the same on every run."""
-    rows = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1))
+def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", usable: Column | None = None, max_train_rows: int = 8000, max_train_cells: int = 24_000_000) -> Model:
+    """A model of a bounded sample of the labelled rows for which `usable` (a condition on the labels' doc_id, here `_id`) holds. A row's hash decides, so the sample is the same on every run."""
+    python_ready(docs.sparkSession)
+    rows = labels.select(named(doc_id).alias("_id"), named(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1))
     if usable is not None:
         rows = rows.where(usable)
     rows = rows.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z")
@@ -136,9 +146,22 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     share[0] = min(1.0, (max_train_rows - min(n.get(1, 0), max_train_rows / 3)) / max(1, n.get(0, 0)))
     drawn = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1_000_000))
     rows = rows.where(drawn < F.when(F.col("_y") == 1, share[1] * 1e6).otherwise(share[0] * 1e6)).select("_id", "_y")
-    found = docs.select(F.col(doc_id).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text")).where(F.length("_text") <= max_train_chars)
-    got = found.join(F.broadcast(rows), "_id").select("_id", "_text", "_y").toPandas().sort_values(["_id", "_text"])
-    return train(got["_text"].tolist(), got["_y"].to_numpy())
+    found = docs.select(named(doc_id).alias("_id"), F.coalesce(named(text), F.lit("")).alias("_text"))
+
+    def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                ids, counts = bag(batch.column(1)[k].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([ids], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int32())), batch.column(2).slice(k, 1), pa.array([len(ids)], pa.int64())], ["draw", "ids", "counts", "y", "cells"])
+
+    draw = F.xxhash64(F.lit(13), "_id", "_text").alias("draw")
+    bags = materialise(found.join(F.broadcast(rows), "_id").select(draw, "_text", "_y").mapInArrow(bagged, "draw long, ids array<int>, counts array<int>, y int, cells long"), "bags")
+    cells = bags.agg(F.sum("cells").alias("c")).first()["c"] or 0
+    if cells > max_train_cells:
+        bags = bags.where(F.pmod("draw", F.lit(1_000_000)) < max_train_cells / cells * 1e6)
+    got = bags.select("draw", "ids", "counts", "y").toArrow().sort_by([("draw", "ascending"), ("y", "ascending")]).combine_chunks()
+    sets = [tuple(got.column(c)[k].values.to_numpy() for c in (1, 2)) for k in range(got.num_rows)]
+    return train(sets, got.column(3).to_numpy())
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", to: str = "score") -> DataFrame:
@@ -150,7 +173,7 @@ def score(docs: DataFrame, model: Model, *, text: str = "text", to: str = "score
         for s in batches:
             yield pd.Series(model.score(s.tolist()))
 
-    return docs.withColumn(to, scored(F.col(text)))
+    return unpacked(packed(docs, told=scored(named(text))), docs.columns, **{to: F.col("told")})
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

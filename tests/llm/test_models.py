@@ -4,6 +4,10 @@ from millrace.llm import language_id, toxicity
 from millrace.llm.common import held_out, table
 
 
+def bags(texts):
+    return [toxicity.bag(t) for t in texts]
+
+
 def test_toxicity_learns_stems_and_unseen_endings():
     rng = np.random.default_rng(3)
     word = lambda: "".join(rng.choice(list("aeioulmnrst"), rng.integers(2, 8)))
@@ -15,14 +19,14 @@ def test_toxicity_learns_stems_and_unseen_endings():
                 w[rng.integers(60)] = "vrakk" + word()
         texts.append(" ".join(w))
         labels.append(int(i % 4 == 0))
-    m = toxicity.train(texts[:400], np.array(labels[:400]))
+    m = toxicity.train(bags(texts[:400]), np.array(labels[:400]))
     p = m.score(texts[400:]) >= 0.5
     y = np.array(labels[400:]) == 1
     assert (p == y).mean() > 0.97
 
 
 def test_toxicity_scores_odd_texts_and_ignores_batching():
-    m = toxicity.train(["good day to you all"] * 5 + ["you vile crook"] * 5, np.array([0] * 5 + [1] * 5))
+    m = toxicity.train(bags(["good day to you all"] * 5 + ["you vile crook"] * 5), np.array([0] * 5 + [1] * 5))
     texts = ["you vile crook", None, "", "123 !!", "x" * 3_000_000, "good day"]
     got = m.score(texts)
     assert got[1] == got[2] and ((got >= 0) & (got <= 1)).all()
@@ -30,8 +34,8 @@ def test_toxicity_scores_odd_texts_and_ignores_batching():
 
 
 def test_toxicity_without_labels_or_with_one_class():
-    assert toxicity.train([], np.array([])).score(["a"])[0] < 0.01
-    assert toxicity.train(["a", "b"], np.array([1, 1])).score(["a"])[0] > 0.99
+    assert toxicity.train(bags([]), np.array([])).score(["a"])[0] < 0.01
+    assert toxicity.train(bags(["a", "b"]), np.array([1, 1])).score(["a"])[0] > 0.99
 
 
 def test_toxicity_query_on_held_out_rows(spark):
@@ -81,3 +85,43 @@ def test_bundle_is_the_sum_of_bound_and_permuted_letters():
     zero, a, b = language_id.letter(0), language_id.letter(ord("a")), language_id.letter(ord("b"))
     want = np.roll(zero, 2) * np.roll(a, 1) * b + np.roll(a, 2) * np.roll(b, 1) * zero
     assert (v == want).all()
+
+
+def test_pieces_of_long_texts_change_nothing(monkeypatch):
+    rng = np.random.default_rng(1)
+    texts = ["".join(rng.choice(list("abcdeé .,1"), n)) for n in (0, 1, 5, 11, 12, 13, 200, 3000)] + [None, "x" * 500]
+    model = toxicity.Model(rng.normal(0, 1, 1 << toxicity.BITS).astype(np.float32), 0.1)
+    whole, own, vectors = model.score(texts), bags(texts), list(language_id.bundles(texts))
+    monkeypatch.setattr(toxicity, "BLOCK", 12)
+    monkeypatch.setattr(language_id, "GROUP", 7)
+    assert np.allclose(model.score(texts), whole)
+    assert all((a == c).all() and (b == d).all() for (a, b), (c, d) in zip(bags(texts), own))
+    for (i, a), (j, b) in zip(language_id.bundles(texts), vectors, strict=True):
+        assert i == j and (a is b is None or (a == b).all())
+
+
+def test_a_large_alphabet_needs_little_memory():
+    import tracemalloc
+
+    text = "".join(chr(c) for c in np.random.default_rng(0).integers(0x4E00, 0x9FFF, 1_000_000))
+    list(language_id.bundles(["warm up"]))
+    tracemalloc.start()
+    (_, v), = language_id.bundles([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert v is not None and peak < 400e6
+
+
+def test_long_labelled_texts_are_learned_from_and_cells_are_bounded(spark, docs):
+    d = docs([(i, ("word%d " % i) * 60_000 + ("vrakkolo " if i % 2 else "fine ") * 30_000) for i in range(12)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(12)], "doc_id long, toxic int")
+    m = toxicity.learn(d, labels)
+    assert m.score(["vrakkolo vrakkolo " * 9])[0] > m.score(["fine fine " * 9])[0]
+    toxicity.learn(d, labels, max_train_cells=200)
+
+
+def test_no_column_name_is_reserved(spark):
+    names = ["_p", "_id", "_y", "_text", "_row", "told", "a.b"]
+    df = spark.createDataFrame([(1, "some text", "en", *names)], "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    for got in (language_id.identify(df, language_id.learn(df)), toxicity.score(df, toxicity.learn(df, df.selectExpr("doc_id", "1 AS toxic", "`_id`", "`_y`")))):
+        assert got.columns[:10] == df.columns and got.first()[:10] == df.first()
