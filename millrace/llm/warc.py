@@ -3,7 +3,7 @@
 Writing: each task writes files of its own into the shared folder, one gzip member a record, and returns the index rows. Only files named in the committed index count, so what a lost or repeated
 task has written is never read. Equal payloads are stored once: the record with the largest id is the response, the others revisit it.
 
-Reading: index rows are dealt by file and stretch of the file, sorted by offset; neighbouring ranges become one read of at most READ bytes, from which the members are cut. Every payload is checked against its digest.
+Reading: index rows are dealt by file and stretch of the file over as many tasks as there are TASK bytes to read (and at least one for each core), sorted by offset; neighbouring ranges become one read of at most READ bytes, from which the members are cut. Every payload is checked against its digest.
 
 Folders are reached by pyarrow.fs, which knows file, hdfs, s3 and gs addresses.
 
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.common import materialise, shared_path, python_ready, table
 
-FILE_BYTES, READ, GAP, STRETCH = 256 << 20, 8 << 20, 64 << 10, 16 << 20
+FILE_BYTES, READ, GAP, STRETCH, TASK = 256 << 20, 8 << 20, 64 << 10, 16 << 20, 128 << 20
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, payload_bytes long, record_type string, refers_to long"
 #: The header lines of the format.
 VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -99,7 +99,9 @@ def write(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", html:
 def read(index: DataFrame) -> DataFrame:
     """The records that the index rows name: (page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload), payload empty for revisits."""
     python_ready(index.sparkSession)
-    picked = index.select("file", "offset", "length").withColumn("_stretch", F.floor(F.col("offset") / STRETCH)).repartition("file", "_stretch").sortWithinPartitions("file", "offset").drop("_stretch")
+    total = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = max(-(-total // TASK), index.sparkSession.sparkContext.defaultParallelism)
+    picked = index.select("file", "offset", "length").withColumn("_stretch", F.floor(F.col("offset") / STRETCH)).repartition(tasks, "file", "_stretch").sortWithinPartitions("file", "offset").drop("_stretch")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         opened, source = None, None
