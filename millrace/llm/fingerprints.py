@@ -1,13 +1,13 @@
 """Document fingerprints: SimHash over weighted term hashes, and permuted block tables for search within a Hamming radius.
 
 A term is a shingle of three words (runs of anything but ASCII whitespace, A-Z lower-cased); a text of fewer words is one term. A term weighs
-1 + ln(its count), and each of its 64 hash bits votes for or against with that weight. Texts without a word have fingerprint 0.
+1 + ln(its count), in units of 1/4096, and each of its 64 hash bits votes for or against with that weight. Texts without a word have fingerprint 0.
 
 Search: the 64 bits are cut in `blocks` blocks. Two fingerprints within `radius` bits agree on at least blocks - radius whole blocks, so one table for each choice of that many blocks,
 keyed by the bits chosen, finds every pair; candidates are checked by their number of different bits.
 
 The edited text of a document ends in the beginning of the next document. Documents are dealt by ranges of doc_id (cut at quantiles), and the first document of every range
-also goes, as a reader only, to the range before it; so each text moves once and no task sees more than its range.
+also goes, as a reader only, to the range before it; so each text moves once and no task sees more than its range. The ranges, three numbers each, are broadcast and searched in binary, so the plan doesn't grow with them.
 
 Defined cases: null texts are empty; a null doc_id comes before all others; rows that repeat a doc_id are neighbours, ordered by text; a single row is its own next document.
 """
@@ -19,11 +19,12 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, python_ready, small_side, table
+from millrace.llm.common import materialise, named, python_ready, small_side, table
 from millrace.llm.text_arrays import flat, groups, mix, words_by_row
 
 WORDS = 3
@@ -44,11 +45,11 @@ def simhash(texts: pa.Array) -> np.ndarray:
             for k in range(m):
                 terms += mix(own[k : len(own) - m + 1 + k], 40 + k)
             terms, n = np.unique(mix(terms, 50 + m), return_counts=True)
-            weight = 1 + np.log(n)
+            weight = np.rint(4096 * (1 + np.log(n)))  # whole numbers, whose sums are exact in any order
             votes = np.zeros(64)
             for k in range(0, len(terms), 8192):
                 bits = np.unpackbits(terms[k : k + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                votes += weight[k : k + 8192].astype(np.float32) @ bits.astype(np.float32)
+                votes += weight[k : k + 8192] @ bits.astype(np.float64)
             out[i + r] = np.packbits(2 * votes > weight.sum(), bitorder="little").view(np.uint64)[0]
     return out
 
@@ -94,16 +95,30 @@ def describe(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text") ->
     python_ready(spark)
     low = -(2**63)
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(low)).alias("_o"), F.col(text).alias("_text"))
+    rows = docs.select(F.coalesce(named(doc_id).cast("long"), F.lit(low)).alias("_o"), named(text).alias("_text"))
     ranges = 4 * parts  # several to a task, so that tasks even out
-    cuts = sorted(set(rows.select(F.percentile_approx("_o", [i / ranges for i in range(1, ranges)], 10_000).alias("c")).first()["c"] or []))
-    bucket = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("_o"))) if cuts else F.lit(0)
-    first = [(r["b"], r["m"]) for r in rows.groupBy(bucket.alias("b")).agg(F.min("_o").alias("m")).orderBy("b").collect()]
-    also = {m: first[k - 1][0] for k, (_, m) in enumerate(first)}  # the range before; before the first comes the last
-    to = [F.struct(bucket.alias("b"), F.lit(False).alias("r"))]
-    if also:
-        before = F.element_at(F.create_map(*[F.lit(x) for kv in also.items() for x in kv]), F.col("_o"))
-        to.append(F.when(before.isNotNull(), F.struct(before.alias("b"), F.lit(True).alias("r"))))
+    shares = ",".join(str(i / ranges) for i in range(1, ranges))  # one literal, however many ranges
+    cuts = rows.select(F.expr(f"percentile_approx(_o, cast(split('{shares}', ',') AS array<double>), {max(10_000, 4 * ranges)})").alias("c")).first()["c"] or []
+    cuts = np.unique(np.array(cuts, np.int64))
+
+    @F.pandas_udf("int")
+    def ranged(o: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, o.to_numpy()))
+
+    first = rows.groupBy(ranged("_o").alias("b")).agg(F.min("_o").alias("m")).toPandas().sort_values("b")
+    least, before = np.full(len(cuts) + 1, low, np.int64), np.zeros(len(cuts) + 1, np.int32)
+    least[first.b] = first.m
+    before[first.b] = np.roll(first.b, 1)  # the range before; before the first comes the last
+    shared = spark.sparkContext.broadcast((cuts, least, before))
+
+    @F.pandas_udf("b int, p int")
+    def placed(o: pd.Series) -> pd.DataFrame:
+        cuts, least, before = shared.value
+        at = np.searchsorted(cuts, o.to_numpy())
+        return pd.DataFrame({"b": at, "p": np.where(least[at] == o.to_numpy(), before[at], -1)})
+
+    to = [F.struct(F.col("_at.b").alias("b"), F.lit(False).alias("r")), F.when(F.col("_at.p") >= 0, F.struct(F.col("_at.p").alias("b"), F.lit(True).alias("r")))]
+    rows = rows.select(placed("_o").alias("_at"), "_o", "_text")
     dealt = rows.select(F.explode(F.filter(F.array(*to), lambda x: x.isNotNull())).alias("_to"), "_o", "_text").select("_to.b", "_to.r", "_o", "_text")
     ordered = dealt.repartition(parts, "b").sortWithinPartitions("b", "r", "_o", "_text")
     schema = "_o long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, _fp long"

@@ -107,3 +107,53 @@ def test_block_tables_find_all_within_the_radius(spark):
     asks = base[:15].tolist()
     got = {(r.q, r.fp) for r in P.within(spark.createDataFrame([(x,) for x in fps], "fp long"), spark.createDataFrame([(x,) for x in asks], "q long")).collect()}
     assert got == {(q, f) for q in asks for f in fps if bin((q ^ f) & (2**64 - 1)).count("1") <= 3}
+
+
+def slow_simhash(text):
+    """The fingerprint in plain integers."""
+    import math
+    import re
+    from collections import Counter
+
+    m64, gold = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mixed(x, salt=0):
+        x = (x + salt * gold + 0x632BE59BD9B4E019) & m64
+        x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) & m64
+        x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) & m64
+        return x ^ (x >> 31)
+
+    low = re.sub(rb"[A-Z]+", lambda m: m[0].lower(), (text or "").encode())
+    words = [mixed(sum((b + 1) * pow(gold, i, 1 << 64) for i, b in enumerate(w)) & m64) for w in re.findall(rb"[^\x20\x09-\x0d]+", low)]
+    if not words:
+        return 0
+    k = min(3, len(words))
+    terms = Counter(mixed(sum(mixed(w, 40 + j) for j, w in enumerate(words[i : i + k])) & m64, 50 + k) for i in range(len(words) - k + 1))
+    votes = [sum(round(4096 * (1 + math.log(n))) * (1 if t >> b & 1 else -1) for t, n in terms.items()) for b in range(64)]
+    return sum(1 << b for b in range(64) if votes[b] > 0)
+
+
+def test_query_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = sorted((r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
+    got = {r.doc_id: r for r in P.op10(spark, sf).collect()}
+    fps = {i: int(got[i].fingerprint, 16) for i, _ in rows}
+    like = lambda x, y: 1 - bin(x ^ y).count("1") / 64
+    for k, (i, t) in enumerate(rows):
+        j, u = rows[(k + 1) % len(rows)]
+        r, n = got[i], len(t) // 2
+        edited = t[: len(t) - n] + u[:n]
+        if len(t) < 3000:
+            assert fps[i] == slow_simhash(t) and int(r.edited_fingerprint, 16) == slow_simhash(edited)
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert r.near_edited == like(fps[i], int(r.edited_fingerprint, 16)) and r.near_next == like(fps[i], fps[j])
+        assert r.n_near == (sum(bin(fps[i] ^ f).count("1") <= 3 for f in fps.values()) - 1 if i % 100 == 0 else None)
+
+
+def test_reading_has_tasks_for_the_bytes(spark, monkeypatch):
+    index = W.write(spark.createDataFrame([(i, f"http://a/{i}", f"page {i} " * 50) for i in range(400)], SCHEMA))
+    total = sum(r.length for r in index.select("length").collect())
+    monkeypatch.setattr(W, "TASK", total // 20)
+    monkeypatch.setattr(W, "STRETCH", 512)
+    assert W.read(index).rdd.getNumPartitions() >= 20 and W.read(index).count() == 400
+
