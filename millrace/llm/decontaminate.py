@@ -3,26 +3,32 @@
 A text's tokens are its letter runs and numbers. Numbers become <num>, a unit right after a number becomes <unit>, and a capitalised word inside a
 sentence becomes <name>; all other tokens are literals, lower-cased. A window is `width` consecutive template tokens (an item of fewer tokens is one window), most of them literals, so
 that two literals stand side by side. A document's windows are hash-joined with the items' windows on the template; the values in the slots must agree
-one to one (equal values in the item are equal in the document and different ones differ), which catches questions whose numbers, names or units were changed.
-An item that has no window with enough literals is found by its windows' lower-cased tokens, word for word. An item of one window is also met with its capitalised first word as a <name>, as in mid-line, and word for word.
+one to one (equal values in the item are equal in the document and different ones differ), which catches questions whose numbers, names or units were changed: that is so if the places of first occurrence of the values are the same,
+so template and places together are the key of the join.
+A window takes part if it has ceil(size / 2) + 1 literals at least. An item without such a window is found by its windows' lower-cased tokens, word for word. An item of one window is also met with its capitalised first word as a <name>, as in mid-line, and word for word.
+An item of one token, or of none, can't be found; `ways` tells for each item how it is looked for.
 
-Before that, one pass over all whole texts notes which of the items' neighbouring literal pairs each document holds. A document with a window holds all the window's pairs, so only documents with all
-pairs of some window go on, and nothing is lost. Each window is looked up by the one of its pairs that the fewest documents hold, as counted over all of them.
+Before that, one pass over all whole texts notes which of the items' pairs of neighbouring words each document holds, by a hash join of the text's pairs. A document with a window holds all the window's pairs of neighbouring literals, and one with an item's tokens
+all of its pairs of neighbouring words, so only documents with all pairs of some window go on, and nothing is lost. Each window is looked up by the one of its pairs that the fewest documents hold, as counted over all of them. If an item
+without a window has no two words, all documents are searched for it.
 
-DataFrame functions only. Defined cases: null and empty texts and items have no window; repeated items count for each item_id; a document is listed once for each item that it leaks.
+DataFrame functions only. Defined cases: null and empty texts and items have no window; items without an item_id are left out; repeated items count for each item_id; a document is listed once for each item that it leaks; rows that repeat a doc_id are one document; columns other than those named are not read.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import materialise, small_side, table
+from millrace.llm.common import bounded, materialise, named, packed, small_side, table, unpacked
 
 #: Units that may follow a number.
 UNITS = ["mm", "cm", "m", "km", "mg", "g", "kg", "t", "ml", "l", "s", "min", "h", "hz", "khz", "mhz", "ghz", "v", "w", "kw", "j", "kj", "n", "pa", "k", "c", "f", "inch", "inches", "ft", "feet", "foot", "yard", "yards", "mile", "miles", "oz", "lb", "lbs", "gallon", "gallons", "liter", "liters", "litre", "litres", "meter", "meters", "metre", "metres", "gram", "grams", "second", "seconds", "minute", "minutes", "hour", "hours", "day", "days", "week", "weeks", "month", "months", "year", "years", "percent", "dollar", "dollars", "euro", "euros", "cent", "cents"]
 TOKEN = r"[\p{L}\p{M}]+|\p{N}+(?:[.,]\p{N}+)*|[.!?\n]"
-PAIR_WINDOWS = 200_000
+#: Largest number of pairs, one long each, that may be broadcast, once they have been counted.
+PAIRS = 2_000_000
 
 
 def needed(size: Column) -> Column:
@@ -62,55 +68,88 @@ def cells(tokens: DataFrame, widths: list[int]) -> DataFrame:
 
 
 def templates(apart: DataFrame) -> DataFrame:
-    """(_k, at, _w, tpl, slots) for each of the windows with enough literals."""
+    """(_k, at, _w, key, slots) for each of the windows with enough literals; the key is the template and, for each slot, the place of the first one with its value."""
     literals = F.size(F.filter("_w", lambda c: ~c.startswith("<")))
     held = apart.where(literals >= needed(F.size("_w")))
-    return held.select("_k", "at", "_w", F.array_join("_w", " ").alias("tpl"), F.transform(F.filter(F.arrays_zip("_w", "_x"), lambda z: z["_w"].startswith("<")), lambda z: z["_x"]).alias("slots"))
+    held = held.select("_k", "at", "_w", F.transform(F.filter(F.arrays_zip("_w", "_x"), lambda z: z["_w"].startswith("<")), lambda z: z["_x"]).alias("slots"))
+    places = F.transform("slots", lambda v: F.array_position(F.col("slots"), v).cast("string"))
+    return held.select("_k", "at", "_w", F.concat_ws("|", F.array_join("_w", " "), F.array_join(places, " ")).alias("key"), "slots")
 
 
 def windows(tokens: DataFrame, widths: list[int]) -> DataFrame:
-    """(_k, at, _w, tpl, slots) for each window of a width with enough literals."""
+    """(_k, at, _w, key, slots) for each window of a width with enough literals."""
     return templates(cells(tokens, widths))
 
 
-def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = 8) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_exact, kind) for each document that holds windows of an item; kind is `verbatim` if a window has the item's own slot values, else `reparameterised`."""
-    bench = template(items.where(F.col(item_id).isNotNull()), item_id, text)
+def wanted(items: DataFrame, item_id: str, text: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """Windows (item_id, _w, key, item_slots) of the items, and (item_id, words, _x) of what is looked up word for word; both written."""
+    items = items.select(named(item_id).alias("_k"), named(text).alias("_x")).where("_k IS NOT NULL")
+    bench = template(items, "_k", "_x")
     apart = cells(bench.where(F.size("_c") >= width), [width]).withColumn("one", F.lit(False))
+    first = capitalised(items, "_k", "_x")
     for short in range(2, width + 1):
         whole = cells(bench.where(F.size("_c") == short), [short])
         # the first word of a text is a literal, but in mid-line a capitalised one is a name
-        inside = whole.join(capitalised(items.where(F.col(item_id).isNotNull()), item_id, text), "_k", "left_semi").select("_k", "at", F.concat(F.array(F.lit("<name>")), F.slice("_w", 2, short)).alias("_w"), "_x")
+        inside = whole.join(first, "_k", "left_semi").select("_k", "at", F.concat(F.array(F.lit("<name>")), F.slice("_w", 2, short)).alias("_w"), "_x")
         apart = apart.union(inside.withColumn("one", F.lit(True)))
         if short < width:
             apart = apart.union(whole.withColumn("one", F.lit(False)))
     apart = materialise(apart, "item-cells")
-    own = templates(apart)
-    rows = own.select(F.col("_k").alias("item_id"), F.col("at").alias("item_at"), "_w", "tpl", F.col("slots").alias("item_slots"))
-    rows = materialise(rows, "item-windows")
-    known = rows.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set(F.size("_w"))).alias("lengths")).first()
-    # items without a template, and those whose first word is a name in mid-line, are looked up word for word
+    rows = materialise(templates(apart).select(F.col("_k").alias("item_id"), "_w", "key", F.col("slots").alias("item_slots")), "item-windows")
+    # items without a window, and those whose first word is a name in mid-line, are looked up word for word
     bare = apart.join(rows.select(F.col("item_id").alias("_k")).distinct(), "_k", "left_anti").union(apart.where("one"))
-    bare = materialise(bare.select(F.col("_k").alias("item_id"), F.array_join("_x", " ").alias("words"), F.size("_x").alias("w")).distinct(), "item-words")
-    plain = bare.agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("w")).alias("lengths")).first()
-    every = docs.select(F.col(doc_id).alias("_k"), F.col(text).alias("_x")).where("_k IS NOT NULL")
+    return rows, materialise(bare.select(F.col("_k").alias("item_id"), F.array_join("_x", " ").alias("words"), "_x").distinct(), "item-words")
+
+
+def ways(items: DataFrame, *, item_id: str = "item_id", text: str = "text", width: int = 8) -> DataFrame:
+    """(item_id, way): `template` if an item has a window with enough literals, else `words`, or `none` if it has fewer than two tokens."""
+    rows, bare = wanted(items, item_id, text, width)
+    each = rows.select("item_id", F.lit("template").alias("way")).union(bare.select("item_id", F.lit("words"))).groupBy("item_id").agg(F.min("way").alias("way"))
+    return items.select(named(item_id).alias("item_id")).where("item_id IS NOT NULL").distinct().join(each, "item_id", "left").select("item_id", F.coalesce("way", F.lit("none")).alias("way"))
+
+
+def _hits(docs: DataFrame, items: DataFrame, doc_id: str, item_id: str, text: str, width: int, whole: bool) -> list[DataFrame]:
+    """Tables (doc_id, item_id, doc_at, exact) of the windows met; without `whole` just (doc_id), and no row is multiplied by items of the same template."""
+    rows, bare = wanted(items, item_id, text, width)
+    sizes = lambda df, c: df.agg(F.array_sort(F.collect_set(F.size(c))).alias("s")).first()["s"]
+    every = docs.select(named(doc_id).alias("_k"), named(text).alias("_x")).where("_k IS NOT NULL")
+    words = bare.withColumn("_p", F.array_distinct(F.filter(neighbours(F.filter("_x", lambda v: ~v.rlike(r"^\p{N}"))), lambda h: h.isNotNull())))
+    pairs = materialise(rows.select(literal_pairs(F.col("_w")).alias("_p"), F.lit(0).alias("part")).union(words.select("_p", F.lit(1))).where(F.size("_p") > 0).distinct(), "item-pairs")
+    if pairs.isEmpty() and bare.isEmpty():
+        return []
+    held = held_pairs(every, pairs)
     hits = []
-    if known["n"]:
-        found = every
-        if known["n"] <= PAIR_WINDOWS:
-            some = holders(found, materialise(rows.select(literal_pairs(F.col("_w")).alias("_p")).distinct(), "item-pairs"))
-            found = found.join(small_side(some, some.count()), "_k", "left_semi")
-        theirs = windows(template(found, "_k", "_x"), known["lengths"]).select(F.col("_k").alias("doc_id"), F.col("at").alias("doc_at"), "tpl", F.col("slots").alias("doc_slots"))
-        both = theirs.join(small_side(rows.drop("_w"), known["n"]), "tpl")
-        pairs = F.array_distinct(F.arrays_zip("item_slots", "doc_slots"))
-        agree = (F.size(pairs) == F.size(F.array_distinct("item_slots"))) & (F.size(pairs) == F.size(F.array_distinct("doc_slots")))
-        hits.append(both.where(agree).select("doc_id", "item_id", "doc_at", (F.col("item_slots") == F.col("doc_slots")).alias("exact")))
-    if plain["n"]:
-        theirs = cells(template(every, "_k", "_x"), plain["lengths"]).select(F.col("_k").alias("doc_id"), F.col("at").alias("doc_at"), F.array_join("_x", " ").alias("words"))
-        hits.append(theirs.join(small_side(bare.drop("w"), plain["n"]), "words").select("doc_id", "item_id", "doc_at", F.lit(True).alias("exact")))
+
+    def search(side: DataFrame, parts: DataFrame, found: DataFrame) -> None:
+        theirs = found.join(parts, "_k", "left_semi") if parts is not None else found
+        if side is rows:
+            theirs = windows(template(theirs, "_k", "_x"), sizes(rows, "_w")).select(F.col("_k").alias("doc_id"), F.col("at").alias("doc_at"), "key", F.col("slots").alias("doc_slots"))
+            own, key, exact = rows.drop("_w"), "key", F.col("item_slots") == F.col("doc_slots")
+        else:
+            theirs = cells(template(theirs, "_k", "_x"), sizes(side, "_x")).select(F.col("_k").alias("doc_id"), F.col("at").alias("doc_at"), F.array_join("_x", " ").alias("words"))
+            own, key, exact = side.select("item_id", "words"), "words", F.lit(True)
+        if whole:
+            hits.append(theirs.join(bounded(own), key).select("doc_id", "item_id", "doc_at", exact.alias("exact")))
+        else:
+            hits.append(theirs.join(bounded(materialise(own.select(key).distinct(), "item-keys")), key, "left_semi").select("doc_id"))
+
+    if not rows.isEmpty():
+        search(rows, holding(held, pairs.where("part = 0")), every)
+    some = materialise(words.where(F.size("_p") > 0).select("item_id", "words", "_x"), "item-words")
+    if not some.isEmpty():
+        search(some, holding(held, pairs.where("part = 1")), every)
+    rest = materialise(words.where(F.size("_p") == 0).select("item_id", "words", "_x"), "item-words")
+    if not rest.isEmpty():
+        search(rest, None, every)
+    return hits
+
+
+def leaks(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = 8) -> DataFrame:
+    """(doc_id, item_id, n_windows, n_exact, kind) for each document that holds windows of an item; kind is `verbatim` if a window has the item's own slot values, else `reparameterised`."""
+    hits = _hits(docs, items, doc_id, item_id, text, width, True)
     if not hits:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, n_exact long, kind string")
-    met = hits[0] if len(hits) == 1 else hits[0].union(hits[1])
+    met = reduce(DataFrame.unionAll, hits)
     out = met.groupBy("doc_id", "item_id").agg(F.count_distinct("doc_at").alias("n_windows"), F.count_distinct(F.when(F.col("exact"), F.col("doc_at"))).alias("n_exact"))
     return out.withColumn("kind", F.when(F.col("n_exact") > 0, "verbatim").otherwise("reparameterised"))
 
@@ -121,8 +160,8 @@ def capitalised(items: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def neighbours(words: Column) -> Column:
-    """A hash of each two neighbouring words."""
-    return F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.xxhash64(a, b))
+    """A hash of each two neighbouring words, and a null for the last."""
+    return F.zip_with(words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
 
 
 def literal_pairs(window: Column) -> Column:
@@ -131,25 +170,35 @@ def literal_pairs(window: Column) -> Column:
     return F.array_distinct(F.filter(F.zip_with(window, after, lambda a, b: F.when(~a.startswith("<") & ~b.startswith("<"), F.xxhash64(a, b))), lambda h: h.isNotNull()))
 
 
-def holders(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_k) of the texts (_k, _x) that hold all the pairs of one of the windows `wanted` (_p)."""
-    pairs = wanted.select(F.explode("_p").alias("h")).agg(F.collect_set("h"))
+def held_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(_k, _h): those of the pairs (_p) that each text (_k, _x) holds; written."""
+    all_ = materialise(pairs.select(F.explode("_p").alias("h")).distinct(), "pairs")
     # the word array stands behind a Generate, so that it is made once
     words = texts.select("_k", F.explode(F.array(F.struct(F.split(F.lower("_x"), r"[^\p{L}\p{M}]+", -1).alias("w")))).alias("s"))
-    held = words.select("_k", F.array_intersect(pairs.scalar(), neighbours(F.col("s.w"))).alias("_h"))
-    held = materialise(held.select("_k", F.explode(F.array(F.struct("_h"))).alias("s")).select("_k", "s._h").where(F.size("_h") > 0), "held-pairs")
+    own = words.select("_k", F.explode(neighbours(F.col("s.w"))).alias("h"))
+    own = own.join(F.broadcast(all_) if all_.count() <= PAIRS else all_, "h", "left_semi")
+    return materialise(own.groupBy("_k").agg(F.collect_set("h").alias("_h")), "held-pairs")
+
+
+def holding(held: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(_k) of the texts, by the pairs they hold, that hold all the pairs of one of the windows `pairs` (_p); written."""
     shares = held.select(F.explode("_h").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    window = wanted.withColumn("_w", F.xxhash64("_p"))
+    window = pairs.select("_p", F.xxhash64("_p").alias("_w"))
     rarest = window.select("_w", F.explode("_p").alias("h")).join(shares, "h", "left").groupBy("_w").agg(F.min_by("h", F.struct(F.coalesce("n", F.lit(0)), "h")).alias("h"))
-    keyed = materialise(window.join(rarest, "_w").select("h", "_p"), "rarest-pairs")
+    keyed = materialise(window.join(rarest, "_w").select("h", "_p").distinct(), "rarest-pairs")
     met = held.select("_k", "_h", F.explode("_h").alias("h")).join(small_side(keyed, 8 * keyed.count()), "h")
-    return materialise(met.where(F.size(F.array_except("_p", "_h")) == 0).select("_k").distinct(), "holders")
+    out = materialise(met.where(F.size(F.array_except("_p", "_h")) == 0).select("_k").distinct(), "holders")
+    return small_side(out, out.count())
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", **options: object) -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", width: int = 8) -> DataFrame:
     """The documents that leak no item. Rows with a null doc_id stay."""
-    bad = materialise(leaks(docs, items, doc_id=doc_id, **options).select(F.col("doc_id").alias(doc_id)).distinct(), "leaking")
-    return docs.join(small_side(bad, bad.count()), doc_id, "left_anti")
+    hits = _hits(docs, items, doc_id, item_id, text, width, False)
+    if not hits:
+        return docs
+    bad = materialise(reduce(DataFrame.unionAll, hits).distinct(), "leaking")
+    bad = small_side(bad.withColumnRenamed("doc_id", "gone"), bad.count())
+    return unpacked(packed(docs, id=named(doc_id)).join(bad, F.col("id") == F.col("gone"), "left_anti"), docs.columns)
 
 
 _UNITS_SQL = ", ".join(f"'{u}'" for u in UNITS)

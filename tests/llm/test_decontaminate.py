@@ -89,12 +89,20 @@ def test_slots_must_agree(spark, docs):
     assert {i for i, _ in found} == {1, 2, 3, 5, 6, 7, 11} | {i for i, _ in brute(ROWS, ITEMS)}
 
 
-def test_every_document_is_found_without_the_pairs(spark, docs, monkeypatch):
+def test_pairs_that_are_not_broadcast(spark, docs, monkeypatch):
     with_pairs = got(spark, docs, ROWS)
-    monkeypatch.setattr(D, "PAIR_WINDOWS", 0)
+    monkeypatch.setattr(D, "PAIRS", 0)
     assert got(spark, docs, ROWS) == with_pairs
 
 
+def test_items_of_numbers_only_and_how_items_are_looked_for(spark, docs):
+    items = [(0, "What is 12 + 7 ?"), (1, "Compute 3 x 4 x 5"), (2, "12 + 7 - 4"), (3, "word"), (4, ITEMS[0][1]), (5, None)]
+    rows = [(i, f"so: {t} Yes.") for i, t in items] + [(7, "What is 12 + 8 ?"), (8, "4 - 7 + 12")]
+    assert set(got(spark, docs, rows, items)) == {(0, 0), (1, 1), (2, 2), (4, 4)}
+    told = {r.item_id: r.way for r in D.ways(spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert told == {0: "words", 1: "words", 2: "words", 3: "none", 4: "template", 5: "none"}
+
+
 def test_many_documents_share_a_leak(spark, docs):
     rows = [(i, f"intro {i} " + ITEMS[4][1]) for i in range(300)]
     assert len(got(spark, docs, rows)) == 300
