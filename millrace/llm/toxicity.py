@@ -14,7 +14,8 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -54,15 +55,33 @@ def places(texts: list[str | None]) -> Iterator[tuple[list[int], np.ndarray, np.
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The distinct buckets of a text and how often each occurs."""
-    total = np.zeros(1 << BITS, np.int64)
+    total, found = None, []
     for _, x, low, high in places([text]):
-        for _, ids, ok in subwords(x):
-            a, b = int(low[0]), int(high[0])
-            total += np.bincount(ids[a:b][ok[a:b]], minlength=1 << BITS)
+        a, b = int(low[0]), int(high[0])
+        found += [ids[a:b][ok[a:b]] for _, ids, ok in subwords(x)]
+        if sum(map(len, found)) > 1 << BITS:  # a long text is added up piece by piece
+            total = np.bincount(np.concatenate(found), minlength=1 << BITS) + (0 if total is None else total)
+            found = []
+    if total is None:
+        ids, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0), np.zeros(0))
+        return ids.astype(np.int32), counts.astype(np.int32)
+    if found:
+        total += np.bincount(np.concatenate(found), minlength=1 << BITS)
     ids = np.flatnonzero(total)
     return ids.astype(np.int32), total[ids].astype(np.int32)
 
 
+def coded(own: tuple[np.ndarray, np.ndarray]) -> bytes:
+    """A bag in few bytes: the steps between buckets, then the counts."""
+    ids, counts = own
+    return zlib.compress(np.concatenate((np.diff(ids, prepend=np.int32(0)), counts)).astype(np.int32).tobytes(), 1)
+
+
+def decoded(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = np.frombuffer(zlib.decompress(raw), np.int32).reshape(2, -1)
+    return np.cumsum(steps, dtype=np.int32), counts
+
+
 @dataclass
 class Model:
     """weight: the embedding of each bucket times the difference of the classes' weights; bias: of their biases. pad: n-grams without meaning that are added to every text's mean, so that a few words don't decide."""
@@ -83,7 +102,7 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(total / (count + self.pad) + self.bias, -30, 30)))
 
 
-def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, steps: int = 3000, batch: int = 32, rate: float = 2.0, scale: float = 100.0, min_docs: int = 3, min_share: float = 0.005, decay: float = 3e-4, pad: int = 40, seed: int = 7) -> Model:
+def train(bags: Iterable[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, steps: int = 3000, batch: int = 32, rate: float = 2.0, scale: float = 100.0, min_docs: int = 3, min_share: float = 0.005, decay: float = 3e-4, pad: int = 40, seed: int = 7) -> Model:
     """Gradient descent over the texts' bags on the embeddings and the softmax weights together. `scale` multiplies the mean; buckets in fewer than min_docs texts, or less than min_share of them, are left out: they only learn single texts by heart."""
     size = 1 << BITS
     labels = np.asarray(labels, float)
@@ -94,7 +113,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, step
     for ids, n in bags:
         seen[ids] += 1
         docs.append((ids, (scale * n / (n.sum(dtype=np.int64) + pad)).astype(np.float32)))
-    used = np.flatnonzero(seen >= max(min_docs, min_share * len(bags)))
+    used = np.flatnonzero(seen >= max(min_docs, min_share * len(labels)))
     place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
     for k, (ids, w) in enumerate(docs):
@@ -151,17 +170,16 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     def bagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, counts = bag(batch.column(1)[k].as_py())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([ids], pa.list_(pa.int32())), pa.array([counts], pa.list_(pa.int32())), batch.column(2).slice(k, 1), pa.array([len(ids)], pa.int64())], ["draw", "ids", "counts", "y", "cells"])
+                own = bag(batch.column(1)[k].as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([coded(own)], pa.binary()), batch.column(2).slice(k, 1), pa.array([len(own[0])], pa.int64())], ["draw", "bag", "y", "cells"])
 
     draw = F.xxhash64(F.lit(13), "_id", "_text").alias("draw")
-    bags = materialise(found.join(F.broadcast(rows), "_id").select(draw, "_text", "_y").mapInArrow(bagged, "draw long, ids array<int>, counts array<int>, y int, cells long"), "bags")
+    bags = materialise(found.join(F.broadcast(rows), "_id").select(draw, "_text", "_y").mapInArrow(bagged, "draw long, bag binary, y int, cells long"), "bags")
     cells = bags.agg(F.sum("cells").alias("c")).first()["c"] or 0
     if cells > max_train_cells:
         bags = bags.where(F.pmod("draw", F.lit(1_000_000)) < max_train_cells / cells * 1e6)
-    got = bags.select("draw", "ids", "counts", "y").toArrow().sort_by([("draw", "ascending"), ("y", "ascending")]).combine_chunks()
-    sets = [tuple(got.column(c)[k].values.to_numpy() for c in (1, 2)) for k in range(got.num_rows)]
-    return train(sets, got.column(3).to_numpy())
+    got = bags.select("draw", "y", "bag").toArrow().sort_by([("draw", "ascending"), ("y", "ascending")])
+    return train((decoded(b.as_py()) for b in got.column("bag")), got.column("y").to_numpy())
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", to: str = "score") -> DataFrame:
