@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontaminate, line_dedup, minhash_dedup, mixing, toxicity
-from millrace.llm.common import held_out, materialise, small_side, table
+from millrace.llm.common import held_out, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +26,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    gone = materialise(minhash_dedup.near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "near-copies")
-    return docs.join(small_side(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    return minhash_dedup.dedup(docs).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

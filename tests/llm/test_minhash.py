@@ -2,7 +2,7 @@ import random
 import re
 
 from millrace.llm.components import components
-from millrace.llm.minhash_dedup import near_duplicates
+from millrace.llm.minhash_dedup import dedup, near_duplicates
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -61,6 +61,18 @@ def test_large_nodes_branch(docs, monkeypatch):
     check(rows, docs)
 
 
+def test_large_nodes_of_middling_similarity_and_blocks_at_the_last_level(docs, monkeypatch):
+    from millrace.llm import minhash_dedup
+
+    monkeypatch.setattr(minhash_dedup, "SMALL", 6)
+    monkeypatch.setattr(minhash_dedup, "DEPTH", 1)
+    rng = random.Random(4)
+    base = [f"w{j}" for j in range(100)]
+    rows = [(i, edited(rng, base, rng.choice((1, 3, 6, 9, 12)))) for i in range(90)]
+    rows += [(200 + i, " ".join(base[:45] + [f"u{i % 9}_{j}" for j in range(55)] + [f"t{i}"])) for i in range(40)]
+    check(rows, docs)
+
+
 def test_blocks_of_a_large_group(docs, monkeypatch):
     from millrace.llm import minhash_dedup
 
@@ -68,6 +80,8 @@ def test_blocks_of_a_large_group(docs, monkeypatch):
     rng = random.Random(2)
     base = [f"w{j}" for j in range(90)]
     check([(i, edited(rng, base, i % 5)) for i in range(60)], docs)
+    chain = [f"c{j}" for j in range(160)]
+    check([(i, " ".join(chain[2 * i : 2 * i + 60])) for i in range(48)], docs)
 
 
 def test_odd_texts(docs):
@@ -80,6 +94,20 @@ def test_empty_table_null_id_and_repeated_rows(docs, empty):
     assert sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in got) == [(0, 7, True), (7, 7, True), (7, 7, True), (8, 7, False)]
 
 
+def test_rows_that_repeat_an_id_with_other_texts(docs):
+    a, b, c = (" ".join(f"{x}{j}" for j in range(30)) for x in "abc")
+    d = docs([(1, a), (1, b), (2, a + " end"), (3, b + " end"), (5, a + " more"), (5, c), (6, c + " end"), (None, a)])
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_duplicates(d, k=4).collect())
+    assert got == [(0, 1, True), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (5, 1, False), (5, 5, True), (6, 5, False)]
+    assert sorted((r.doc_id or 0, r.text) for r in dedup(d, k=4).collect()) == [(0, a), (1, a), (1, b), (5, c)]
+
+
+def test_dedup_keeps_all_columns_whatever_their_names(spark):
+    names = ["_id", "t", "n", "f1", "gone", "_row", "a.b"]
+    df = spark.createDataFrame([(i, "one text of some words", *names) for i in range(3)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    assert dedup(df).collect() == df.where("doc_id = 0").collect() and dedup(df).columns == df.columns
+
+
 def test_very_long_text(docs):
     words = " ".join(f"w{j % 9973}-{j % 7}" for j in range(200_000))
     got = {r.doc_id: r.component_id for r in near_duplicates(docs([(1, words), (2, words + " end"), (3, "short text of a few words")])).collect()}
