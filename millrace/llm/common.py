@@ -85,9 +85,9 @@ def named(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
-def packed(df: DataFrame, **own: Column) -> DataFrame:
-    """The caller's columns as one struct _row, beside columns of the operator's own: no name of the caller's can clash with them."""
-    return df.select(F.struct(*[named(c) for c in df.columns]).alias("_row"), *[c.alias(n) for n, c in own.items()])
+def packed(df: DataFrame, columns: list[str] | None = None, /, **own: Column) -> DataFrame:
+    """The caller's columns (or those given) as one struct _row, beside columns of the operator's own: no name of the caller's can clash with them."""
+    return df.select(F.struct(*[named(c) for c in columns or df.columns]).alias("_row"), *[c.alias(n) for n, c in own.items()])
 
 
 def unpacked(df: DataFrame, columns: list[str], **made: Column) -> DataFrame:
