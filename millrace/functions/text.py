@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -238,3 +239,73 @@ def simhash_of(halves: Column) -> Column:
         return F.lower(F.hex(value.cast("long")))
 
     return F.when(F.size(halves) > 0, F.concat(*[digit(i, f) for f in ("a", "b") for i in range(8)]))
+
+
+def render(template: str, values: dict[str, Column], padding: int = 2) -> Column:
+    """A path template with its {fields} filled in; null if one of them is null or empty. 0{field} pads a number with zeros to `padding` digits, whatever zeros it has in front."""
+    parts = []
+    for text, pad, name in re.findall(r"([^{}]*?)(0?)\{([a-z_]+)\}|$", template):
+        if not name:
+            continue
+        value = F.nullif(values.get(name, F.lit(None)).cast("string"), F.lit(""))
+        if pad:
+            bare = F.regexp_replace(value, "^0+", "")
+            value = F.when(F.length(bare) < padding, F.lpad(bare, padding, "0")).otherwise(bare)
+        parts += [F.lit(text), value]
+    tail = template[template.rfind("}") + 1 :]
+    return F.concat(*parts, F.lit(tail))
+
+
+def render_best(templates: list[str], values: dict[str, Column], padding: int = 2) -> Column:
+    """The first template whose fields are all known; if there is none, the segments of the last one that are."""
+    known = F.filter(F.array(*[render(segment, values, padding) for segment in templates[-1].split("/")]), lambda x: x.isNotNull())
+    return F.coalesce(*[render(t, values, padding) for t in templates], F.array_join(known, "/"))
+
+
+#: The language that a source file is shown in, by its extension, and the kinds of content that are source text.
+LANGUAGES = {
+    "markdown": ["md", "markdown"],
+    "c": ["c", "h"],
+    "cpp": ["cpp", "cc", "hpp"],
+    "csharp": ["cs"],
+    "java": ["java"],
+    "python": ["py"],
+    "ruby": ["rb"],
+    "go": ["go"],
+    "rust": ["rs"],
+    "javascript": ["js", "mjs", "jsx"],
+    "typescript": ["ts"],
+    "php": ["php"],
+    "perl": ["pl"],
+    "lua": ["lua"],
+    "kotlin": ["kt"],
+    "swift": ["swift"],
+    "matlab": ["m"],
+    "x86asm": ["asm", "s"],
+    "vhdl": ["vhd"],
+    "verilog": ["v"],
+    "bash": ["sh", "bash"],
+    "dos": ["bat"],
+    "powershell": ["ps1"],
+    "sql": ["sql"],
+    "r": ["r"],
+    "scala": ["scala"],
+    "fortran": ["f90"],
+    "delphi": ["pas"],
+    "xml": ["html", "htm", "xml", "xsd", "svg", "vcxproj", "csproj", "props", "config"],
+    "json": ["json"],
+    "yaml": ["yaml", "yml"],
+    "ini": ["toml", "ini"],
+    "css": ["css"],
+    "scss": ["scss"],
+    "latex": ["tex"],
+    "plaintext": ["csv", "txt", "log"],
+}
+SOURCE_KINDS = ["text", "code", "other", ""]
+
+
+def source_language(filename: Column, kind: Column) -> Column:
+    """The language of a file that is source text itself; null for extracted text and unknown extensions."""
+    pairs = [F.lit(x) for language, exts in LANGUAGES.items() for e in exts for x in (e, language)]
+    suffix = F.lower(F.regexp_extract(filename, r"[^/]\.([^./]+)$", 1))
+    return F.when(F.coalesce(kind, F.lit("")).isin(SOURCE_KINDS), F.element_at(F.create_map(*pairs), suffix))

@@ -73,7 +73,7 @@ def by_folder(files: DataFrame, folder: str, partners: DataFrame | None = None)
     below = (F.col("folder") == folder) | F.col("relpath").startswith(folder + "/")
     rows = files.where(below)
     if partners is not None:
-        rows = rows.unionByName(files.join(F.broadcast(partners.limit(10_000)), "folder", "left_semi")).dropDuplicates(["file_id"])
+        rows = rows.unionByName(files.join(partners.select("folder").distinct(), "folder", "left_semi")).dropDuplicates(["file_id"])
     w = Window.partitionBy("sha").orderBy("folder", "relpath", "file_id")
     return rows.where("sha IS NOT NULL").withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.tree import multiset_hash
 
 RANKS = {"manual": 0, "deterministic": 1, "heuristic": 2, "llm": 3, "unknown": 99}
 
@@ -53,8 +54,10 @@ def conflicts(plan: DataFrame, applied: DataFrame) -> DataFrame:
 def findings(plan: DataFrame, ground_truth: DataFrame, padding: int = 2) -> DataFrame:
     """(level, code, sha, target): what is wrong with plan rows (sha, action, target, confidence, subject_dir)."""
     moved = F.col("action").isin("copy", "media")
-    w, t = Window.partitionBy("sha"), Window.partitionBy(F.lower("target"))
-    rows = plan.withColumns({"_same": F.count(F.lit(1)).over(w), "_min": F.min(F.when(moved, F.col("sha"))).over(t), "_max": F.max(F.when(moved, F.col("sha"))).over(t)})
+    # sums by key instead of windows: rows without a target have no key to meet under
+    same = plan.groupBy("sha").agg(F.count(F.lit(1)).alias("_same")).where("_same > 1")
+    ends = plan.where(moved & F.col("target").isNotNull()).groupBy(F.lower("target").alias("_key")).agg(F.min("sha").alias("_min"), F.max("sha").alias("_max"))
+    rows = plan.join(same, "sha", "left").join(ends, F.lower("target") == F.col("_key"), "left")
     rows = rows.join(ground_truth.select(F.lower("target").alias("_gt"), F.col("sha").alias("_gs")).groupBy("_gt").agg(F.min("_gs").alias("_gs")), F.lower("target") == F.col("_gt"), "left")
     tests = [
         ("error", "duplicate_row", F.col("_same") > 1),
@@ -70,10 +73,83 @@ def findings(plan: DataFrame, ground_truth: DataFrame, padding: int = 2) -> Data
     return rows.select("sha", "target", F.explode(found).alias("f")).select("f.level", "f.code", "sha", "target")
 
 
+LEVELS = ["error", "warning", "info"]
+
+
+def blocking(found: DataFrame) -> DataFrame:
+    """One row: errors, warnings, and how many findings stop a plan, also if warnings count too."""
+    count = lambda level: F.count(F.when(F.col("level") == level, 1))
+    return found.agg(count("error").alias("errors"), count("warning").alias("warnings")).withColumns({"blocking": F.col("errors"), "blocking_strict": F.col("errors") + F.col("warnings")})
+
+
+def worst(found: DataFrame, *by: str) -> DataFrame:
+    """(*by, level): the gravest level among the findings of each group; groups without findings have no row."""
+    rank = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
+    return found.where(rank > 0).groupBy(*by).agg(F.min_by("level", rank).alias("level"))
+
+
+def tree_diff(plan: DataFrame) -> DataFrame:
+    """(part, path): the files that a plan adds and the distinct folders that hold them."""
+    files = plan.where(F.col("action").isin("copy", "media") & (F.coalesce("target", F.lit("")) != "")).select(F.lit("file").alias("part"), F.col("target").alias("path"))
+    head = T.parent(F.col("path"))
+    return files.union(files.select(F.lit("folder"), F.when(head == "", ".").otherwise(head)).distinct())
+
+
+def build_meta(decided: DataFrame, conflicts: Column, attached: DataFrame, distinct: DataFrame) -> DataFrame:
+    """One row about a plan as built: items and actions of `decided` (sha, action, target, needs_review), contents for which `conflicts` holds, rows with a relation, names made distinct, and the plan's hash."""
+    actions = {f"n_{a}": F.count(F.when(F.col("action") == a, 1)) for a in ("copy", "media", "quarantine", "skip")}
+    rows = decided.agg(F.count(F.lit(1)).alias("items"), *[c.alias(n) for n, c in actions.items()], F.count(F.when(F.col("needs_review") == 1, 1)).alias("needs_review"), F.count(F.when(conflicts, 1)).alias("conflicts"))
+    related = attached.agg(F.count("related_to").alias("with_relation"))
+    made = distinct.agg(F.count(F.when(F.col("disambiguated"), 1)).alias("disambiguated"))
+    return rows.join(related, F.lit(True)).join(made, F.lit(True)).join(plan_hash(decided, "sha", "action", "target"), F.lit(True))
+
+
+BLOCKERS = ["conflict", "missing_source", "outside"]
+
+
+def overview(plan: DataFrame, found: DataFrame, states: DataFrame) -> DataFrame:
+    """One row: what is known before a plan is applied. `found` are its findings, `states` its operations. It can be applied if no finding stops it and no operation is in a state that can't be carried out; `reason` tells which."""
+    one = lambda name: F.count(F.when(F.col("state") == name, 1)).alias(name)
+    rows = plan.agg(F.count(F.lit(1)).alias("items"), F.count(F.when(F.col("needs_review") == 1, 1)).alias("needs_review"))
+    parts = tree_diff(plan).agg(F.count(F.when(F.col("part") == "file", 1)).alias("files"), F.count(F.when(F.col("part") == "folder", 1)).alias("folders"))
+    ops = states.agg(*[one(n) for n in ("new", "present", *BLOCKERS)])
+    out = rows.join(blocking(found).drop("blocking_strict"), F.lit(True)).join(parts, F.lit(True)).join(ops, F.lit(True))
+    stuck = sum((F.col(n) for n in BLOCKERS), F.lit(0)) > 0
+    reason = F.when(F.col("blocking") > 0, "findings").when(stuck, "operations").otherwise("")
+    return out.withColumns({"can_apply": (F.col("blocking") == 0) & ~stuck, "reason": reason})
+
+
+TRUTH = "ground_truth"
+
+
+def ground_truth(seen: DataFrame, known: DataFrame, decided: DataFrame, hash_of: Column, partial: bool = False) -> tuple[DataFrame, DataFrame]:
+    """((path, sha, stamp, reused), (sha, path, semester, subject, rest)) of the files `seen` (path, size, mtime, and what `hash_of` reads). A file whose stamp, made of size and time, is the one in `known` (path, sha, stamp) keeps its hash, so that only
+    others are read; known paths that aren't seen any more go, unless the scan is partial. Each content is classified by the smallest of its paths, compared by components; contents with a manual decision in `decided` (sha, method, run_id) other than ground truth are left alone."""
+    old = known.select("path", F.col("sha").alias("_sha"), F.col("stamp").alias("_stamp"))
+    now = seen.withColumn("stamp", F.concat_ws(":", F.lit(TRUTH), F.col("size").cast("string"), F.col("mtime").cast("string"))).join(old, "path", "left")
+    same = F.coalesce(F.col("_stamp") == F.col("stamp"), F.lit(False))
+    rows = now.select("path", F.when(same, F.col("_sha")).otherwise(hash_of).alias("sha"), "stamp", same.alias("reused"))
+    if partial:
+        rows = rows.unionByName(known.join(seen.select("path"), "path", "left_anti").select("path", "sha", "stamp", F.lit(True).alias("reused")))
+    first = rows.where("sha IS NOT NULL").groupBy("sha").agg(F.min(F.split("path", "/")).alias("p"))
+    manual = decided.where((F.col("method") == "manual") & (F.coalesce("run_id", F.lit("")) != TRUTH)).select("sha")
+    semester = F.regexp_extract(F.get("p", F.lit(0)), r"^SEM(\d+)$", 1).try_cast("int")
+    made = first.join(manual, "sha", "left_anti").select("sha", F.array_join("p", "/").alias("path"), semester.alias("semester"), F.when(F.size("p") > 2, F.get("p", F.lit(1))).alias("subject"), F.array_join(F.slice("p", 3, F.size("p")), "/").alias("rest"))
+    return rows, made
+
+
+def taken(wanted: DataFrame, *held: DataFrame) -> DataFrame:
+    """(target, taken) of `wanted` (target): whether another path that is the same but for case stands in one of the tables `held` (target)."""
+    every = reduce(DataFrame.unionAll, [h.select("target") for h in held]).where("target IS NOT NULL")
+    ends = every.groupBy(F.lower("target").alias("_k")).agg(F.min("target").alias("_lo"), F.max("target").alias("_hi"))
+    j = wanted.select("target").distinct().join(ends, F.lower("target") == F.col("_k"), "left")
+    return j.select("target", F.coalesce((F.col("_lo") != F.col("target")) | (F.col("_hi") != F.col("target")), F.lit(False)).alias("taken"))
+
+
 def plan_hash(plan: DataFrame, *cols: str) -> DataFrame:
-    """One row: sha256 over the rows as sorted JSON lines, whatever their order. Rows are hashed where they are; only hashes meet."""
+    """One row: a hash that is equal for equal rows, whatever their order. Rows are hashed as JSON with sorted keys where they are, and sums of the hashes' digits are hashed in turn, so only numbers meet."""
     lines = plan.select(F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256).alias("h"))
-    return lines.agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("plan_hash"))
+    return lines.agg(multiset_hash("h").alias("plan_hash"))
 
 
 def operations(plan: DataFrame, copies: DataFrame, listing: DataFrame) -> DataFrame:

@@ -56,23 +56,41 @@ def normalised_model_output(rows: DataFrame, known: list[str], review: float = 0
     return rows.withColumns({"confidence": c, "action": F.when(bad, "quarantine").otherwise(F.col("action")), "needs_review": bad | (c < auto)})
 
 
-def match_paths(paths: DataFrame, subjects: DataFrame) -> DataFrame:
-    """(path, semester, subject, score): subjects (semester, code, name, alias) whose name, code or alias stands as whole words in a path's components; of each semester the best score. A component like sem3 or SEM III restricts to its semester."""
-    roman = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7}
-    low = T.folded(F.col("path"))
-    digits = F.regexp_extract(low, r"(?<![a-z0-9])sem(?:estr)?[ _-]*([1-7]|vii|vi|iv|v|iii|ii|i)(?![a-z0-9])", 1)
-    sem = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, v in roman.items() for x in (k, v)]), digits), F.when(digits.rlike("^[1-7]$"), digits.cast("int")))
-    grams = F.array_distinct(F.flatten(F.transform(F.split(low, "/"), lambda s: _grams(F.regexp_extract_all(s, F.lit("[a-z0-9]+"), F.lit(0))))))
-    keyed = paths.select("path", sem.alias("_sem"), F.explode(grams).alias("k"))
-    names = [(F.col("name"), 3), (F.col("code"), 2), (F.col("alias"), 1)]
-    words = lambda c: F.array_join(F.regexp_extract_all(T.folded(c), F.lit("[a-z0-9]+"), F.lit(0)), " ")
-    dictionary = subjects.select("semester", F.col("code").alias("subject"), F.explode(F.filter(F.array(*[F.when(c.isNotNull(), F.struct(words(c).alias("k"), F.lit(n).alias("score"))) for c, n in names]), lambda x: x.isNotNull())).alias("x")).select("semester", "subject", "x.k", "x.score").where("k <> ''")
-    hits = keyed.join(F.broadcast(dictionary), "k").where(F.col("_sem").isNull() | (F.col("_sem") == F.col("semester")))
-    top = Window.partitionBy("path", "semester")
-    return hits.groupBy("path", "semester", "subject").agg(F.max("score").alias("score")).withColumn("_m", F.max("score").over(top)).where("score = _m").drop("_m")
-
-
-def _grams(words: Column, longest: int = 4) -> Column:
+#: Words of a path that leave it out, and semesters in Roman digits.
+LEFT_OUT, ROMAN = ["magisterskie"], ["i", "ii", "iii", "iv", "v", "vi", "vii"]
+
+
+def match_subjects(paths: DataFrame, subjects: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((path, semester, subject, group, score), (path, reasons)) of `paths` (path) for `subjects` (semester, code, name, aliases, group, department): subjects whose name (3), code (2) or alias (1) stands as whole words in a component of the path; of each
+    component and semester the best score. Semesters that the path names (sem3, SEM III) restrict all hits; a component that is the name of a group or department (from the fifth semester on) restricts the hits of its semester in the components after it.
+    Reasons: missing_semester, conflicting_semesters, conflicting_groups (a hit after components of several groups), ambiguous_subject. Paths with a word that leaves them out have no hit and no reason."""
+    words = lambda c: F.regexp_extract_all(T.folded(c), F.lit("[a-z0-9]+"), F.lit(0))
+    parts = F.split("path", "/")
+    last = F.regexp_replace(F.element_at(parts, -1), r"(?<=.)\.[^.]*$", "")
+    rows = paths.select("path", F.transform(F.concat(F.slice(parts, F.lit(1), F.size(parts) - 1), F.array(last)), words).alias("w"))
+    rows = rows.where(~F.exists("w", lambda x: F.arrays_overlap(x, F.array(*map(F.lit, LEFT_OUT)))))
+    numbers = F.flatten(F.transform("w", lambda x: F.regexp_extract_all(F.array_join(x, " "), F.lit(r"(?<![a-z0-9])sem(?:estr)?[ ]?([1-7]|vii|vi|iv|v|iii|ii|i)(?![a-z0-9])"), F.lit(1))))
+    number = lambda x: F.when(x.rlike("^[1-7]$"), x).otherwise(F.array_position(F.array(*map(F.lit, ROMAN)), x).cast("string")).cast("int")
+    rows = rows.withColumn("semesters", F.array_distinct(F.transform(numbers, number)))
+    parts_ = rows.select("path", "semesters", F.posexplode("w").alias("i", "x"))
+    labels = F.concat(F.array(F.struct(words(F.col("name")).alias("k"), F.lit(3).alias("score")), F.struct(words(F.col("code")).alias("k"), F.lit(2).alias("score"))), F.transform(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: F.struct(words(a).alias("k"), F.lit(1).alias("score"))))
+    known = subjects.select("semester", F.col("code").alias("subject"), "group", F.explode(labels).alias("l")).where(F.size("l.k") > 0).select("semester", "subject", "group", F.array_join("l.k", " ").alias("k"), "l.score")
+    longest = known.agg(F.max(F.size(F.split("k", " "))).alias("n")).first()["n"] or 1
+    grams = parts_.select("path", "semesters", "i", F.explode(F.array_distinct(_grams(F.col("x"), longest))).alias("k"))
+    hits = grams.join(known, "k").where((F.size("semesters") == 0) | F.array_contains("semesters", F.col("semester")))
+    named = subjects.where("semester >= 5").select("semester", "group", F.explode(F.array("group", "department")).alias("g")).select("semester", "group", F.array_join(words(F.col("g")), " ").alias("k")).where("k <> ''").distinct()
+    seen = parts_.select("path", "i", F.array_join("x", " ").alias("k")).join(named, "k").select("path", "semester", F.col("i").alias("j"), F.col("group").alias("g")).distinct()
+    before = hits.select("path", "i", "semester").distinct().join(seen, ["path", "semester"]).where("j < i").groupBy("path", "i", "semester").agg(F.collect_set("g").alias("groups"))
+    hits = hits.join(before, ["path", "i", "semester"], "left").where(F.col("groups").isNull() | F.array_contains("groups", F.col("group")))
+    top = hits.groupBy("path", "i", "semester").agg(F.max("score").alias("best"))
+    found = hits.join(top, ["path", "i", "semester"]).where("score = best").groupBy("path", "semester", "subject", "group").agg(F.max("score").alias("score"))
+    told = hits.groupBy("path").agg(F.bool_or(F.size("groups") > 1).alias("mixed")).join(found.groupBy("path").agg(F.count(F.lit(1)).alias("n")), "path", "left")
+    flags = rows.select("path", F.size("semesters").alias("s")).join(told, "path", "left")
+    reasons = F.array(F.when(F.col("s") == 0, "missing_semester"), F.when(F.col("s") > 1, "conflicting_semesters"), F.when(F.coalesce("mixed", F.lit(False)), "conflicting_groups"), F.when(F.col("n") > 1, "ambiguous_subject"))
+    return found, flags.select("path", F.filter(reasons, lambda r: r.isNotNull()).alias("reasons"))
+
+
+def _grams(words: Column, longest: int) -> Column:
     n = F.size(words)
     out = [F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(k)), " "))).otherwise(F.array().cast("array<string>")) for k in range(1, longest + 1)]  # noqa: B023
     return F.concat(*out)

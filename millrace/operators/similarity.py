@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.session import written
 
 
 def confidence(distance: Column, limit: int) -> Column:
@@ -15,10 +16,11 @@ def confidence(distance: Column, limit: int) -> Column:
     return F.round(1 - distance / (2.0 * (limit + 1)), 4) if limit > 0 else F.lit(1.0)
 
 
-def equal_pairs(signatures: DataFrame, attribute: str) -> DataFrame:
-    """(left, right) for contents with the same non-empty value."""
+def equal_pairs(signatures: DataFrame, attribute: str, block: int = 1000) -> DataFrame:
+    """(left, right) for contents with the same non-empty value: all pairs, as the rows ask for them, those of a common value made block by block."""
     rows = signatures.where(F.coalesce(F.col(attribute), F.lit("")) != "").select("sha", F.col(attribute).alias("_v"))
-    return rows.select(F.col("sha").alias("left"), "_v").join(rows.select(F.col("sha").alias("right"), "_v"), "_v").where("left < right").select("left", "right")
+    sizes = rows.groupBy("_v").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return meet(rows.join(sizes, "_v"), ["_v"], "sha", F.col("n"), block).select(F.col("x").alias("left"), F.col("y").alias("right"))
 
 
 def bands(limit: int) -> list[tuple[int, int]]:
@@ -82,7 +84,7 @@ def distance_pairs(signatures: DataFrame, attribute: str, limit: int, max_bucket
     near = reduce(DataFrame.unionAll, [f.select("x", "y") for f in found]).withColumn("distance", F.bit_count(F.col("x").bitwiseXOR(F.col("y")))).where(F.col("distance") <= limit).distinct()
     one, two = rows.select(F.col("sha").alias("s"), F.col("v").alias("x")), rows.select(F.col("sha").alias("o"), F.col("v").alias("y"))
     apart = near.join(one, "x").join(two, "y").where("s <> o").select(F.least("s", "o").alias("left"), F.greatest("s", "o").alias("right"), "distance")
-    same = one.join(two, F.col("x") == F.col("y")).where("s < o").select(F.col("s").alias("left"), F.col("o").alias("right"), F.lit(0).alias("distance"))
+    same = equal_pairs(signatures, attribute, max_bucket).withColumn("distance", F.lit(0))
     return same.union(apart).dropDuplicates(["left", "right"]), skipped
 
 
@@ -117,26 +119,19 @@ def relations(signatures: DataFrame, *, near: int = 3, related: int = 8, phash:
     return out.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "layer")
 
 
-def clusters(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, cluster) of `links` (src, tgt): the smallest node reachable, by spreading minima until nothing changes. Each round is written to the checkpoint folder, so lost executors cost one round."""
-    spark = links.sparkSession
-    if not (spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)):
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
-    edges = links.select("src", "tgt").union(links.select("tgt", "src")).distinct().checkpoint()
-    state = edges.groupBy("src").agg(F.least(F.min("tgt"), F.col("src")).alias("cluster")).withColumnRenamed("src", "node").checkpoint()
-    for _ in range(rounds):
+def clusters(links: DataFrame) -> DataFrame:
+    """(node, cluster) of `links` (src, tgt): the smallest node reachable, by spreading minima until nothing changes. Each round is written to the shared folder, so lost executors cost one round."""
+    edges = written(links.select("src", "tgt").union(links.select("tgt", "src")).distinct(), "edges")
+    state = written(edges.groupBy("src").agg(F.least(F.min("tgt"), F.col("src")).alias("cluster")).withColumnRenamed("src", "node"), "clusters")
+    while True:
         best = edges.join(state, F.col("tgt") == F.col("node")).groupBy("src").agg(F.min("cluster").alias("c"))
         step = state.join(best, F.col("node") == F.col("src")).select("node", F.least("cluster", "c").alias("cluster"), "cluster")
         step = step.toDF("node", "cluster", "old")
         jump = step.select(F.col("node").alias("_x"), F.col("cluster").alias("_y"))
-        step = step.join(jump, F.col("cluster") == F.col("_x"), "left").select("node", F.least("cluster", F.coalesce("_y", "cluster")).alias("cluster"), "old").checkpoint()
-        changed = step.where("cluster <> old").limit(1).count()
+        step = written(step.join(jump, F.col("cluster") == F.col("_x"), "left").select("node", F.least("cluster", F.coalesce("_y", "cluster")).alias("cluster"), "old"), "clusters")
         state = step.drop("old")
-        if not changed:
+        if step.where("cluster <> old").isEmpty():
             return state
-    raise RuntimeError("clusters did not settle")
 
 
 def symmetric(pairs: DataFrame, a: str, b: str) -> DataFrame:

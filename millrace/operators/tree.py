@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators.similarity import meet
+from millrace.session import written
 
 
 def up(files: DataFrame, folders: DataFrame, *cols: str) -> DataFrame:
@@ -14,7 +15,7 @@ def up(files: DataFrame, folders: DataFrame, *cols: str) -> DataFrame:
     path = F.concat_ws("/", "package", "relpath")
     rows = files.select(path.alias("_path"), F.explode(T.ancestors(F.col("folder"))).alias("folder"), *cols)
     rows = rows.join(folders.select("folder").distinct(), "folder", "left_semi")
-    return rows.select("folder", F.substring("_path", F.length("folder") + 2, F.lit(1_000_000)).alias("rel"), *cols)
+    return rows.select("folder", F.substring("_path", F.length("folder") + 2, F.length("_path")).alias("rel"), *cols)
 
 
 def subtree(files: DataFrame, folders: DataFrame) -> DataFrame:
@@ -23,17 +24,21 @@ def subtree(files: DataFrame, folders: DataFrame) -> DataFrame:
     return folders.select("folder").distinct().join(total, "folder", "left").withColumns({"files": F.coalesce("files", F.lit(0)), "bytes": F.coalesce("bytes", F.lit(0))})
 
 
-def _lines(*cols: Column) -> Column:
-    """sha256 over the sorted lines of a group; a line's fields are separated by NUL."""
-    rows = F.array_sort(F.collect_list(F.struct(*[c.alias(f"f{i}") for i, c in enumerate(cols)])))
-    line = F.transform(rows, lambda r: F.concat_ws("\0", *[r[f"f{i}"].cast("string") for i in range(len(cols))]))
-    return F.sha2(F.concat(F.array_join(line, "\n"), F.lit("\n")), 256)
+def _line(*cols: Column) -> Column:
+    """sha256 of a line; its fields are separated by NUL."""
+    return F.sha2(F.concat(*[x for i, c in enumerate(cols) for x in ([F.lit("\0")] if i else []) + [c.cast("string")]]), 256)
+
+
+def multiset_hash(line: str) -> Column:
+    """An aggregate that is equal for equal multisets of lines, given as the column of their sha256: the number of lines and, for nine groups of seven digits, their sums. It adds up before the shuffle, so a folder of any size is a row of fixed width everywhere."""
+    words = [F.sum(F.conv(F.substring(line, 1 + 7 * i, 7), 16, 10).cast("long")).cast("string") for i in range(9)]
+    return F.sha2(F.concat_ws(",", F.count(line).cast("string"), *words), 256)
 
 
 def folder_hashes(files: DataFrame, folders: DataFrame) -> DataFrame:
     """(folder, state, files, tree_hash, set_hash): equal trees have equal tree hashes wherever they are, equal multisets of contents equal set hashes. State is error, empty, incomplete or hashed; only the last has hashes."""
-    rows = up(files, folders, "sha", "status")
-    made = rows.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.bool_or(F.col("status") == "error").alias("bad"), F.bool_or(F.col("sha").isNull()).alias("open"), _lines(F.col("rel"), F.col("sha")).alias("t"), _lines(F.col("sha")).alias("s"))
+    rows = up(files, folders, "sha", "status").select("folder", "sha", "status", _line(F.col("rel"), F.col("sha")).alias("_t"), _line(F.col("sha")).alias("_s"))
+    made = rows.groupBy("folder").agg(F.count(F.lit(1)).alias("files"), F.bool_or(F.col("status") == "error").alias("bad"), F.bool_or(F.col("sha").isNull()).alias("open"), multiset_hash("_t").alias("t"), multiset_hash("_s").alias("s"))
     out = folders.select("folder").distinct().join(made, "folder", "left")
     state = F.when(F.col("bad"), "error").when(F.col("files").isNull(), "empty").when(F.col("open"), "incomplete").otherwise("hashed")
     known = state == "hashed"
@@ -41,8 +46,9 @@ def folder_hashes(files: DataFrame, folders: DataFrame) -> DataFrame:
 
 
 def structural(files: DataFrame, folders: DataFrame) -> DataFrame:
-    """sha256 over the sorted (path, size, change) below each folder."""
-    return up(files, folders, "size", "mtime").groupBy("folder").agg(_lines(F.col("rel"), F.col("size"), F.col("mtime")).alias("signature"))
+    """(folder, signature): equal for equal multisets of (path, size, change) below a folder."""
+    rows = up(files, folders, "size", "mtime").select("folder", _line(F.col("rel"), F.col("size"), F.col("mtime")).alias("_l"))
+    return rows.groupBy("folder").agg(multiset_hash("_l").alias("signature"))
 
 
 def duplicates(hashes: DataFrame) -> DataFrame:
@@ -94,7 +100,7 @@ def most_specific(pairs: DataFrame) -> DataFrame:
 
 def overlap(files: DataFrame, folders: DataFrame, dups: DataFrame, min_ratio: float = 0.5) -> DataFrame:
     """Folders that share at least min_ratio of the smaller one's contents: ancestors aside, then the threshold, then the most specific pairs, then without duplicate folders."""
-    sets = up(files.where("sha IS NOT NULL"), folders, "sha").select("folder", "sha").distinct()
+    sets = written(up(files.where("sha IS NOT NULL"), folders, "sha").select("folder", "sha").distinct(), "folder-sets")
     sizes = sets.groupBy("folder").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     pairs, _ = common_counts(sets.join(sizes.select("folder"), "folder"))
     nested = F.col("b").startswith(F.concat("a", F.lit("/"))) | F.col("a").startswith(F.concat("b", F.lit("/")))

@@ -10,7 +10,7 @@ from millrace.plans.fixtures import frame, sql
 from millrace.plans.registry import query
 
 TREE = """WITH RECURSIVE p AS (SELECT source AS child, min(target) AS parent FROM edges WHERE kind = 'belongs_to' GROUP BY source),
-up AS (SELECT child AS node, parent AS above, 1 AS steps FROM p UNION ALL SELECT node, parent, steps + 1 FROM up JOIN p ON p.child = above WHERE steps < 16)"""
+up AS (SELECT child AS node, parent AS above, 1 AS steps FROM p UNION ALL SELECT node, parent, steps + 1 FROM up JOIN p ON p.child = above)"""
 
 
 def both(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -50,15 +50,20 @@ def gra12(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "content").groupBy(F.substring("sha", 1, 8).alias("suffix")).agg(F.count(F.lit(1)).alias("n"), F.min("sha").alias("sha"))
 
 
-@query("gra13_polar_layout", sql("nodes", "SELECT id, round(cos(2 * pi() * k / n) * sqrt(level + 1), 6) AS x, round(sin(2 * pi() * k / n) * sqrt(level + 1), 6) AS y FROM (SELECT id, level, row_number() OVER (ORDER BY id) - 1 AS k, count(*) OVER () AS n FROM nodes WHERE type <> 'customer') q"))
-def gra13(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
+def _ring(level: str, above: str) -> str:
+    """Anchors of one level of the tree, around those of the level above."""
+    return f"""{level} AS (SELECT id, x + CASE WHEN kids = 1 THEN 0 ELSE cos(a) * greatest(120, total / pi()) END AS x, y + CASE WHEN kids = 1 THEN 0 ELSE sin(a) * greatest(120, total / pi()) END AS y FROM (
+  SELECT w.id, p.x, p.y, count(*) OVER g AS kids, sum(w) OVER g AS total, -pi() / 2 + 2 * pi() * (sum(w) OVER o - w / 2) / sum(w) OVER g AS a FROM w JOIN {above} p ON p.id IS NOT DISTINCT FROM w.parent WINDOW g AS (PARTITION BY w.parent), o AS (PARTITION BY w.parent ORDER BY md5(w.id), w.id ROWS UNBOUNDED PRECEDING)) q)"""
 
-    n = frame(spark, d, "nodes").where("type <> 'customer'")
-    r = n.withColumns({"k": F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("id")) - 1, "n": F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))})
-    a, s = 2 * F.pi() * F.col("k") / F.col("n"), F.sqrt(F.col("level") + 1)
-    return r.select("id", F.round(F.cos(a) * s, 6).alias("x"), F.round(F.sin(a) * s, 6).alias("y"))
 
+@query("gra13_hierarchy_anchors", sql("nodes edges", f"""{TREE}, n AS (SELECT id, parent, coalesce(c, 0) AS c FROM nodes LEFT JOIN p ON child = id LEFT JOIN (SELECT above, count(*) AS c FROM up GROUP BY 1) q ON above = id),
+w AS (SELECT id, parent, 22 * sqrt(greatest(c, 1)) AS w FROM n), o AS (SELECT NULL::VARCHAR AS id, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y), {_ring("l0", "o")}, {_ring("l1", "l0")}, {_ring("l2", "l1")}
+SELECT id, round(x, 4) AS x, round(y, 4) AS y FROM (SELECT * FROM l0 UNION ALL SELECT * FROM l1 UNION ALL SELECT * FROM l2) z"""))
+def gra13(spark: SparkSession, d: str) -> DataFrame:
+    n, e = both(spark, d)
+    p = G.parents(e)
+    weight = n.select("id").join(G.descendants(p).withColumnRenamed("node", "id"), "id", "left").join(p.withColumnRenamed("child", "id"), "id", "left")
+    return G.anchors(weight.select("id", "parent", F.coalesce("descendants", F.lit(0)).alias("weight"))).select("id", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 @query("agg29_ghosts", sql("nodes edges", "SELECT lower(trim(target)) AS id, min(target) AS title, count(DISTINCT source) AS referrers FROM edges WHERE target NOT IN (SELECT id FROM nodes) GROUP BY 1"))
 def agg29(spark: SparkSession, d: str) -> DataFrame:
@@ -104,14 +109,10 @@ def top04(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "nodes").where(F.col("status").isin("in-progress", "not-started")).orderBy(F.col("status") != "in-progress", F.col("level").asc_nulls_first(), "id").limit(3).select("id", "status")
 
 
-@query("top07_type_order", sql("nodes", "SELECT id, row_number() OVER (ORDER BY CASE type WHEN 'region' THEN 0 WHEN 'nation' THEN 1 ELSE 2 END, title, id) AS pos FROM nodes WHERE type <> 'customer'"))
+@query("top07_sibling_order", sql("nodes edges", TREE.split(",\nup AS")[0] + " SELECT id, parent, row_number() OVER (PARTITION BY parent ORDER BY CASE type WHEN 'region' THEN 0 WHEN 'nation' THEN 1 ELSE 2 END, title, id) AS pos FROM nodes LEFT JOIN p ON child = id"))
 def top07(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    rank = F.when(F.col("type") == "region", 0).when(F.col("type") == "nation", 1).otherwise(2)
-    n = frame(spark, d, "nodes").where("type <> 'customer'")
-    return n.select("id", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(rank, "title", "id")).alias("pos"))
-
+    n, e = both(spark, d)
+    return G.siblings(n, G.parents(e), ["region", "nation"])
 
 @query("win12_first_parent", sql("edges", "SELECT source AS child, min(target) AS parent FROM edges WHERE kind = 'belongs_to' GROUP BY source"))
 def win12(spark: SparkSession, d: str) -> DataFrame:
@@ -127,13 +128,23 @@ def joi17(spark: SparkSession, d: str) -> DataFrame:
     return G.resolve(e.select("source", F.col("target").alias("target_text")), notes)
 
 
-@query("joi25_set09_vault_nodes", sql("decisions", "SELECT 'semester' AS kind, 'SEM' || semester AS id, count(*) AS members FROM decisions GROUP BY ALL UNION ALL SELECT 'subject', 'SEM' || semester || '/' || subject, count(*) FROM decisions GROUP BY ALL UNION ALL SELECT 'category', 'SEM' || semester || '/' || subject || '/' || coalesce(category, '—'), count(*) FROM decisions GROUP BY ALL"))
+_VAULT = """fi AS (SELECT sha, regexp_extract(arg_min(relpath, {'a': package, 'b': relpath}), '(?:^|/)([^/]+)/[^/]*$', 1) AS folder FROM files WHERE sha IS NOT NULL GROUP BY sha),
+v AS (SELECT d.sha, 'SEM' || semester AS sem, 'SEM' || semester || '/' || subject AS sub, 'SEM' || semester || '/' || subject || '/' || coalesce(category, 'inne') AS cat, coalesce(folder, '') AS folder FROM decisions d LEFT JOIN fi USING (sha)),
+gr AS (SELECT cat, folder, cat || '/' || folder AS grp, members FROM (SELECT cat, folder, count(*) AS members FROM v WHERE folder <> '' GROUP BY ALL) g JOIN (SELECT cat, count(*) AS n FROM v GROUP BY cat) w USING (cat) WHERE members >= 2 AND members < n),
+re AS (SELECT r.*, src IN (SELECT sha FROM v) AS a, tgt IN (SELECT sha FROM v) AS b FROM relations r),
+told AS (SELECT CASE WHEN a THEN src ELSE tgt END AS source, CASE WHEN a THEN tgt ELSE src END AS target, type AS kind, confidence FROM re WHERE a OR b)"""
+
+
+@query("joi25_set09_vault_nodes", sql("decisions files relations", f"WITH {_VAULT} SELECT sem AS id, 'semester' AS kind, count(*) AS members FROM v GROUP BY 1 UNION ALL SELECT sub, 'subject', count(*) FROM v GROUP BY 1 UNION ALL SELECT cat, 'category', count(*) FROM v GROUP BY 1 UNION ALL SELECT grp, 'group', members FROM gr UNION ALL SELECT sha, 'file', 1 FROM v UNION ALL SELECT DISTINCT target, 'ghost', 0 FROM told WHERE target NOT IN (SELECT sha FROM v)"))
 def joi25(spark: SparkSession, d: str) -> DataFrame:
-    dec = frame(spark, d, "decisions")
-    sem, sub = F.concat(F.lit("SEM"), F.col("semester").cast("string")), F.col("subject")
-    level = lambda kind, *p: F.struct(F.lit(kind).alias("kind"), F.concat_ws("/", *p).alias("id"))
-    return dec.select(F.explode(F.array(level("semester", sem), level("subject", sem, sub), level("category", sem, sub, F.coalesce("category", F.lit("—"))))).alias("x")).groupBy("x.kind", "x.id").agg(F.count(F.lit(1)).alias("members"))
+    made: dict = {}
+    return G.vault(*(frame(spark, d, n, made) for n in ("decisions", "files", "relations")))[0]
+
 
+@query("joi25_vault_edges", sql("decisions files relations", f"WITH {_VAULT} SELECT DISTINCT sub AS source, sem AS target, 'belongs_to' AS kind, NULL::DOUBLE AS confidence FROM v UNION ALL SELECT DISTINCT cat, sub, 'belongs_to', NULL FROM v UNION ALL SELECT grp, cat, 'belongs_to', NULL FROM gr UNION ALL SELECT sha, coalesce(grp, v.cat), 'belongs_to', NULL FROM v LEFT JOIN gr ON gr.cat = v.cat AND gr.folder = v.folder UNION ALL SELECT source, target, kind, confidence FROM told"))
+def joi25_edges(spark: SparkSession, d: str) -> DataFrame:
+    made: dict = {}
+    return G.vault(*(frame(spark, d, n, made) for n in ("decisions", "files", "relations")))[1]
 
 @query("joi18_failed_items", sql("files", "SELECT 'file' AS kind, file_id::VARCHAR AS id FROM files WHERE status = 'error' UNION ALL SELECT DISTINCT 'folder', folder FROM files WHERE status = 'error'"))
 def joi18(spark: SparkSession, d: str) -> DataFrame:
@@ -141,13 +152,19 @@ def joi18(spark: SparkSession, d: str) -> DataFrame:
     return bad.select(F.lit("file").alias("kind"), F.col("file_id").cast("string").alias("id")).union(bad.select(F.lit("folder"), "folder").distinct())
 
 
-@query("gra11_cycles", sql("edges", "SELECT source FROM edges WHERE source = target"))
+@query("gra11_cycles", sql("nodes edges", TREE + ", l AS (SELECT DISTINCT n.id AS parent, c.id AS child FROM nodes n JOIN nodes c ON c.type = 'region' AND n.type IN ('region', 'nation') AND (length(n.title) + length(c.title)) % 2 = 0) SELECT parent, child, CASE WHEN parent = child OR EXISTS (SELECT 1 FROM up WHERE node = l.parent AND above = l.child) THEN 'cycle' ELSE 'pending' END AS status FROM l"))
 def gra11(spark: SparkSession, d: str) -> DataFrame:
-    p = G.parents(frame(spark, d, "edges"))
-    return p.where("child = parent").select(F.col("child").alias("source"))
+    n, e = both(spark, d)
+    shortcuts = n.where("type IN ('region', 'nation')").select(F.col("id").alias("parent"), F.length("title").alias("a")).join(F.broadcast(n.where("type = 'region'").select(F.col("id").alias("child"), F.length("title").alias("b"))), (F.col("a") + F.col("b")) % 2 == 0)
+    return G.listed(shortcuts, G.parents(e))
+
+_UP = "list_transform(range(1, len(string_split({0}, '/'))), lambda k: array_to_string(string_split({0}, '/')[1:k], '/'))"
 
 
-@query("gra05_specific_pairs", None)
+@query("gra05_specific_pairs", sql("files", f"""WITH up AS (SELECT DISTINCT array_to_string(list_slice(string_split(folder, '/'), 1, k), '/') AS folder, sha FROM (SELECT *, unnest(range(1, len(string_split(folder, '/')) + 1)) AS k FROM files WHERE sha IS NOT NULL) x),
+pairs AS (SELECT x.folder AS a, y.folder AS b, count(*) AS common FROM up x JOIN up y ON x.sha = y.sha AND x.folder < y.folder GROUP BY ALL),
+wide AS (SELECT DISTINCT least(w, o) AS a, greatest(w, o) AS b, common FROM (SELECT unnest({_UP.format("a")}) AS w, b AS o, common FROM pairs UNION ALL SELECT unnest({_UP.format("b")}), a, common FROM pairs) z)
+SELECT a, b, common FROM pairs ANTI JOIN wide USING (a, b, common)"""))
 def gra05(spark: SparkSession, d: str) -> DataFrame:
     from millrace.operators import tree
 

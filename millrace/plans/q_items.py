@@ -65,17 +65,21 @@ def fil06(spark: SparkSession, d: str) -> DataFrame:
     return got.select("folder", "own_files", F.when(F.size("l") > 0, F.array_join("l", ",")).alias("linked"))
 
 
+def multiset(line: str) -> str:
+    """The hash of a multiset of lines, given as their sha256: their number and nine sums."""
+    return "sha256(concat_ws(',', count(" + line + "), " + ", ".join(f"sum(('0x' || substr({line}, {1 + 7 * i}, 7))::BIGINT)" for i in range(9)) + "))"
+
+
 HASHES = """up AS (
   SELECT array_to_string(list_slice(string_split(folder, '/'), 1, k), '/') AS anc, package || '/' || relpath AS path, sha, size, mtime, status
   FROM (SELECT *, unnest(range(1, len(string_split(folder, '/')) + 1)) AS k FROM files) x),
 rolled AS (
   SELECT anc AS folder, count(*) AS files, bool_or(status = 'error') AS bad, bool_or(sha IS NULL) AS open,
-    sha256(string_agg(substr(path, length(anc) + 2) || chr(0) || sha, chr(10) ORDER BY substr(path, length(anc) + 2), sha) || chr(10)) AS t,
-    sha256(string_agg(sha, chr(10) ORDER BY sha) || chr(10)) AS s FROM up GROUP BY anc),
+    TREE AS t, SET AS s FROM (SELECT *, sha256(substr(path, length(anc) + 2) || chr(0) || sha) AS lt, sha256(sha) AS ls FROM up) z GROUP BY anc),
 hashes AS (
   SELECT folder, CASE WHEN bad THEN 'error' WHEN open THEN 'incomplete' ELSE 'hashed' END AS state, files, CASE WHEN NOT bad AND NOT open THEN t END AS tree_hash, CASE WHEN NOT bad AND NOT open THEN s END AS set_hash FROM rolled),
 canon AS (SELECT tree_hash, min(string_split(folder, '/')) AS k FROM hashes WHERE tree_hash IS NOT NULL GROUP BY tree_hash HAVING count(*) > 1),
-dups AS (SELECT folder, array_to_string(k, '/') AS duplicate_of FROM hashes JOIN canon USING (tree_hash) WHERE folder <> array_to_string(k, '/'))"""
+dups AS (SELECT folder, array_to_string(k, '/') AS duplicate_of FROM hashes JOIN canon USING (tree_hash) WHERE folder <> array_to_string(k, '/'))""".replace("TREE AS", multiset("lt") + " AS").replace("SET AS", multiset("ls") + " AS")
 #: Files without the fixture's errors, so that whole subtrees can be equal.
 CLEAN = "clean AS (SELECT * FROM files WHERE status <> 'error' AND sha IS NOT NULL)"
 CLEAN_HASHES = CLEAN + ",\n" + HASHES.replace("FROM files)", "FROM clean)")

@@ -18,12 +18,13 @@ from millrace.plans.q_sources import scratch
 from millrace.plans.registry import query
 from millrace.sources import files as S
 from millrace.sources import sinks
+from millrace.streaming import rates
 
 
 def _tree(spark: SparkSession, d: str) -> str:
     path = scratch(spark, "tree")
     frame(spark, d, "files").select("package", F.concat_ws("/", "relpath", "filename").alias("value")).write.partitionBy("package").text(path)
-    return path.removeprefix("file://").removeprefix("file:")
+    return path
 
 
 @query("src01_packages", sql("files", "SELECT DISTINCT 'package=' || package AS package FROM files"))
@@ -31,7 +32,7 @@ def src01(spark: SparkSession, d: str) -> DataFrame:
     return S.packages(spark, _tree(spark, d))[0]
 
 
-@query("src02_tree_scan", sql("files", "SELECT DISTINCT 'package=' || package AS folder, true AS has_files FROM files"))
+@query("src02_tree_scan", sql("files", "SELECT 'package=' || package AS folder, true AS has_files FROM files GROUP BY package"))
 def src02(spark: SparkSession, d: str) -> DataFrame:
     return S.scan(spark, _tree(spark, d))[1].select("folder", (F.col("files") > 0).alias("has_files"))
 
@@ -65,7 +66,12 @@ def snk10(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.text(path)
 
 
-@query("agg28_scope_options", None)
+@query("agg28_scope_options", sql("nodes edges", """WITH RECURSIVE p AS (SELECT source AS child, min(target) AS parent FROM edges WHERE kind = 'belongs_to' GROUP BY source),
+up AS (SELECT child AS node, parent AS above FROM p UNION ALL SELECT node, parent FROM up JOIN p ON p.child = above), c AS (SELECT above, count(*) AS n FROM up GROUP BY 1),
+t AS (SELECT id, type, CASE type WHEN 'region' THEN 1 WHEN 'nation' THEN 2 ELSE 3 END AS rank, coalesce(n, 0) AS members, unnest([0, 1]) AS pos, unnest([lower(title), substr(lower(title), 1, 2)]) AS tag FROM nodes LEFT JOIN c ON above = id),
+o AS (SELECT * FROM t JOIN (SELECT tag, min(rank) AS first FROM t WHERE rank < 3 GROUP BY 1) f USING (tag) WHERE rank = first AND rank < 3),
+u AS (SELECT *, count(*) OVER (PARTITION BY type, tag) AS same FROM o)
+SELECT id, type, arg_max(tag, {'m': members, 'p': -pos}) AS tag, max(members) AS n FROM u WHERE same = 1 GROUP BY id, type"""))
 def agg28(spark: SparkSession, d: str) -> DataFrame:
     made: dict = {}
     n, e = frame(spark, d, "nodes", made), frame(spark, d, "edges", made)
@@ -117,11 +123,14 @@ def gra10(spark: SparkSession, d: str) -> DataFrame:
     return G.merged_chains(frame(spark, d, "folders", made), frame(spark, d, "files", made))
 
 
-@query("stm07_latest_deadline", "SELECT strftime(max(ts + INTERVAL 1 SECOND * (event_id % 60)), '%Y-%m-%d %H:%M:%S') AS deadline FROM events")
+@query("stm07_shared_backoff", """WITH p AS (SELECT epoch_us(ts) AS us, epoch_us(ts) + (event_id % 900) * 1000000 AS due, 'e' || event_id AS reason FROM events WHERE event_type = 'error'),
+b AS (SELECT event_id, epoch_us(ts) AS us, NULL AS due, NULL AS reason FROM events UNION ALL SELECT NULL, us, due, reason FROM p),
+r AS (SELECT event_id, us, max(CASE WHEN due IS NOT NULL THEN {'d': due, 'r': reason} END) OVER (ORDER BY us) AS top FROM b)
+SELECT event_id, greatest(0, coalesce(top.d - us, 0)) / 1e6 AS wait, CASE WHEN top.d > us THEN top.r END AS reason FROM r WHERE event_id IS NOT NULL""")
 def stm07(spark: SparkSession, d: str) -> DataFrame:
-    at = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + (F.col("event_id") % 60) * 1_000_000)
-    return frame(spark, d, "events").agg(F.date_format(F.max(at), "yyyy-MM-dd HH:mm:ss").alias("deadline"))
-
+    e = frame(spark, d, "events")
+    fines = e.where("event_type = 'error'").select("ts", (F.col("event_id") % 900).alias("delay"), F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("reason"))
+    return rates.shared_backoff(e.select("event_id", "ts"), fines).select("event_id", "wait", "reason")
 
 @query("dml02_natural_keys", sql("files decisions relations", "SELECT 'files' AS \"table\", count(*) AS n FROM (SELECT 1 FROM files GROUP BY package, relpath HAVING count(*) > 1) a UNION ALL SELECT 'decisions', count(*) FROM (SELECT 1 FROM decisions GROUP BY sha HAVING count(*) > 1) b UNION ALL SELECT 'relations', count(*) FROM (SELECT 1 FROM relations GROUP BY src, tgt, type HAVING count(*) > 1) c"))
 def dml02(spark: SparkSession, d: str) -> DataFrame:

@@ -10,19 +10,20 @@ from millrace.operators import planning as P
 from millrace.operators import similarity as S
 from millrace.operators.items import noise
 from millrace.plans.fixtures import frame, sql
+from millrace.plans.q_items import multiset
 from millrace.plans.registry import query
 
 #: Several decisions for a content: its own, and one by another method for every third.
 ROWS = "rows AS (SELECT sha, method, id AS ord FROM decisions UNION ALL SELECT sha, CASE id % 2 WHEN 0 THEN 'heuristic' ELSE 'manual' END, id + 5000000 FROM decisions WHERE id % 3 = 0)"
 #: Plan rows with sources, and collisions on purpose.
-PLAN = """plan AS (SELECT d.sha, d.action, 'SEM' || d.semester || '/' || d.subject || '/cat/name_' || (d.id % 60) || '.txt' AS target, f.package || '/' || f.relpath AS source, d.confidence, 'SEM' || d.semester || '/' || d.subject AS subject_dir
+PLAN = """plan AS (SELECT d.sha, d.action, 'SEM' || d.semester || '/' || d.subject || '/cat/name_' || (d.id % 60) || '.txt' AS target, f.package || '/' || f.relpath AS source, d.confidence, d.needs_review, 'SEM' || d.semester || '/' || d.subject AS subject_dir
   FROM decisions d JOIN (SELECT sha, arg_min(package, file_id) AS package, arg_min(relpath, file_id) AS relpath FROM files WHERE sha IS NOT NULL GROUP BY sha) f ON f.sha = d.sha)"""
 
 
 def plan(spark: SparkSession, d: str, made: dict) -> DataFrame:
     f = frame(spark, d, "files", made).where("sha IS NOT NULL").groupBy("sha").agg(F.min_by(F.concat_ws("/", "package", "relpath"), "file_id").alias("source"))
     dec = frame(spark, d, "decisions", made).withColumn("subject_dir", F.concat(F.lit("SEM"), F.col("semester").cast("string"), F.lit("/"), "subject"))
-    return dec.join(f, "sha").select("sha", "action", F.concat("subject_dir", F.lit("/cat/name_"), (F.col("id") % 60).cast("string"), F.lit(".txt")).alias("target"), "source", "confidence", "subject_dir")
+    return dec.join(f, "sha").select("sha", "action", F.concat("subject_dir", F.lit("/cat/name_"), (F.col("id") % 60).cast("string"), F.lit(".txt")).alias("target"), "source", "confidence", "needs_review", "subject_dir")
 
 
 @query("win01_best_decision", sql("decisions", f"WITH {ROWS} SELECT sha, method, n - 1 AS dropped FROM (SELECT *, count(*) OVER (PARTITION BY sha) AS n, row_number() OVER (PARTITION BY sha ORDER BY CASE coalesce(method, 'llm') WHEN 'manual' THEN 0 WHEN 'deterministic' THEN 1 WHEN 'heuristic' THEN 2 WHEN 'llm' THEN 3 ELSE 99 END, ord) AS k FROM rows) x WHERE k = 1"))
@@ -81,15 +82,22 @@ def win11(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "relations").groupBy("src").agg(F.min_by("tgt", F.struct((F.col("type") != "older_version").alias("a"), (-F.col("confidence")).alias("b"), F.col("tgt").alias("c"))).alias("tgt"))
 
 
-@query("joi14_operations", sql("files decisions applied", f"""WITH {PLAN}, l AS (SELECT target, min(sha) AS has FROM (SELECT replace(lower(target), 'file_', 'name_') AS target, sha FROM applied UNION ALL SELECT target, sha FROM plan WHERE substr(sha, 1, 1) = 'a') y GROUP BY target)
-SELECT p.sha, p.target, CASE WHEN NOT EXISTS (SELECT 1 FROM files f WHERE f.sha = p.sha AND f.status <> 'error') THEN 'missing_source' WHEN has = p.sha THEN 'present' WHEN has IS NOT NULL THEN 'conflict' ELSE 'new' END AS state FROM plan p LEFT JOIN l ON l.target = p.target WHERE action = 'copy'"""))
-def joi14(spark: SparkSession, d: str) -> DataFrame:
-    made: dict = {}
+#: The operations of the plan, as a table `ops` (sha, target, state).
+OPS = """l AS (SELECT target, min(sha) AS has FROM (SELECT replace(lower(target), 'file_', 'name_') AS target, sha FROM applied UNION ALL SELECT target, sha FROM plan WHERE substr(sha, 1, 1) = 'a') y GROUP BY target),
+ops AS (SELECT p.sha, p.target, CASE WHEN NOT EXISTS (SELECT 1 FROM files f WHERE f.sha = p.sha AND f.status <> 'error') THEN 'missing_source' WHEN has = p.sha THEN 'present' WHEN has IS NOT NULL THEN 'conflict' ELSE 'new' END AS state FROM plan p LEFT JOIN l ON l.target = p.target WHERE action = 'copy')"""
+
+
+def plan_operations(spark: SparkSession, d: str, made: dict) -> DataFrame:
     p = plan(spark, d, made)
     listing = frame(spark, d, "applied", made).select(F.replace(F.lower("target"), F.lit("file_"), F.lit("name_")).alias("target"), "sha").union(p.where("substring(sha, 1, 1) = 'a'").select("target", "sha"))
     return P.operations(p, frame(spark, d, "files", made).where("status <> 'error'"), listing)
 
 
+@query("joi14_operations", sql("files decisions applied", f"WITH {PLAN}, {OPS} SELECT * FROM ops"))
+def joi14(spark: SparkSession, d: str) -> DataFrame:
+    return plan_operations(spark, d, {})
+
+
 @query("joi15_plan_conflicts", sql("decisions applied", """WITH p AS (SELECT lower(target) AS key, list(DISTINCT sha) AS want FROM decisions WHERE action = 'copy' GROUP BY 1), a AS (SELECT lower(target) AS key, list(DISTINCT sha) AS has FROM applied GROUP BY 1)
 SELECT key, CASE WHEN has IS NOT NULL AND len(list_filter(want, lambda w: NOT list_contains(has, w))) > 0 THEN 'applied' WHEN len(want) > 1 THEN 'plan' END AS kind, len(want) AS contents FROM p LEFT JOIN a USING (key) WHERE len(want) > 1 OR (has IS NOT NULL AND len(list_filter(want, lambda w: NOT list_contains(has, w))) > 0)"""))
 def joi15(spark: SparkSession, d: str) -> DataFrame:
@@ -146,24 +154,34 @@ def joi27(spark: SparkSession, d: str) -> DataFrame:
     return j.select("src", "tgt", F.when(F.col("ka").isin("text", "code") & F.col("kb").isin("text", "code"), "text").otherwise("meta").alias("mode"), "type")
 
 
-@query("rul04_plan_findings", sql("files decisions applied", f"""WITH {PLAN}, m AS (SELECT *, action IN ('copy', 'media') AS moved FROM plan),
-g AS (SELECT lower(target) AS t FROM m WHERE moved GROUP BY 1 HAVING count(DISTINCT sha) > 1), gt AS (SELECT replace(lower(target), '/file_', '/cat/name_') AS t, min(sha) AS s FROM applied GROUP BY 1)
-SELECT 'error' AS level, 'collision' AS code, sha, target FROM m WHERE lower(target) IN (SELECT t FROM g)
+#: The findings of the plan, as a table `found` (level, code, sha, target).
+FOUND = """m AS (SELECT *, action IN ('copy', 'media') AS moved FROM plan),
+g AS (SELECT lower(target) AS t FROM m WHERE moved GROUP BY 1 HAVING count(DISTINCT sha) > 1), gt AS (SELECT replace(lower(target), '/file_', '/cat/name_') AS t, min(sha) AS s FROM applied GROUP BY 1),
+found AS (SELECT 'error' AS level, 'collision' AS code, sha, target FROM m WHERE moved AND lower(target) IN (SELECT t FROM g)
 UNION ALL SELECT 'error', 'overwrites_ground_truth', m.sha, m.target FROM m JOIN gt ON gt.t = lower(m.target) WHERE moved AND s <> m.sha
-UNION ALL SELECT 'warning', 'low_confidence', sha, target FROM m WHERE confidence < 0.1"""))
-def rul04(spark: SparkSession, d: str) -> DataFrame:
-    made: dict = {}
+UNION ALL SELECT 'warning', 'low_confidence', sha, target FROM m WHERE confidence < 0.1)"""
+
+
+def plan_findings(spark: SparkSession, d: str, made: dict) -> DataFrame:
     truth = frame(spark, d, "applied", made).select(F.replace(F.lower("target"), F.lit("/file_"), F.lit("/cat/name_")).alias("target"), "sha")
-    # the fixture's collisions concern rows that aren't moved too: the check marks the whole target
     return P.findings(plan(spark, d, made), truth)
 
 
-@query("rul05_gate", sql("decisions", "SELECT count(*) FILTER (WHERE confidence < 0.1) AS warnings, count(*) FILTER (WHERE confidence > 0.98) AS errors, count(*) FILTER (WHERE confidence < 0.1) + count(*) FILTER (WHERE confidence > 0.98) AS blocking_strict FROM decisions"))
+@query("rul04_plan_findings", sql("files decisions applied", f"WITH {PLAN}, {FOUND} SELECT * FROM found"))
+def rul04(spark: SparkSession, d: str) -> DataFrame:
+    return plan_findings(spark, d, {})
+
+
+@query("rul05_gate", sql("files decisions applied", f"WITH {PLAN}, {FOUND}, c AS (SELECT count(*) FILTER (WHERE level = 'error') AS errors, count(*) FILTER (WHERE level = 'warning') AS warnings FROM found) SELECT errors, warnings, errors AS blocking, errors + warnings AS blocking_strict FROM c"))
 def rul05(spark: SparkSession, d: str) -> DataFrame:
-    c = F.col("confidence")
-    return frame(spark, d, "decisions").agg(F.count(F.when(c < 0.1, 1)).alias("warnings"), F.count(F.when(c > 0.98, 1)).alias("errors")).withColumn("blocking_strict", F.col("warnings") + F.col("errors"))
+    return P.blocking(plan_findings(spark, d, {}))
 
 
+@query("agg36_worst_level", sql("files decisions applied", f"WITH {PLAN}, {FOUND} SELECT subject, CASE WHEN bool_or(level = 'error') THEN 'error' WHEN bool_or(level = 'warning') THEN 'warning' ELSE 'info' END AS level FROM found JOIN decisions USING (sha) GROUP BY subject"))
+def agg36(spark: SparkSession, d: str) -> DataFrame:
+    made: dict = {}
+    return P.worst(plan_findings(spark, d, made).join(frame(spark, d, "decisions", made).select("sha", "subject"), "sha"), "subject")
+
 CHANGES = "seen AS (SELECT package || '/' || relpath AS path, min(size + CASE WHEN file_id % 11 = 0 THEN 1 ELSE 0 END) AS size, min(mtime) AS mtime FROM files WHERE file_id % 13 <> 0 GROUP BY 1), known AS (SELECT package || '/' || relpath AS path, min(size) AS size, min(mtime) AS mtime FROM files WHERE file_id % 17 <> 0 GROUP BY 1)"
 
 
@@ -241,21 +259,58 @@ def dml10(spark: SparkSession, d: str) -> DataFrame:
     return P.upsert(f.select("folder", F.lit(None).cast("string").alias("duplicate_of")), new.select("folder", "duplicate_of"), ["folder"], ["duplicate_of"])
 
 
-@query("agg13_plan_hash", None)
+PLAN_HASH = "(SELECT " + multiset("h") + """ FROM (SELECT sha256('{"action":' || to_json(action)::VARCHAR || ',"sha":' || to_json(sha)::VARCHAR || ',"target":' || to_json(target)::VARCHAR || '}') AS h FROM """
+
+
+@query("agg13_plan_hash", sql("decisions", f"SELECT {PLAN_HASH} decisions) y) AS plan_hash"))
 def agg13(spark: SparkSession, d: str) -> DataFrame:
     return P.plan_hash(frame(spark, d, "decisions"), "sha", "action", "target")
 
+#: Of several decisions for a content the best one, with the number of those that lost.
+MERGED = """merged AS (SELECT sha, dropped FROM (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY CASE coalesce(method, 'llm') WHEN 'manual' THEN 0 WHEN 'deterministic' THEN 1 WHEN 'heuristic' THEN 2 WHEN 'llm' THEN 3 ELSE 99 END, ord) AS k, count(*) OVER (PARTITION BY sha) - 1 AS dropped FROM rows) x WHERE k = 1)"""
+
 
-@query("agg30_plan_summary", sql("files decisions", f"WITH {PLAN} SELECT count(*) AS items, count(*) FILTER (WHERE action = 'copy') AS copies, count(*) FILTER (WHERE confidence < 0.1) AS low, count(DISTINCT target) AS targets FROM plan"))
+@query("agg30_build_meta", sql("files decisions relations", f"""WITH {ROWS}, {MERGED}, {PLAN},
+c AS (SELECT target FROM plan WHERE action IN ('copy', 'media') GROUP BY target HAVING count(DISTINCT sha) > 1),
+related AS (SELECT src AS sha FROM relations UNION SELECT tgt FROM relations WHERE type <> 'older_version')
+SELECT count(*) AS items, count(*) FILTER (WHERE action = 'copy') AS n_copy, count(*) FILTER (WHERE action = 'media') AS n_media, count(*) FILTER (WHERE action = 'quarantine') AS n_quarantine, count(*) FILTER (WHERE action = 'skip') AS n_skip,
+  count(*) FILTER (WHERE needs_review = 1) AS needs_review, count(*) FILTER (WHERE dropped > 0) AS conflicts, count(*) FILTER (WHERE sha IN (SELECT sha FROM related)) AS with_relation,
+  count(*) FILTER (WHERE action IN ('copy', 'media') AND target IN (SELECT target FROM c)) AS disambiguated, {PLAN_HASH} plan) y) AS plan_hash FROM plan JOIN merged USING (sha)"""))
 def agg30(spark: SparkSession, d: str) -> DataFrame:
-    return plan(spark, d, {}).agg(F.count(F.lit(1)).alias("items"), F.count(F.when(F.col("action") == "copy", 1)).alias("copies"), F.count(F.when(F.col("confidence") < 0.1, 1)).alias("low"), F.count_distinct("target").alias("targets"))
+    made: dict = {}
+    p = plan(spark, d, made)
+    dec = frame(spark, d, "decisions", made)
+    rows = dec.select("sha", "method", F.col("id").alias("ord")).union(dec.where("id % 3 = 0").select("sha", F.when(F.col("id") % 2 == 0, "heuristic").otherwise("manual"), F.col("id") + 5000000))
+    decided = p.join(P.best_decision(rows, "ord").select("sha", "dropped"), "sha")
+    attached = S.attach(p.select("sha", F.lit(None).cast("string").alias("related_to"), F.lit(None).cast("string").alias("relation")), frame(spark, d, "relations", made))
+    return P.build_meta(decided, F.col("dropped") > 0, attached, P.disambiguated(p))
+
+
+@query("agg32_overview", sql("files decisions applied", f"""WITH {PLAN}, {FOUND}, {OPS}, f AS (SELECT target FROM plan WHERE action IN ('copy', 'media') AND coalesce(target, '') <> ''),
+n AS (SELECT count(*) AS items, count(*) FILTER (WHERE needs_review = 1) AS needs_review, (SELECT count(*) FROM found WHERE level = 'error') AS errors, (SELECT count(*) FROM found WHERE level = 'warning') AS warnings, (SELECT count(*) FROM f) AS files, (SELECT count(DISTINCT regexp_replace(target, '/?[^/]*$', '')) FROM f) AS folders FROM plan),
+o AS (SELECT count(*) FILTER (WHERE state = 'new') AS "new", count(*) FILTER (WHERE state = 'present') AS present, count(*) FILTER (WHERE state = 'conflict') AS conflict, count(*) FILTER (WHERE state = 'missing_source') AS missing_source, count(*) FILTER (WHERE state = 'outside') AS outside FROM ops)
+SELECT n.*, o.*, errors AS blocking, errors = 0 AND conflict + missing_source + outside = 0 AS can_apply, CASE WHEN errors > 0 THEN 'findings' WHEN conflict + missing_source + outside > 0 THEN 'operations' ELSE '' END AS reason FROM n, o"""))
+def agg32(spark: SparkSession, d: str) -> DataFrame:
+    made: dict = {}
+    return P.overview(plan(spark, d, made), plan_findings(spark, d, made), plan_operations(spark, d, made))
+
 
+@query("agg34_tree_diff", sql("files decisions", f"WITH {PLAN}, f AS (SELECT target AS path FROM plan WHERE action IN ('copy', 'media') AND target <> '') SELECT 'file' AS part, path FROM f UNION ALL SELECT DISTINCT 'folder', CASE WHEN contains(path, '/') THEN regexp_replace(path, '/[^/]*$', '') ELSE '.' END FROM f"))
+def agg34(spark: SparkSession, d: str) -> DataFrame:
+    return P.tree_diff(plan(spark, d, {}))
 
-@query("agg32_35_state_counts", sql("files", "SELECT s AS state, count(x.state) AS n FROM (SELECT unnest(['ok', 'missing', 'mismatch']) AS s) k LEFT JOIN (SELECT CASE file_id % 5 WHEN 0 THEN 'missing' ELSE 'ok' END AS state FROM files) x ON x.state = k.s GROUP BY s"))
+
+@query("agg35_state_counts", sql("decisions applied", """WITH a AS (SELECT lower(target) AS k, min(sha) AS has FROM applied GROUP BY 1),
+st AS (SELECT CASE WHEN a.has IS NULL THEN 'missing' WHEN a.has = d.sha THEN 'ok' ELSE 'mismatch' END AS state FROM decisions d LEFT JOIN a ON a.k = lower(d.target) WHERE action = 'copy'
+  UNION ALL SELECT 'extra' FROM (SELECT k FROM a EXCEPT SELECT lower(target) FROM decisions WHERE action = 'copy') e)
+SELECT s AS state, count(st.state) AS n FROM (SELECT unnest(['ok', 'missing', 'mismatch', 'extra', 'never']) AS s) x LEFT JOIN st ON st.state = s GROUP BY s"""))
 def agg35(spark: SparkSession, d: str) -> DataFrame:
     from millrace.operators.reports import domain_counts
+    from millrace.plans.q_sources import rul08
 
-    return domain_counts(frame(spark, d, "files").select(F.when(F.col("file_id") % 5 == 0, "missing").otherwise("ok").alias("state")), "state", ["ok", "missing", "mismatch"])
+    made: dict = {}
+    extra = frame(spark, d, "applied", made).select(F.lower("target")).subtract(frame(spark, d, "decisions", made).where("action = 'copy'").select(F.lower("target"))).select(F.lit("extra").alias("state"))
+    return domain_counts(rul08(spark, d).select("state").union(extra), "state", ["ok", "missing", "mismatch", "extra", "never"])
 
 
 @query("agg37_cluster_strength", sql("relations", """WITH RECURSIVE e AS (SELECT src, tgt FROM relations WHERE type IN ('near_duplicate', 'older_version') UNION SELECT tgt, src FROM relations WHERE type IN ('near_duplicate', 'older_version')),
@@ -300,13 +355,30 @@ def joi07(spark: SparkSession, d: str) -> DataFrame:
     return S.distance_pairs(signatures(spark, d, {}), "simhash", 3)[0]
 
 
-@query("joi09_relations", None)
+def _near(a: str, b: str) -> str:
+    return f"bit_count(xor(('0x' || a.{a})::UBIGINT, ('0x' || b.{b})::UBIGINT))::INT"
+
+
+_D, _H = _near("simhash", "simhash"), _near("phash", "phash")
+_CONF = "round(1 - {} / (2.0 * {}), 4)"
+RELATED = f"""WITH {SIG}, fo AS (SELECT sha, list(DISTINCT folder) AS folders, max(length(text)) AS chars FROM files WHERE sha IS NOT NULL GROUP BY sha),
+s AS (SELECT sig.sha, text_hash || 'x' || simhash AS text_hash, simhash, CASE WHEN id % 5 = 2 THEN substr(md5((id // 15)::VARCHAR), 1, 15) || to_hex(id % 16) END AS phash, CASE WHEN id % 2 = 0 THEN (2020 + id % 3)::VARCHAR END AS year, folders, chars FROM sig JOIN fo USING (sha)),
+p AS (SELECT a.sha AS l, b.sha AS r, a.text_hash = b.text_hash AS eq, {_D} AS d, CASE WHEN a.phash IS NOT NULL AND b.phash IS NOT NULL THEN {_H} END AS h, len(list_intersect(a.folders, b.folders)) > 0 AS shared, a.year AS ly, b.year AS ry, a.chars >= 40 AND b.chars >= 40 AS usable FROM s a JOIN s b ON a.sha < b.sha),
+k AS (SELECT *, 0 AS layer, 1.0 AS conf, 'text_hash' AS m FROM p WHERE eq UNION ALL SELECT *, 1, {_CONF.format("d", 4)}, 'simhash' FROM p WHERE d <= 3 UNION ALL SELECT *, 2, round({_CONF.format("d", 9)} * 0.6, 4), 'related' FROM p WHERE d > 3 AND d <= 8 AND shared
+  UNION ALL SELECT *, 3, {_CONF.format("h", 9)}, 'phash' FROM p WHERE h <= 8 AND NOT (usable AND d > 12)),
+t AS (SELECT *, layer <> 2 AND ly IS NOT NULL AND ry IS NOT NULL AND ly <> ry AS dated, round(least(conf + CASE WHEN shared THEN 0.05 ELSE 0 END, 1.0), 4) AS confidence FROM k),
+o AS (SELECT CASE WHEN dated AND ly > ry THEN r ELSE l END AS src, CASE WHEN dated AND ly > ry THEN l ELSE r END AS tgt, CASE WHEN layer = 2 THEN 'related' WHEN dated THEN 'older_version' ELSE 'near_duplicate' END AS type, confidence::DOUBLE AS confidence, 'near_dupe:' || m AS method, layer FROM t)
+SELECT src, tgt, type, confidence, method FROM (SELECT *, row_number() OVER (PARTITION BY src, tgt, type ORDER BY confidence DESC, layer) AS n FROM o) x WHERE n = 1"""
+
+
+@query("joi09_relations", sql("files content", RELATED))
 def joi09(spark: SparkSession, d: str) -> DataFrame:
     made: dict = {}
     sig = signatures(spark, d, made)
+    image = F.when(F.col("id") % 5 == 2, F.concat(F.substring(F.md5(F.floor(F.col("id") / 15).cast("long").cast("string")), 1, 15), F.lower(F.hex(F.col("id") % 16))))
     folders = frame(spark, d, "files", made).where("sha IS NOT NULL").groupBy("sha").agg(F.collect_set("folder").alias("folders"), F.max(F.length("text")).alias("chars"))
     year = F.when(F.col("id") % 2 == 0, (2020 + F.col("id") % 3).cast("string"))
-    return S.relations(sig.join(folders, "sha").select("sha", F.concat("text_hash", F.lit("x"), "simhash").alias("text_hash"), "simhash", F.lit(None).cast("string").alias("phash"), year.alias("year"), "folders", "chars"))
+    return S.relations(sig.join(folders, "sha").select("sha", F.concat("text_hash", F.lit("x"), "simhash").alias("text_hash"), "simhash", image.alias("phash"), year.alias("year"), "folders", "chars"))
 
 
 @query("joi10_shared_folder", sql("relations files", "SELECT r.src, r.tgt, (SELECT min(a.folder) FROM files a JOIN files b ON a.folder = b.folder WHERE a.sha = r.src AND b.sha = r.tgt) AS shared FROM relations r"))
@@ -327,22 +399,45 @@ def joi24(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "files").where("sha IS NOT NULL").groupBy("sha").agg(F.min_by("extension", F.struct("package", "relpath")).alias("first_ext"), F.min(F.substring("mtime", 1, 4)).alias("year"), F.count_distinct("folder").alias("folders"))
 
 
-@query("src05_ground_truth_ingest", sql("files", "SELECT sha, array_to_string(min(string_split(package || '/' || relpath, '/')), '/') AS path FROM files WHERE sha IS NOT NULL GROUP BY sha"))
-def src05(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, "files").where("sha IS NOT NULL").select("sha", F.split(F.concat_ws("/", "package", "relpath"), "/").alias("p")).groupBy("sha").agg(F.array_join(F.min("p"), "/").alias("path"))
+#: Files of a curated tree, of which every fifth changed since the last scan, every seventh is new, and every eleventh known one is gone.
+SEEN = """seen AS (SELECT 'SEM' || (1 + file_id % 7) || '/S' || (file_id % 5) || '/' || relpath AS path, min(size) AS size, min(mtime) AS mtime, min(sha) AS sha, min(file_id) AS id FROM files WHERE sha IS NOT NULL AND file_id % 11 <> 0 GROUP BY 1),
+known AS (SELECT path, upper(sha) AS sha, 'ground_truth:' || (size + CASE WHEN id % 5 = 0 THEN 1 ELSE 0 END) || ':' || mtime AS stamp FROM seen WHERE id % 7 <> 0),
+r AS (SELECT s.path, CASE WHEN k.stamp = 'ground_truth:' || s.size || ':' || s.mtime THEN k.sha ELSE s.sha END AS sha, coalesce(k.stamp = 'ground_truth:' || s.size || ':' || s.mtime, false) AS reused FROM seen s LEFT JOIN known k USING (path))"""
+
+
+def ingested(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    made: dict = {}
+    f = frame(spark, d, "files", made).where("sha IS NOT NULL AND file_id % 11 <> 0")
+    path = F.concat(F.lit("SEM"), (1 + F.col("file_id") % 7).cast("string"), F.lit("/S"), (F.col("file_id") % 5).cast("string"), F.lit("/"), "relpath")
+    seen = f.groupBy(path.alias("path")).agg(F.min("size").alias("size"), F.min("mtime").alias("mtime"), F.min("sha").alias("content"), F.min("file_id").alias("id"))
+    stamp = F.concat_ws(":", F.lit("ground_truth"), (F.col("size") + F.when(F.col("id") % 5 == 0, 1).otherwise(0)).cast("string"), "mtime")
+    known = seen.where("id % 7 <> 0").select("path", F.upper("content").alias("sha"), stamp.alias("stamp"))
+    gone = spark.createDataFrame([("SEM1/gone/x", "0", "ground_truth:1:x")], known.schema)
+    return P.ground_truth(seen, known.union(gone), frame(spark, d, "decisions", made), F.col("content"))
 
 
+@query("src05_ground_truth_files", sql("files", f"WITH {SEEN} SELECT path, sha, reused FROM r"))
+def src05_files(spark: SparkSession, d: str) -> DataFrame:
+    return ingested(spark, d)[0].select("path", "sha", "reused")
+
+
+@query("src05_ground_truth_ingest", sql("files decisions", f"""WITH {SEEN}, c AS (SELECT sha, min(string_split(path, '/')) AS p FROM r GROUP BY sha)
+SELECT sha, array_to_string(p, '/') AS path, substr(p[1], 4)::INT AS semester, p[2] AS subject, array_to_string(p[3:], '/') AS rest FROM c WHERE sha NOT IN (SELECT sha FROM decisions WHERE method = 'manual' AND coalesce(run_id, '') <> 'ground_truth')"""))
+def src05(spark: SparkSession, d: str) -> DataFrame:
+    return ingested(spark, d)[1]
+
 @query("set01_extras", sql("decisions applied", "SELECT lower(target) AS k FROM applied EXCEPT SELECT lower(target) FROM decisions WHERE action = 'copy'"))
 def set01(spark: SparkSession, d: str) -> DataFrame:
     made: dict = {}
     return frame(spark, d, "applied", made).select(F.lower("target").alias("k")).subtract(frame(spark, d, "decisions", made).where("action = 'copy'").select(F.lower("target")))
 
 
-@query("set05_target_taken", sql("decisions applied", "SELECT lower(target) AS k, count(*) AS n FROM (SELECT target FROM applied UNION ALL SELECT target FROM decisions) x GROUP BY 1"))
+@query("set05_target_taken", sql("decisions applied", "WITH e AS (SELECT lower(target) AS k, min(target) AS lo, max(target) AS hi FROM (SELECT target FROM applied UNION ALL SELECT target FROM decisions) x GROUP BY 1) SELECT w AS target, coalesce(lo <> w OR hi <> w, false) AS taken FROM (SELECT DISTINCT upper(target) AS w FROM decisions UNION SELECT target FROM applied UNION SELECT 'free/' || target FROM applied) d LEFT JOIN e ON e.k = lower(w)"))
 def set05(spark: SparkSession, d: str) -> DataFrame:
     made: dict = {}
-    return frame(spark, d, "applied", made).select("target").union(frame(spark, d, "decisions", made).select("target")).groupBy(F.lower("target").alias("k")).agg(F.count(F.lit(1)).alias("n"))
-
+    dec, app = frame(spark, d, "decisions", made).select("target"), frame(spark, d, "applied", made).select("target")
+    wanted = dec.select(F.upper("target").alias("target")).union(app).union(app.select(F.concat(F.lit("free/"), "target")))
+    return P.taken(wanted, app, dec)
 
 @query("set03_unambiguous_labels", sql("decisions", "SELECT semester, subject FROM (SELECT DISTINCT semester, subject FROM decisions WHERE category = 'laby') x WHERE subject NOT IN (SELECT subject FROM decisions y WHERE y.semester <> x.semester AND y.category = 'kolokwia' AND y.outdated AND y.confidence > 0.9)"))
 def set03(spark: SparkSession, d: str) -> DataFrame:

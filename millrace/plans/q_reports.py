@@ -9,7 +9,7 @@ from millrace.functions import text as T
 from millrace.operators import reports as R
 from millrace.operators import tree
 from millrace.plans.fixtures import frame, sql
-from millrace.plans.q_items import CLEAN, CLEAN_HASHES, HASHES, clean, dups
+from millrace.plans.q_items import CLEAN, CLEAN_HASHES, HASHES, clean, dups, multiset
 from millrace.plans.registry import query
 
 PER = "per AS (SELECT sha, min(size) AS size, count(*) AS copies, min(package || '/' || relpath) AS first_path, min(size) <> max(size) AS mixed FROM files WHERE sha IS NOT NULL GROUP BY sha)"
@@ -67,16 +67,16 @@ def agg09(spark: SparkSession, d: str) -> DataFrame:
     return tree.inventory(frame(spark, d, "files", made), frame(spark, d, "content", made), dups(spark, d, made)).select("file_id", "kind", "copies", "duplicate_of")
 
 
-@query("agg10_structural_signature", sql("files", f"WITH {HASHES.split('rolled AS')[0].rstrip().rstrip(',')} SELECT anc AS folder, sha256(string_agg(r || chr(0) || size || chr(0) || mtime, chr(10) ORDER BY r, size, mtime) || chr(10)) AS signature FROM (SELECT *, substr(path, length(anc) + 2) AS r FROM up) x GROUP BY anc"))
+@query("agg10_structural_signature", sql("files", f"WITH {HASHES.split('rolled AS')[0].rstrip().rstrip(',')} SELECT anc AS folder, {multiset('l')} AS signature FROM (SELECT *, sha256(substr(path, length(anc) + 2) || chr(0) || size || chr(0) || mtime) AS l FROM up) x GROUP BY anc"))
 def agg10(spark: SparkSession, d: str) -> DataFrame:
     made: dict = {}
     return tree.structural(frame(spark, d, "files", made), frame(spark, d, "folders", made))
 
 
-SETS = "sets AS (SELECT DISTINCT anc AS folder, sha FROM up WHERE sha IS NOT NULL), sizes AS (SELECT folder, count(*) AS n FROM sets GROUP BY folder HAVING count(*) >= 2), wide AS (SELECT sha FROM sets JOIN sizes USING (folder) GROUP BY sha HAVING count(*) <= 200)"
+SETS = "sets AS (SELECT DISTINCT anc AS folder, sha FROM up WHERE sha IS NOT NULL), sizes AS (SELECT folder, count(*) AS n FROM sets GROUP BY folder HAVING count(*) >= 2)"
 
 
-@query("joi08_common_counts", sql("files", f"WITH {HASHES.split('rolled AS')[0].rstrip().rstrip(',')}, {SETS}, s AS (SELECT folder, sha FROM sets JOIN sizes USING (folder) JOIN wide USING (sha)) SELECT x.folder AS a, y.folder AS b, count(*) AS common FROM s x JOIN s y ON x.sha = y.sha AND x.folder < y.folder GROUP BY ALL"))
+@query("joi08_common_counts", sql("files", f"WITH {HASHES.split('rolled AS')[0].rstrip().rstrip(',')}, {SETS}, s AS (SELECT folder, sha FROM sets JOIN sizes USING (folder)) SELECT x.folder AS a, y.folder AS b, count(*) AS common FROM s x JOIN s y ON x.sha = y.sha AND x.folder < y.folder GROUP BY ALL"))
 def joi08(spark: SparkSession, d: str) -> DataFrame:
     made: dict = {}
     sets = tree.up(frame(spark, d, "files", made).where("sha IS NOT NULL"), frame(spark, d, "folders", made), "sha").select("folder", "sha").distinct()
@@ -86,7 +86,7 @@ def joi08(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("agg12_folder_overlap", sql("files folders", f"""WITH {CLEAN_HASHES}, {SETS},
-s AS (SELECT folder, sha FROM sets JOIN sizes USING (folder) JOIN wide USING (sha)),
+s AS (SELECT folder, sha FROM sets JOIN sizes USING (folder)),
 pairs AS (SELECT x.folder AS a, y.folder AS b, count(*) AS common FROM s x JOIN s y ON x.sha = y.sha AND x.folder < y.folder GROUP BY ALL),
 met AS (SELECT a, b, common, round(common / least(p.n, q.n), 4) AS ratio, round(common / (p.n + q.n - common), 4) AS jaccard FROM pairs JOIN sizes p ON p.folder = a JOIN sizes q ON q.folder = b
   WHERE NOT starts_with(b, a || '/') AND NOT starts_with(a, b || '/') AND common / least(p.n, q.n) >= 0.5)
@@ -178,16 +178,11 @@ def agg25(spark: SparkSession, d: str) -> DataFrame:
     return R.heat_map(days, "2024-01-27").withColumn("day", F.col("day").cast("string"))
 
 
-@query("agg26_longest_streak", "WITH d AS (SELECT DISTINCT ts::DATE AS day FROM events WHERE event_id % 40 = 0 AND user_id % 3 = 0), g AS (SELECT day - (row_number() OVER (ORDER BY day))::INT AS k FROM d) SELECT coalesce(max(n), 0) AS streak FROM (SELECT count(*) AS n FROM g GROUP BY k) x")
+@query("agg26_longest_streak", "WITH d AS (SELECT DISTINCT ts::DATE AS day FROM events), g AS (SELECT day - (row_number() OVER (ORDER BY day))::INT AS k FROM d) SELECT coalesce(max(n), 0) AS streak FROM (SELECT count(*) AS n FROM g GROUP BY k) x")
 def agg26(spark: SparkSession, d: str) -> DataFrame:
     return R.longest_streak(frame(spark, d, "events").select(F.col("ts").cast("date").alias("day")))
 
 
-@query("agg34_media_files", sql("decisions", "SELECT action, count(*) AS n, count(DISTINCT regexp_replace(target, '/[^/]*$', '')) AS parents, min(target) AS first_target FROM decisions WHERE action IN ('copy', 'media') GROUP BY action"))
-def agg34(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, "decisions").where(F.col("action").isin("copy", "media")).groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(T.parent(F.col("target"))).alias("parents"), F.min("target").alias("first_target"))
-
-
 @query("agg33_target_tree", sql("decisions applied", "WITH t AS (SELECT lower(target) AS k, 'plan' AS state, 0 AS r FROM decisions WHERE action = 'copy' UNION ALL SELECT lower(target), 'ground_truth', 1 FROM applied), u AS (SELECT k, arg_min(state, r) AS state FROM t GROUP BY k) SELECT regexp_replace(k, '/[^/]*$', '') AS parent, state, count(*) AS n FROM u GROUP BY ALL"))
 def agg33(spark: SparkSession, d: str) -> DataFrame:
     made: dict = {}
@@ -196,11 +191,6 @@ def agg33(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("k").agg(F.min_by("state", "r").alias("state")).groupBy(T.parent(F.col("k")).alias("parent"), "state").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("agg36_worst_level", sql("decisions", "SELECT subject, CASE WHEN bool_or(confidence < 0.1) THEN 'error' WHEN bool_or(needs_review = 1) THEN 'warning' ELSE 'info' END AS level FROM decisions GROUP BY subject"))
-def agg36(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, "decisions").groupBy("subject").agg(F.when(F.bool_or(F.col("confidence") < 0.1), "error").when(F.bool_or(F.col("needs_review") == 1), "warning").otherwise("info").alias("level"))
-
-
 @query("agg38_kind_drift", sql("files content", "WITH f AS (SELECT sha, arg_min(CASE lower(extension) WHEN '.txt' THEN 'text' WHEN '.pdf' THEN 'pdf' WHEN '.docx' THEN 'docx' WHEN '.png' THEN 'image' WHEN '.py' THEN 'code' WHEN '.zip' THEN 'archive' WHEN '.mp4' THEN 'media' ELSE 'other' END, file_id) AS becomes FROM files WHERE sha IS NOT NULL GROUP BY sha) SELECT kind AS was, becomes, count(*) AS n FROM content JOIN f USING (sha) WHERE kind <> becomes GROUP BY ALL"))
 def agg38(spark: SparkSession, d: str) -> DataFrame:
     made: dict = {}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import tempfile
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -13,20 +12,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import graph as G
 from millrace.operators import planning as P
 from millrace.operators import rules as R
 from millrace.plans.fixtures import frame, sql
 from millrace.plans.registry import query
-from millrace.session import ship
+from millrace.session import shared_folder, ship
 from millrace.sources import files as S
-from millrace.sources import sinks
-from millrace.streaming import ledger, rates
+from millrace.sources import index, sinks
+from millrace.streaming import ledger, logs, rates
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the shared folder, or in a temporary one where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='millrace-')}"
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex[:10]}"
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex[:10]}"
 
 
 @query("src08_plain_text", "SELECT doc_id, sha256(text) AS h FROM documents")
@@ -162,13 +161,28 @@ def _rules(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(RULES, "category string, keyword string, forms array<string>, priority int")
 
 
-@query("rul02_win04_signals", None)
+_FOLDED = "lower(strip_accents(replace(replace({}, 'ł', 'l'), 'Ł', 'L')))"
+SIGNALS = f"""fi AS (SELECT sha, arg_min(package || '/' || relpath, file_id) AS path, arg_min(substr(text, 1, 300), file_id) AS head FROM files WHERE sha IS NOT NULL GROUP BY sha),
+se AS (SELECT sha, n, generate_subscripts(p, 1) - 1 AS i, unnest(p) AS s FROM (SELECT sha, len(string_split(path, '/')) AS n, list_append(list_transform(string_split(path, '/'), lambda x: {_FOLDED.format("x")}), {_FOLDED.format("coalesce(head, '')")}) AS p FROM fi)),
+ru AS (SELECT unnest(['wyklady', 'laby', 'projekty']) AS category, unnest(['the', 'erth', 'onan']) AS keyword, unnest([10, 20, 40]) AS priority),
+hi AS (SELECT sha, category, priority, i, n FROM se JOIN ru ON regexp_matches(s, '(^|[^a-z0-9])' || keyword || '[a-z]*')),
+de AS (SELECT sha, max(i) AS deep FROM hi WHERE i < n - 1 GROUP BY sha),
+si AS (SELECT sha, category, round(max(CASE WHEN i = n THEN 0.74 WHEN i = n - 1 THEN 0.95 WHEN i = deep THEN 0.9 ELSE 0.78 END), 4)::DOUBLE AS weight, min(priority) AS priority FROM hi LEFT JOIN de USING (sha) GROUP BY sha, category)"""
+
+
+@query("rul02_win04_signals", sql("files", f"WITH {SIGNALS} SELECT * FROM si"))
 def rul02(spark: SparkSession, d: str) -> DataFrame:
     f = frame(spark, d, "files").where("sha IS NOT NULL").groupBy("sha").agg(F.min_by(F.struct(F.concat_ws("/", "package", "relpath").alias("path"), F.substring("text", 1, 300).alias("text_head")), "file_id").alias("x"))
     return R.signals(f.select("sha", "x.path", "x.text_head", F.array(F.lit("W")).alias("forms")), _rules(spark))
 
 
-@query("rul01_classification", None)
+@query("rul01_classification", sql("files content decisions", f"""WITH {SIGNALS},
+w AS (SELECT *, row_number() OVER (PARTITION BY sha ORDER BY weight DESC, priority, category) AS k, count(*) OVER (PARTITION BY sha, weight) AS same FROM si),
+b AS (SELECT sha, category AS cat, CASE WHEN same > 1 THEN least(round(weight - 0.12, 4), 0.89) ELSE weight END AS conf FROM w WHERE k = 1),
+j AS (SELECT c.sha, CASE WHEN d.sha IS NOT NULL THEN coalesce(d.category, 'inne') END AS gt, c.id % 19 = 0 AS ignored, c.id % 23 <> 0 AS healthy, c.kind = 'image' AS media, cat, conf FROM content c LEFT JOIN (SELECT sha, category FROM decisions WHERE run_id = 'ground_truth') d ON d.sha = c.sha LEFT JOIN b ON b.sha = c.sha)
+SELECT sha, CASE WHEN gt IS NOT NULL THEN 'copy' WHEN ignored THEN 'skip' WHEN NOT healthy THEN 'quarantine' WHEN media THEN 'media' WHEN coalesce(conf, 0) < 0.7 THEN 'quarantine' ELSE 'copy' END AS action,
+  CASE WHEN gt IS NOT NULL THEN gt WHEN NOT ignored AND healthy AND NOT media AND coalesce(conf, 0) >= 0.7 THEN cat END AS category,
+  CASE WHEN gt IS NOT NULL THEN 1.0 WHEN ignored OR media THEN 0.99 WHEN NOT healthy THEN 0.0 ELSE coalesce(conf, 0.0) END::DOUBLE AS confidence, CASE WHEN gt IS NOT NULL THEN 'manual' WHEN conf IS NOT NULL THEN 'heuristic' ELSE 'unknown' END AS method FROM j"""))
 def rul01(spark: SparkSession, d: str) -> DataFrame:
     made: dict = {}
     c = frame(spark, d, "content", made)
@@ -198,12 +212,40 @@ def rul09(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "nodes").select("id", (s & F.col("id").rlike("^[a-z0-9-]+$") & (F.col("level") >= 1)).alias("ok"))
 
 
-@query("joi11_subject_match", None)
+#: Ambiguous codes, several semesters, groups and words that leave a path out.
+_PATHS = "CASE id % 6 WHEN 0 THEN 'old/SEM ' || cast(semester AS string) || '/' || subject || ' notes/' || sha WHEN 1 THEN 'x/grp' || cast(id % 2 AS string) || '/' || subject || '/lab.txt' WHEN 2 THEN 'magisterskie/' || subject || '/a' WHEN 3 THEN 'sem3/semestr_IV/Subject ' || subject || '/b.pdf' WHEN 4 THEN 'grp0/grp1/' || subject || '.doc' ELSE 'sem' || cast(semester AS string) || '/dep' || cast(id % 2 AS string) || '/nick ' || subject || ' ' || subject END"
+
+
+def matched(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    paths = frame(spark, d, "decisions").select(F.expr(_PATHS).alias("path")).distinct()
+    n, g = F.col("n"), (F.col("n") % 2).cast("string")
+    subjects = spark.range(1, 8).select(F.col("id").cast("int").alias("semester"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("n"))
+    subjects = subjects.select("semester", F.concat(F.lit("S"), n.cast("string")).alias("code"), F.concat(F.lit("Subject S"), n.cast("string")).alias("name"), F.array(F.concat(F.lit("Nick S"), n.cast("string"))).alias("aliases"), F.concat(F.lit("grp"), g).alias("group"), F.concat(F.lit("dep"), g).alias("department"))
+    return R.match_subjects(paths, subjects)
+
+
+_SUBJECTS = r"""pa AS (SELECT DISTINCT PATHS AS path FROM decisions),
+su AS (SELECT sem AS semester, 'S' || n AS code, 'grp' || (n % 2) AS grp, n FROM (SELECT unnest(range(1, 8))::INT AS sem), (SELECT unnest(range(5)) AS n)),
+co AS (SELECT path, generate_subscripts(p, 1) AS i, unnest(p) AS c FROM (SELECT path, list_transform(string_split(regexp_replace(path, '\.[^./]*$', ''), '/'), lambda x: array_to_string(regexp_extract_all(lower(x), '[a-z0-9]+'), ' ')) AS p FROM pa WHERE NOT contains(path, 'magisterskie'))),
+se AS (SELECT path, list(DISTINCT CASE v WHEN 'iv' THEN 4 ELSE v::INT END) AS s FROM (SELECT path, unnest(regexp_extract_all(c, '(?:^|[^a-z0-9])sem(?:estr)?[ ]?([1-7]|iv)(?:[^a-z0-9]|$)', 1)) AS v FROM co) GROUP BY path),
+la AS (SELECT semester, code, grp, unnest(['subject s' || n, 's' || n, 'nick s' || n]) AS k, unnest([3, 2, 1]) AS score FROM su),
+hi AS (SELECT path, i, semester, code, grp, score FROM co JOIN la ON contains(' ' || c || ' ', ' ' || k || ' ') LEFT JOIN se USING (path) WHERE s IS NULL OR list_contains(s, semester)),
+sn AS (SELECT DISTINCT path, i AS j, semester, grp AS g FROM co JOIN su ON semester >= 5 AND (c = grp OR c = 'dep' || (n % 2))),
+be AS (SELECT h.path, h.i, h.semester, list(DISTINCT g) AS gs FROM (SELECT DISTINCT path, i, semester FROM hi) h JOIN sn ON sn.path = h.path AND sn.semester = h.semester AND j < i GROUP BY ALL),
+ok AS (SELECT hi.*, gs FROM hi LEFT JOIN be USING (path, i, semester) WHERE gs IS NULL OR list_contains(gs, grp)),
+fo AS (SELECT path, semester, code AS subject, grp AS "group", max(score) AS score FROM ok JOIN (SELECT path, i, semester, max(score) AS best FROM ok GROUP BY ALL) USING (path, i, semester) WHERE score = best GROUP BY ALL)"""
+_SUBJECTS = _SUBJECTS.replace("PATHS", _PATHS.replace("string", "varchar"))
+
+
+@query("joi11_subject_match", sql("decisions", f"WITH {_SUBJECTS} SELECT * FROM fo"))
 def joi11(spark: SparkSession, d: str) -> DataFrame:
-    paths = frame(spark, d, "decisions").select(F.concat(F.lit("old/SEM "), F.col("semester").cast("string"), F.lit("/"), "subject", F.lit(" notes/"), "sha").alias("path"))
-    subjects = spark.range(1, 8).select(F.col("id").cast("int").alias("semester"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda n: F.concat(F.lit("S"), n.cast("string")))).alias("code")).withColumns({"name": F.concat(F.lit("Subject "), "code"), "alias": F.lit(None).cast("string")})
-    return R.match_paths(paths, subjects)
+    return matched(spark, d)[0]
+
 
+@query("joi11_match_reasons", sql("decisions", f"""WITH {_SUBJECTS} SELECT path, concat_ws(',', CASE WHEN s IS NULL THEN 'missing_semester' WHEN len(s) > 1 THEN 'conflicting_semesters' END, CASE WHEN path IN (SELECT path FROM ok WHERE len(gs) > 1) THEN 'conflicting_groups' END, CASE WHEN (SELECT count(*) FROM fo WHERE fo.path = x.path) > 1 THEN 'ambiguous_subject' END) AS reasons
+FROM (SELECT DISTINCT path FROM co) x LEFT JOIN se USING (path)"""))
+def joi11_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return matched(spark, d)[1].select("path", F.array_join("reasons", ",").alias("reasons"))
 
 @query("joi12_target_path", sql("decisions", "SELECT DISTINCT 'SEM' || semester || '/grp/(' || subject || ')_Name/' || CASE WHEN outdated THEN 'outdated/' ELSE '' END || coalesce(category, 'x') || '/f' AS path, semester::INT AS semester, CASE WHEN subject <> 'S4' THEN subject END AS subject, CASE WHEN subject <> 'S4' THEN coalesce(category, 'x') END AS category, outdated FROM decisions"))
 def joi12(spark: SparkSession, d: str) -> DataFrame:
@@ -271,11 +313,15 @@ def stream_status(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("user_id").agg(F.max_by("status", "steps").alias("status"))
 
 
-@query("set08_09_levels", sql("nodes", "SELECT 'region' AS kind, id FROM nodes WHERE type = 'region' UNION ALL SELECT 'nation', id FROM nodes WHERE type = 'nation'"))
+@query("set08_09_levels", sql("nodes", "SELECT type AS kind, id, status FROM nodes UNION ALL SELECT 'level', level::VARCHAR, NULL FROM nodes GROUP BY level"))
 def set08(spark: SparkSession, d: str) -> DataFrame:
     n = frame(spark, d, "nodes")
-    return n.where("type = 'region'").select(F.lit("region").alias("kind"), "id").unionByName(n.where("type = 'nation'").select(F.lit("nation").alias("kind"), "id"))
-
+    levels = [n.where(F.col("type") == t).select(F.lit(t).alias("kind"), "id", "status") for t in ("region", "nation", "customer")]
+    levels.append(n.select(F.lit("level").alias("kind"), F.col("level").cast("string").alias("id")).distinct())
+    out = levels[0]
+    for more in levels[1:]:
+        out = out.unionByName(more, allowMissingColumns=True)
+    return out
 
 @query("set04_shared_forms", sql("decisions", "SELECT sha, id % 3 = 0 OR len(list_intersect(['W', 'L'], CASE WHEN id % 2 = 0 THEN ['W'] ELSE ['P'] END)) > 0 AS fits FROM decisions"))
 def set04(spark: SparkSession, d: str) -> DataFrame:
@@ -308,3 +354,58 @@ def agg31(spark: SparkSession, d: str) -> DataFrame:
 def joi02(spark: SparkSession, d: str) -> DataFrame:
     made: dict = {}
     return frame(spark, d, "files", made).select("file_id", "sha").join(frame(spark, d, "decisions", made).select("sha", "semester", "action"), "sha", "left").select("file_id", "semester", "action")
+
+
+#: Notes on the nations: a title for some, links by name, relations and links that lead nowhere.
+def vault(spark: SparkSession, d: str) -> DataFrame:
+    n = frame(spark, d, "nation")
+    key = F.col("n_nationkey")
+    meta = F.concat(F.lit("---\ntype: nation\nlevel: "), F.col("n_regionkey").cast("string"), F.when(key % 2 == 0, F.concat(F.lit("\ntitle: \""), "n_name", F.lit("!\""))).otherwise(""), F.lit("\naliases: [nation "), key.cast("string"), F.lit("]\nrelations: [nation "), (key + 1).cast("string"), F.lit("]\n---\n"))
+    raw = n.select(F.concat_ws("/", F.concat(F.lit("r"), F.col("n_regionkey").cast("string")), F.lower("n_name")).alias("folder"), F.concat(meta, F.lit("see [["), "n_name", F.lit("|x]] and [[Lost "), F.col("n_regionkey").cast("string"), F.lit("]]")).alias("value"))
+    path = scratch(spark, "notes")
+    raw.select(F.replace(F.col("folder"), F.lit(" "), F.lit("_")).alias("folder"), "value").write.partitionBy("folder").option("lineSep", "\n").text(path)
+    found = spark.read.text(path, wholetext=True).select(F.concat("folder", F.lit(".md")).alias("path"), F.col("value").alias("raw"))
+    return found.select("path", S.front_matter(F.col("raw")).alias("meta"), F.regexp_replace("raw", r"(?s)^---\n.*?\n---\n", "").alias("body"))
+
+
+_NOTES = """nt AS (SELECT 'r' || n_regionkey || '/' || replace(lower(n_name), ' ', '_') AS id, replace(lower(n_name), ' ', '_') AS stem, n_nationkey AS k, n_regionkey AS r, n_name FROM nation),
+ed AS (SELECT a.id AS source, coalesce((SELECT min(id) FROM nt b WHERE b.stem = lower(a.n_name)), lower(a.n_name)) AS target, 'link' AS kind FROM nt a UNION SELECT id, 'lost ' || r, 'link' FROM nt UNION SELECT a.id, coalesce(b.id, 'nation ' || (a.k + 1)), 'related' FROM nt a LEFT JOIN nt b ON b.k = a.k + 1)"""
+
+
+@query("src17_19_note_nodes", f"WITH {_NOTES} SELECT id, CASE WHEN k % 2 = 0 THEN n_name || '!' ELSE stem END AS title, r::INT AS level, false AS ghost FROM nt UNION ALL SELECT DISTINCT target, CASE WHEN starts_with(target, 'lost') THEN 'Lost ' || substr(target, 6) WHEN starts_with(target, 'nation') THEN target ELSE upper(target) END, NULL, true FROM ed WHERE target NOT IN (SELECT id FROM nt)")
+def src17(spark: SparkSession, d: str) -> DataFrame:
+    return G.note_graph(vault(spark, d), S.typed)[0].select("id", "title", "level", "ghost")
+
+
+@query("udf02_resolved_edges", f"WITH {_NOTES} SELECT source, target, kind FROM ed")
+def udf02(spark: SparkSession, d: str) -> DataFrame:
+    return G.note_graph(vault(spark, d), S.typed, G.resolve)[1]
+
+
+@query("src12_config_table", "SELECT * FROM (VALUES ('S0', 3, NULL), ('S1', NULL, 'g')) t(code, semester, grp)")
+def src12(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "config")
+    spark.createDataFrame([('{"subjects": [{"code": "S0", "semester": 3}, {"code": "S1", "grp": "g"}]}',)], "value string").coalesce(1).write.text(f"{path}/subjects.json")
+    return index.config_table(spark, index.config(spark, path, "subjects"), "subjects", "code string, semester int, grp string")
+
+
+@query("src20_history", "SELECT o_custkey::VARCHAR AS path, strftime(min(o_orderdate), '%Y-%m-%d') AS first, strftime(max(o_orderdate), '%Y-%m-%d') AS last, count(*) AS commits FROM orders GROUP BY 1")
+def src20(spark: SparkSession, d: str) -> DataFrame:
+    return index.history(frame(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("path"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")))
+
+
+@query("src21_index_tables", sql("decisions", "SELECT sha, action FROM decisions"))
+def src21(spark: SparkSession, d: str) -> DataFrame:
+    found = index.Index(spark, scratch(spark, "index"), 4)
+    found.create("decisions", frame(spark, d, "decisions").select("sha", "action"))
+    return found.table("decisions")
+
+
+@query("stm08_stage_chain", "SELECT * FROM (VALUES ('scan', 0, 'done'), ('hash', 1, 'failed'), ('plan', 2, 'stopped')) t(stage, pos, state)")
+def stm08(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "logs")
+    for stage, lines in {"scan": ["reading", "exit 0"], "hash": ["bad", "exit 2"]}.items():
+        spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(f"{path}/{stage}.log")
+    rows = spark.read.text([f"{path}/{s}.log" for s in ("scan", "hash")]).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.log/", 1).alias("stage"), "value")
+    order = spark.createDataFrame([("scan", 0), ("hash", 1), ("plan", 2)], "stage string, pos int")
+    return logs.chain(order, logs.events(rows).where("event = 'exit'").select("stage", "code"))

@@ -29,7 +29,7 @@ def str03(spark: SparkSession, d: str) -> DataFrame:
 _DIGITS = ", ".join(f"(CASE WHEN sum(CASE WHEN (('0x' || substr(h, {1 + 8 * f}, 8))::BIGINT >> {31 - b}) & 1 = 1 THEN 1 ELSE -1 END) > 0 THEN 1 ELSE 0 END)" for f in range(2) for b in range(32))
 
 
-@query("str04_simhash_md5", f"WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents WHERE n_chars < 1500), g AS (SELECT doc_id, md5(unnest(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS h FROM w), v AS (SELECT doc_id, [{_DIGITS}] AS b FROM g GROUP BY doc_id) SELECT doc_id, array_to_string(list_transform(range(0, 16), lambda k: lower(to_hex(8 * b[4 * k + 1] + 4 * b[4 * k + 2] + 2 * b[4 * k + 3] + b[4 * k + 4]))), '') AS simhash FROM v")
+@query("str04_simhash_md5", f"WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM documents), g AS (SELECT doc_id, md5(unnest(CASE WHEN len(w) < 3 THEN w ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END)) AS h FROM w), v AS (SELECT doc_id, [{_DIGITS}] AS b FROM g GROUP BY doc_id) SELECT doc_id, array_to_string(list_transform(range(0, 16), lambda k: lower(to_hex(8 * b[4 * k + 1] + 4 * b[4 * k + 2] + 2 * b[4 * k + 3] + b[4 * k + 4]))), '') AS simhash FROM v")
 def str04(spark: SparkSession, d: str) -> DataFrame:
     rows = frame(spark, d, "documents").select("doc_id", F.explode(F.array(F.struct(F.split("text", " ").alias("w")))).alias("x"))
     made = rows.select("doc_id", F.explode(F.array(F.struct(T.shingle_halves(F.col("x.w")).alias("h")))).alias("y"))
@@ -71,10 +71,14 @@ def str11(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "decisions").select("sha", T.year_of(text, 2026).alias("year"))
 
 
-@query("str13_template", sql("decisions", "SELECT sha, CASE WHEN category IS NOT NULL THEN subject || '/' || category || '/' || lpad((id % 30)::VARCHAR, 2, '0') ELSE subject || '/' || lpad((id % 30)::VARCHAR, 2, '0') END AS target FROM decisions"))
-def str13(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, "decisions").select("sha", F.concat_ws("/", "subject", "category", F.lpad((F.col("id") % 30).cast("string"), 2, "0")).alias("target"))
+_NR = "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN cast(id % 120 AS string) ELSE '00' || cast(id % 12 AS string) END"
+
 
+@query("str13_template", sql("decisions", f"""SELECT sha, CASE WHEN category IS NOT NULL AND nr IS NOT NULL THEN subject || '/' || category || '/lab_' || pad || '_v' || nr WHEN category IS NOT NULL THEN subject || '/' || category || '/all' ELSE subject || '/all' END AS target
+FROM (SELECT *, CASE WHEN length(ltrim(nr, '0')) < 2 THEN lpad(ltrim(nr, '0'), 2, '0') ELSE ltrim(nr, '0') END AS pad FROM (SELECT *, {_NR.replace('string', 'varchar')} AS nr FROM decisions) x) y"""))
+def str13(spark: SparkSession, d: str) -> DataFrame:
+    values = {"subject": F.col("subject"), "category": F.col("category"), "nr": F.expr(_NR)}
+    return frame(spark, d, "decisions").select("sha", T.render_best(["{subject}/{category}/lab_0{nr}_v{nr}", "{subject}/{category}/all"], values).alias("target"))
 
 @query("str14_safe_name", r"SELECT page_id, CASE WHEN n = '' THEN 'bez_nazwy' ELSE n END AS name FROM (SELECT page_id, regexp_replace(rtrim(trim(regexp_replace(url, '[<>:\"/\\|?*\x00-\x1f]', '_', 'g'))), '[. ]+$', '') AS n FROM pages) x")
 def str14(spark: SparkSession, d: str) -> DataFrame:
@@ -109,12 +113,29 @@ def str20(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "documents").select("doc_id", F.sha2(F.lower(F.regexp_replace(F.trim("text"), r"\s+", " ")), 256).alias("h"))
 
 
-@query("str21_typed_getters", """SELECT event_id, (props->>'k')::INT AS k, CASE WHEN event_type IN ('click', 'view') THEN event_type END AS known FROM events""")
+@query("str21_typed_getters", """SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'note' || event_id ELSE 'T ' || event_id END AS title, CASE WHEN event_id % 3 = 0 THEN event_type ELSE 'Uncategorized' END AS category, CASE WHEN event_id % 5 <> 0 THEN (props->>'k')::INT END AS level,
+  CASE event_id % 4 WHEN 0 THEN 'completed' WHEN 1 THEN 'in-progress' END AS status, CASE event_id % 3 WHEN 0 THEN 'a|' || user_id WHEN 1 THEN 'b c|' || event_type ELSE '' END AS tags,
+  CASE event_id % 4 WHEN 0 THEN 'docker:related' WHEN 1 THEN 'x' || user_id || ':near_duplicate:0.5|y:related' WHEN 2 THEN 'p:related|q:related' ELSE '' END AS relations FROM events""")
 def str21(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("int").alias("k"), F.when(F.col("event_type").isin("click", "view"), F.col("event_type")).alias("known"))
-
-
-@query("str22_quoted", r"""SELECT doc_id, '"' || replace(replace(replace(substr(text, 1, 60), '\', '\\'), '"', '\"'), chr(10), '\n') || '"' AS quoted FROM documents""")
+    from millrace.sources.files import typed
+
+    i, e = F.col("event_id"), frame(spark, d, "events")
+    text = lambda *p: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in p])
+    user = F.col("user_id").cast("string")
+    fields = {
+        "title": F.when(i % 4 != 0, text('T ', i.cast("string"))),
+        "category": F.when(i % 3 == 0, F.col("event_type")),
+        "level": F.when(i % 5 == 0, "high").otherwise(F.get_json_object("props", "$.k")),
+        "status": F.when(i % 4 == 0, "Completed").when(i % 4 == 1, "in-progress").when(i % 4 == 2, "someday"),
+        "tags": F.when(i % 3 == 0, text("[a, ", user, "]")).when(i % 3 == 1, text("'b c' ,, ", F.col("event_type"))),
+        "relations": F.when(i % 4 == 0, "docker").when(i % 4 == 1, text('[{"target": "x', user, '", "kind": "near_duplicate", "confidence": 0.5}, {"kind": "lost"}, {"target": "y"}]')).when(i % 4 == 2, "[p, q]"),
+    }
+    meta = F.map_from_entries(F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in fields.items()]), lambda x: x["v"].isNotNull()))
+    t = e.select("event_id", typed(meta, text("notes/note", i.cast("string"), ".md")).alias("t"))
+    shown = F.transform("t.relations", lambda r: F.concat_ws(":", r["target"], r["kind"], r["confidence"].cast("string")))
+    return t.select("event_id", "t.title", "t.category", "t.level", "t.status", F.array_join("t.tags", "|").alias("tags"), F.array_join(shown, "|").alias("relations"))
+
+@query("str22_quoted", r"""SELECT doc_id, '"' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n') || '"' AS quoted FROM documents""")
 def str22(spark: SparkSession, d: str) -> DataFrame:
     t = F.replace(F.replace(F.replace(F.col("text"), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     return frame(spark, d, "documents").select("doc_id", F.concat(F.lit('"'), t, F.lit('"')).alias("quoted"))
@@ -130,10 +151,11 @@ def str25(spark: SparkSession, d: str) -> DataFrame:
     return frame(spark, d, "documents").where(F.lower("source").contains("1") | F.lower("lang").contains("fr")).select("doc_id")
 
 
-@query("str27_source_language", sql("files", "SELECT file_id, CASE lower(extension) WHEN '.py' THEN 'python' WHEN '.txt' THEN 'text' END AS language FROM files"))
+@query("str27_source_language", sql("files content", "SELECT file_id, CASE WHEN kind IN ('text', 'code', 'other') OR kind IS NULL THEN CASE lower(extension) WHEN '.py' THEN 'python' WHEN '.txt' THEN 'plaintext' END END AS language FROM files LEFT JOIN content USING (sha)"))
 def str27(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, "files").select("file_id", F.element_at(F.create_map(F.lit(".py"), F.lit("python"), F.lit(".txt"), F.lit("text")), F.lower("extension")).alias("language"))
-
+    made: dict = {}
+    f = frame(spark, d, "files", made).join(frame(spark, d, "content", made).select("sha", "kind"), "sha", "left")
+    return f.select("file_id", T.source_language(F.col("filename"), F.col("kind")).alias("language"))
 
 @query("str28_transient_error", "SELECT event_id, regexp_matches(m, '(timeout|reset|temporar|HTTP (429|5[0-9][0-9]))') AS transient FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'HTTP 503' WHEN 1 THEN 'HTTP 404' WHEN 2 THEN 'read timeout' ELSE 'denied' END AS m FROM events) x")
 def str28(spark: SparkSession, d: str) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -37,6 +38,13 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """`df`, written as Parquet into the shared folder and read again: what follows has a short lineage and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: int = 8, shuffle_partitions: int | None = None) -> SparkSession:
     """A local session with UTC, adaptive execution and as many shuffle partitions as cores."""
     return (

@@ -8,68 +8,84 @@ import stat
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timezone
+from functools import reduce
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from millrace.functions import text as T
-from millrace.session import ship
+from millrace.session import ship, written
+
+
+def entries(folder: str) -> Iterator[tuple[str, str, int, int]]:
+    """(name, kind, bytes, seconds) of a folder's entries, sorted by name; kind is folder, file, link or, for a name that isn't UTF-8, unreadable. A folder is an address that pyarrow.fs knows, or a path."""
+    fs, base = pafs.FileSystem.from_uri(folder)
+    if not isinstance(fs, pafs.LocalFileSystem):
+        for i in sorted(fs.get_file_info(pafs.FileSelector(base)), key=lambda i: i.base_name):
+            is_dir = i.type == pafs.FileType.Directory
+            yield i.base_name, "folder" if is_dir else "file", 0 if is_dir else i.size, (i.mtime_ns or 0) // 10**9
+        return
+    for e in sorted(os.scandir(base), key=lambda e: e.name):
+        if any(0xD800 <= ord(c) < 0xE000 for c in e.name):
+            yield "", "unreadable", 0, 0
+        elif e.is_symlink():
+            yield e.name, "link", 0, 0
+        else:
+            info = e.stat()
+            yield e.name, "folder" if stat.S_ISDIR(info.st_mode) else "file", info.st_size, info.st_mtime_ns // 10**9
 
 
 def packages(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
-    """The direct sub-folders of a root, sorted, and how many entries were skipped: links and names that aren't UTF-8. Dot names are skipped silently. Runs where the tree is."""
-    kept, skipped = [], 0
-    for e in os.scandir(root):
-        if e.name.startswith("."):
-            continue
-        if e.is_symlink() or any(0xD800 <= ord(c) < 0xE000 for c in e.name):
-            skipped += 1
-        elif e.is_dir():
-            kept.append((e.name,))
-    return spark.createDataFrame(sorted(kept), "package string"), skipped
+    """The direct sub-folders of a root, sorted, and how many entries were skipped: links and names that aren't UTF-8. Dot names are skipped silently. One folder is listed, on the driver."""
+    seen = [(name, kind) for name, kind, _, _ in entries(root) if not name.startswith(".")]
+    return spark.createDataFrame(sorted((n,) for n, k in seen if k == "folder"), "package string"), sum(k in ("link", "unreadable") for _, k in seen)
+
+
+LISTED = "kind string, package string, relpath string, size long, mtime string"
 
 
 def scan(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
-    """(files, folders) below a root, one task a package. The binary reader hides names that begin with _; this lister keeps them. A folder that can't be read is an error, and so are the folders above it."""
+    """(files, folders) below a root, level by level: the folders of a level are dealt over all tasks, so a large package is listed by many. Totals of folders are sums over their files. The binary reader hides names that begin with _; this lister keeps them.
+    A folder that can't be read is an error, and so are the folders above it."""
     found, _ = packages(spark, root)
     ship(spark)
+    top = root.rstrip("/")
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows: list[tuple] = []
-
-        def visit(path: str, package: str, rel: str) -> tuple[int, int, str, bool]:
-            files, total, last, bad = 0, 0, "", False
-            try:
-                entries = sorted(os.scandir(path), key=lambda e: e.name)
-            except OSError:
-                rows.append(("folder", package, rel, 0, 0, "", "error"))
-                return 0, 0, "", True
-            for e in entries:
-                name = e.name
-                if name.startswith((".", "~$")) or name.lower() in ("thumbs.db", "desktop.ini") or e.is_symlink():
-                    continue
-                inner = f"{rel}/{name}" if rel else name
-                info = e.stat()
-                if stat.S_ISDIR(info.st_mode):
-                    n, b, m, x = visit(e.path, package, inner)
-                else:
-                    m = datetime.fromtimestamp(info.st_mtime_ns // 10**9, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
-                    n, b, x = 1, info.st_size, False
-                    rows.append(("file", package, inner, 1, b, m, "discovered"))
-                files, total, last, bad = files + n, total + b, max(last, m), bad or x
-            rows.append(("folder", package, rel, files, total, last, "error" if bad else "discovered"))
-            return files, total, last, bad
-
+    def listing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for package in pdf["package"]:
-                rows.clear()
-                visit(os.path.join(root, package), package, "")
-                yield pd.DataFrame(rows, columns=["kind", "package", "relpath", "files", "size", "mtime", "status"])
-
-    all_ = found.repartition(max(1, found.count())).mapInPandas(walk, "kind string, package string, relpath string, files long, size long, mtime string, status string")
-    return all_.where("kind = 'file'").drop("kind", "files"), all_.where("kind = 'folder'").withColumn("folder", F.when(F.col("relpath") == "", F.col("package")).otherwise(F.concat_ws("/", "package", "relpath"))).drop("kind")
+            rows: list[tuple] = []
+            for package, rel in zip(pdf["package"], pdf["relpath"]):
+                own = []
+                try:
+                    for name, kind, size, at in entries("/".join(x for x in (top, package, rel) if x)):
+                        if kind in ("file", "folder") and not name.startswith((".", "~$")) and name.lower() not in ("thumbs.db", "desktop.ini"):
+                            when = datetime.fromtimestamp(at, timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
+                            own.append((kind, package, f"{rel}/{name}" if rel else name, size if kind == "file" else 0, when))
+                except OSError:
+                    own = [("error", package, rel, 0, "")]
+                rows += own
+            yield pd.DataFrame(rows, columns=["kind", "package", "relpath", "size", "mtime"])
+
+    level = found.select(F.lit("folder").alias("kind"), "package", F.lit("").alias("relpath"), F.lit(0).cast("long").alias("size"), F.lit("").alias("mtime"))
+    every = [level]
+    while not level.isEmpty():
+        below = level.where("kind = 'folder'").select("package", "relpath").repartition(4 * spark.sparkContext.defaultParallelism, "package", "relpath")
+        level = written(below.mapInPandas(listing, LISTED), "listing")
+        every.append(level)
+    rows = reduce(DataFrame.unionAll, every)
+    files = rows.where("kind = 'file'").select("package", "relpath", "size", "mtime", F.lit("discovered").alias("status"))
+    parts = F.split("relpath", "/")
+    above = lambda n: F.transform(F.sequence(F.lit(0), n), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    sums = files.select("package", F.explode(above(F.size(parts) - 1)).alias("relpath"), "size", "mtime").groupBy("package", "relpath").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("size"), F.max("mtime").alias("mtime"))
+    # a folder's own path is among those above an entry in it: for one that can't be read that is the folder itself
+    bad = rows.where("kind = 'error'").select("package", F.explode(above(F.when(F.col("relpath") == "", 0).otherwise(F.size(parts)))).alias("relpath")).distinct().withColumn("bad", F.lit(True))
+    folders = rows.where("kind = 'folder'").select("package", "relpath").join(sums, ["package", "relpath"], "left").join(bad, ["package", "relpath"], "left")
+    status = F.when(F.col("bad"), "error").otherwise("discovered")
+    folders = folders.select("package", "relpath", F.coalesce("files", F.lit(0)).alias("files"), F.coalesce("size", F.lit(0)).alias("size"), F.coalesce("mtime", F.lit("")).alias("mtime"), status.alias("status"))
+    return files, folders.withColumn("folder", F.when(F.col("relpath") == "", F.col("package")).otherwise(F.concat_ws("/", "package", "relpath")))
 
 
 def hashed(spark: SparkSession, root: str) -> DataFrame:
@@ -186,6 +202,38 @@ def front_matter(raw: Column) -> Column:
     return F.map_from_entries(F.array_distinct(entries))
 
 
+#: The statuses of a note, and the kind of a relation that names none.
+STATUSES, RELATED = ["not-started", "in-progress", "completed"], "related"
+
+
+def listed(text: Column) -> Column:
+    """A list written as [a, b] or as a, b; blanks and quotes around the items go, and so do empty items."""
+    items = F.transform(F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s*\[|\]\s*$", ""), ","), lambda x: F.btrim(F.btrim(x), F.lit("\"'")))
+    return F.filter(items, lambda x: x != "")
+
+
+def typed(meta: Column, path: Column) -> Column:
+    """The fields of a note's front matter with their types: title (else the file's stem), category, level, status (null if unknown), tags, aliases, modified, type, and relations, given as names, a list of names, or JSON objects with a target."""
+    get = lambda k: F.nullif(F.btrim(F.get(F.transform(F.filter(F.map_entries(meta), lambda e: e["key"] == k), lambda e: e["value"]), F.lit(0))), F.lit(""))
+    relation = "array<struct<target:string,kind:string,confidence:double>>"
+    given = get("relations")
+    objects = F.filter(F.from_json(given, relation), lambda r: F.coalesce(r["target"], F.lit("")) != "")
+    names = F.transform(listed(given), lambda t: F.struct(t.alias("target"), F.lit(None).cast("string").alias("kind"), F.lit(None).cast("double").alias("confidence")))
+    relations = F.transform(F.when(given.rlike(r"^\[\s*\{"), objects).otherwise(names), lambda r: F.struct(r["target"].alias("target"), F.coalesce(r["kind"], F.lit(RELATED)).alias("kind"), r["confidence"].alias("confidence")))
+    status = F.lower(get("status"))
+    return F.struct(
+        F.coalesce(get("title"), F.regexp_extract(path, r"([^/]*?)(\.[^./]*)?$", 1)).alias("title"),
+        F.coalesce(get("category"), F.lit("Uncategorized")).alias("category"),
+        get("level").try_cast("int").alias("level"),
+        F.when(status.isin(STATUSES), status).alias("status"),
+        listed(get("tags")).alias("tags"),
+        listed(get("aliases")).alias("aliases"),
+        get("modified").alias("modified"),
+        get("type").alias("type"),
+        F.coalesce(relations, F.array().cast(relation)).alias("relations"),
+    )
+
+
 def catalogue(groups: DataFrame) -> DataFrame:
     """(semester, code, name, group), the first of each, of rows (semester, group, ord, subjects array<struct<code, name>>)."""
     flat = groups.select("semester", "group", "ord", F.posexplode("subjects").alias("i", "s")).select("semester", "group", "s.code", "s.name", "ord", "i")

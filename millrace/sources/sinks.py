@@ -34,26 +34,34 @@ def search_index(notes: DataFrame) -> DataFrame:
     return notes.select("id", F.to_json(F.struct("id", "title", "body")).alias("json"))
 
 
+def _first(df: DataFrame, limit: int) -> tuple[list, int]:
+    """The first rows and the number of all others, which are counted only if there are any."""
+    rows = df.limit(limit + 1).collect()
+    return rows[:limit], df.count() - limit if len(rows) > limit else 0
+
+
 def report(sections: dict[str, DataFrame], limit: int = 200) -> str:
     """Markdown tables of small results; more than `limit` rows of a section are counted, not listed."""
     out = []
     for title, df in sections.items():
-        rows, total = df.limit(limit).collect(), df.count()
+        rows, more = _first(df, limit)
         out += [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
         out += ["| " + " | ".join("—" if v is None else str(v).replace("|", "\\|") for v in r) + " |" for r in rows]
-        out += [f"… {total - len(rows)} more"] if total > len(rows) else []
+        out += [f"… {more} more"] if more else []
         out.append("")
     return "\n".join(out)
 
 
 def html_report(sections: dict[str, DataFrame], limit: int = 200) -> str:
+    """The same as an HTML page."""
     from html import escape
 
     out = ["<!doctype html><meta charset='utf-8'>"]
     for title, df in sections.items():
+        rows, more = _first(df, limit)
         out.append(f"<h2>{escape(title)}</h2><table><tr>" + "".join(f"<th>{escape(c)}</th>" for c in df.columns) + "</tr>")
-        out += ["<tr>" + "".join(f"<td>{escape('—' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in df.limit(limit).collect()]
-        out.append("</table>")
+        out += ["<tr>" + "".join(f"<td>{escape('—' if v is None else str(v))}</td>" for v in r) + "</tr>" for r in rows]
+        out.append("</table>" + (f"<p>… {more} more</p>" if more else ""))
     return "\n".join(out)
 
 

@@ -153,10 +153,25 @@ def test_classification_cascade(spark):
 
 
 def test_subject_match(spark):
-    subjects = spark.createDataFrame([(1, "AKO", "Architektura komputerow", "arch"), (2, "AKO", "Inna architektura", None)], "semester int, code string, name string, alias string")
-    paths = spark.createDataFrame([("SEM I/Architektura komputerów/x",), ("sem2/ako",), ("ako notes",), ("akord",)], "path string")
-    got = {(r.path, r.semester): (r.subject, r.score) for r in R.match_paths(paths, subjects).collect()}
-    assert got == {("SEM I/Architektura komputerów/x", 1): ("AKO", 3), ("sem2/ako", 2): ("AKO", 2), ("ako notes", 1): ("AKO", 2), ("ako notes", 2): ("AKO", 2)}
+    schema = "semester int, code string, name string, aliases array<string>, `group` string, department string"
+    subjects = spark.createDataFrame([(1, "AKO", "Architektura komputerow", ["arch"], None, None), (2, "AKO", "Inna architektura", None, None, None), (5, "SI", "Sieci", [], "ISI", "KASK"), (5, "SI2", "Sieci", [], "IS", None)], schema)
+    want = {
+        "SEM I/Architektura komputerów/x.txt": ({(1, "AKO", 3)}, []),
+        "sem2/ako": ({(2, "AKO", 2)}, []),
+        "ako notes": ({(1, "AKO", 2), (2, "AKO", 2)}, ["missing_semester", "ambiguous_subject"]),
+        "akord": (set(), ["missing_semester"]),
+        "sem1 sem2/arch": ({(1, "AKO", 1)}, ["conflicting_semesters"]),
+        "sem5/kask/sieci": ({(5, "SI", 3)}, []),
+        "sem5/sieci/kask": ({(5, "SI", 3), (5, "SI2", 3)}, ["ambiguous_subject"]),
+        "sem5/isi/is/sieci": ({(5, "SI", 3), (5, "SI2", 3)}, ["conflicting_groups", "ambiguous_subject"]),
+        "magisterskie/sem1/ako": (set(), None),
+    }
+    found, reasons = R.match_subjects(spark.createDataFrame([(p,) for p in want], "path string"), subjects)
+    told = {r.path: list(r.reasons) for r in reasons.collect()}
+    got = {p: (set(), told.get(p)) for p in want}
+    for r in found.collect():
+        got[r.path][0].add((r.semester, r.subject, r.score))
+    assert got == want
 
 
 def test_link_tiers_and_ghosts(spark):
@@ -188,3 +203,83 @@ def test_build_products_and_noise(spark):
 
     df = spark.createDataFrame([("a/Debug/x.c",), ("a/x.OBJ",), ("a/debug.c",), ("p/.git/x",), ("p/x.sln",)], "p string")
     assert [tuple(r) for r in df.select(artifact(F.col("p")), noise(F.col("p"))).collect()] == [(True, False), (True, False), (False, False), (True, True), (False, True)]
+
+
+def test_ancestors_of_a_deep_chain(spark):
+    p = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(100)], "child string, parent string")
+    pairs = G.ancestor_pairs(p)
+    assert pairs.count() == 101 * 100 // 2 and pairs.where("node = 'n0' AND above = 'n100'").first().steps == 100
+    assert {r.node: r.found for r in G.nearest_of_type(p, spark.createDataFrame([("n40", "t"), ("n99", "t")], "id string, type string"), "t").where("node IN ('n0', 'n39', 'n40', 'n98')").collect()} == {"n0": "n40", "n39": "n40", "n40": "n99", "n98": "n99"}
+
+
+def test_listed_children_that_close_a_cycle(spark):
+    p = spark.createDataFrame([("b", "a"), ("c", "b"), ("y", "x"), ("z", "y"), ("x", "z")], "child string, parent string")
+    seen = spark.createDataFrame([("c", "a"), ("c", "c"), ("c", "d"), ("a", "b"), ("b", "c"), ("z", "x"), ("z", "a")], "parent string, child string")
+    got = {(r.parent, r.child): r.status for r in G.listed(seen, p).collect()}
+    assert {k for k, v in got.items() if v == "cycle"} == {("c", "a"), ("c", "c"), ("z", "x")} and len(got) == 7
+
+
+def test_anchors(spark):
+    n = spark.createDataFrame([("a", None, 4), ("b", "a", 1), ("c", "gone", 9), ("d", "c", 0), ("e", "c", 400)], "id string, parent string, weight long")
+    at = {r.id: (r.x, r.y) for r in G.anchors(n).collect()}
+    away = lambda x, y: ((at[x][0] - at[y][0]) ** 2 + (at[x][1] - at[y][1]) ** 2) ** 0.5
+    assert at["b"] == at["a"] and abs((at["a"][0] ** 2 + at["a"][1] ** 2) ** 0.5 - 120) < 1e-6
+    assert abs(away("c", "d") - max(120, 22 * 21 / 3.141592653589793)) < 1e-6 and len(at) == 5
+
+
+def test_siblings(spark):
+    n = spark.createDataFrame([("1", "t", "łan"), ("2", "t", "lot"), ("3", "u", "a"), ("4", None, "a"), ("5", "t", "mama"), ("6", "t", "x")], "id string, type string, title string")
+    p = spark.createDataFrame([(i, "6") for i in "12345"], "child string, parent string")
+    assert {r.id: r.pos for r in G.siblings(n, p, ["u", "t"]).collect()} == {"3": 1, "2": 2, "1": 3, "5": 4, "4": 5, "6": 1}
+
+
+def test_vault_groups_and_ghosts(spark):
+    d = spark.createDataFrame([(s, 1, "S", "c") for s in "abcd"] + [("e", 1, "S", None), ("f", 1, "S", None)], "sha string, semester int, subject string, category string")
+    f = spark.createDataFrame([(s, "p", f"{s if s == 'd' else 'dir'}/{s}") for s in "abcdef"] + [("a", "a", "top")], "sha string, package string, relpath string")
+    r = spark.createDataFrame([("a", "b", "near", 0.9), ("x", "a", "near", 0.8), ("x", "y", "near", 0.7)], "src string, tgt string, type string, confidence double")
+    nodes, edges = G.vault(d, f, r)
+    assert {(n.id, n.kind, n.members) for n in nodes.collect() if n.kind not in ("file", "semester", "subject")} == {("SEM1/S/c", "category", 4), ("SEM1/S/inne", "category", 2), ("SEM1/S/c/dir", "group", 2), ("x", "ghost", 0)}
+    got = {(e.source, e.target, e.kind) for e in edges.collect()}
+    assert {("a", "SEM1/S/c", "belongs_to"), ("b", "SEM1/S/c/dir", "belongs_to"), ("e", "SEM1/S/inne", "belongs_to"), ("a", "b", "near"), ("a", "x", "near"), ("SEM1/S/c/dir", "SEM1/S/c", "belongs_to")} <= got and len(got) == 2 + 6 + 1 + 1 + 2
+
+
+def test_equal_values_in_blocks(spark):
+    rows = spark.createDataFrame([(f"s{i:02}", "v" if i < 30 else "w") for i in range(33)] + [("x", ""), ("y", None)], "sha string, text_hash string")
+    got = {tuple(r) for r in S.equal_pairs(rows, "text_hash", block=4).collect()}
+    assert got == {(f"s{i:02}", f"s{j:02}") for j in range(33) for i in range(j) if (i < 30) == (j < 30)}
+
+
+def test_findings_of_rows_without_a_target(spark):
+    p = spark.createDataFrame([("a", "copy", "T/x", 0.9, "T"), ("b", "copy", "t/X", 0.05, "T"), ("c", "skip", None, None, "T"), ("c", "skip", None, None, "T"), ("d", "skip", "T/x", 0.5, "T")], "sha string, action string, target string, confidence double, subject_dir string")
+    truth = spark.createDataFrame([], "target string, sha string")
+    got = sorted((r.sha, r.code) for r in P.findings(p, truth).collect())
+    assert got == [("a", "collision"), ("b", "collision"), ("b", "low_confidence"), ("b", "outside_subject"), ("c", "duplicate_row"), ("c", "duplicate_row")]
+    counts = P.blocking(P.findings(p, truth)).first()
+    assert (counts.errors, counts.warnings, counts.blocking, counts.blocking_strict) == (5, 1, 5, 6)
+
+
+def test_overview_tells_why_a_plan_cannot_be_applied(spark):
+    p = spark.createDataFrame([("a", "copy", "T/x", 1), ("b", "media", "T/d/y", 0), ("c", "skip", None, 0)], "sha string, action string, target string, needs_review int")
+    none = spark.createDataFrame([], "level string")
+    states = spark.createDataFrame([("a", "new")], "sha string, state string")
+    r = P.overview(p, none, states).first()
+    assert (r.items, r.needs_review, r.files, r.folders, r.new, r.can_apply, r.reason) == (3, 1, 2, 2, 1, True, "")
+    assert P.overview(p, none, states.replace("new", "outside")).first().reason == "operations"
+    assert P.overview(p, spark.createDataFrame([("error",)], "level string"), states).first().reason == "findings"
+    assert {(x.part, x.path) for x in P.tree_diff(p).collect()} == {("file", "T/x"), ("file", "T/d/y"), ("folder", "T"), ("folder", "T/d")}
+
+
+def test_ground_truth_reuses_hashes_and_spares_manual_decisions(spark):
+    seen = spark.createDataFrame([("SEM1/A/x", 1, "t", "h1"), ("SEM1/A-b/x", 2, "t", "h1"), ("SEM2/B/y", 3, "t", "h2"), ("SEM2/B/z", 4, "t", "h3")], "path string, size long, mtime string, now string")
+    known = spark.createDataFrame([("SEM2/B/y", "old", "ground_truth:3:t"), ("SEM2/B/z", "older", "ground_truth:9:t"), ("gone", "g", "ground_truth:1:t")], "path string, sha string, stamp string")
+    decided = spark.createDataFrame([("h3", "manual", None), ("old", "manual", "ground_truth")], "sha string, method string, run_id string")
+    rows, made = P.ground_truth(seen, known, decided, F.col("now"))
+    assert {r.path: (r.sha, r.reused) for r in rows.collect()} == {"SEM1/A/x": ("h1", False), "SEM1/A-b/x": ("h1", False), "SEM2/B/y": ("old", True), "SEM2/B/z": ("h3", False)}
+    assert {r.sha: (r.path, r.semester, r.subject, r.rest) for r in made.collect()} == {"h1": ("SEM1/A/x", 1, "A", "x"), "old": ("SEM2/B/y", 2, "B", "y")}
+    assert P.ground_truth(seen, known, decided, F.col("now"), partial=True)[0].where("path = 'gone'").count() == 1
+
+
+def test_canonical_folder_under_a_duplicate_and_chains_are_reported(spark):
+    d = spark.createDataFrame([("P/b", "Q/a/c"), ("Q/a", "R"), ("R", "S")], "folder string, duplicate_of string")
+    assert {r.folder for r in tree.canonical_broken(d).collect()} == {"P/b", "Q/a"}
+

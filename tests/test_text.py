@@ -68,3 +68,20 @@ def test_slots_lecturers_and_errors(spark):
 
 def test_kinds(spark):
     assert [one(spark, T.kind_of(F.col("e")), e=e) for e in (".PDF", "csv ", "", ".nope", "tgz")] == ["pdf", "xlsx", "other", "other", "archive"]
+
+
+def test_templates(spark):
+    from millrace.functions.text import render, render_best
+
+    df = spark.createDataFrame([("S", "lab", "3"), ("S", "lab", "0012"), ("S", "lab", "00"), ("S", None, "3"), (None, "", None)], "s string, c string, n string")
+    v = {"s": F.col("s"), "c": F.col("c"), "n": F.col("n")}
+    got = [tuple(r) for r in df.select(render("{s}/{c}_0{n}/{n}x", v), render_best(["{s}/{c}/k_0{n}", "{s}/{c}"], v), render("{missing}", v)).collect()]
+    assert got == [("S/lab_03/3x", "S/lab/k_03", None), ("S/lab_12/0012x", "S/lab/k_12", None), ("S/lab_00/00x", "S/lab/k_00", None), (None, "S", None), (None, "", None)]
+
+
+def test_languages(spark):
+    from millrace.functions.text import source_language
+
+    df = spark.createDataFrame([("a.PY", "code"), ("a.py", "pdf"), ("x/.py", None), ("b.h", ""), ("c.unknown", "text"), ("d", None), ("e.tar.toml", None)], "f string, k string")
+    assert [r[0] for r in df.select(source_language(F.col("f"), F.col("k"))).collect()] == ["python", None, None, "c", None, None, "ini"]
+
