@@ -21,12 +21,13 @@ from millrace.llm.common import held_out, materialise, named, packed, table, unp
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"), usable=~held_out("_id"))
-    rows = toxicity.score(packed(docs, text=F.col("text")), model).where("score < 0.5")
-    return unpacked(rows, docs.columns)
+    others = [c for c in docs.columns if c != "text"]  # the text goes through the stage by itself, once
+    rows = toxicity.score(packed(docs, others, text=F.col("text")), model).where("score < 0.5")
+    return unpacked(rows, others, text=F.col("text")).select(*map(named, docs.columns))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    others = [c for c in docs.columns if c != "text"]  # the text goes through the stage by itself, once
+    others = [c for c in docs.columns if c != "text"]
     rows = line_dedup.dedup_lines(packed(docs, others, doc_id=F.col("doc_id"), text=F.col("text")))
     return unpacked(rows, others, text=F.col("text"), n_chars=F.length("text").cast("long")).select(*map(named, docs.columns))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 import weakref
 
@@ -100,9 +101,14 @@ def unpacked(df: DataFrame, columns: list[str], **made: Column) -> DataFrame:
     return df.select(*out, *[c.alias(n) for n, c in left.values()])
 
 
-def python_ready(spark: SparkSession, rows: int = 1000) -> None:
-    """Before a Python operator: the package is on the workers, and Arrow batches have fewer rows than Spark's default of 10,000, so that a batch of long texts fits beside the JVM. A smaller setting stays."""
+def python_ready(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Before a Python operator: the package is on the workers, and Arrow batches have fewer rows and bytes than Spark's defaults, so that a batch of long texts fits beside the JVM. Smaller settings stay."""
     ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    units = {"b": 0, "k": 10, "kb": 10, "m": 20, "mb": 20, "g": 30, "gb": 30}
+    number, unit = re.fullmatch(r"(-?\d+)\s*([a-z]*)", spark.conf.get(key, "64m").strip().lower()).groups()
+    if not 0 < int(number) << units.get(unit, 0) <= size:
+        spark.conf.set(key, f"{size}b")
