@@ -34,12 +34,48 @@ def src08(spark: SparkSession, d: str) -> DataFrame:
     return raw.select("doc_id", F.sha2(S.decoded(F.col("raw")), 256).alias("h"))
 
 
-@query("src07_html_text", None)
+@query("src07_html_text", r"SELECT page_id, 'html' AS method, substr(trim(regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')), 1, 20000) AS text FROM pages")
 def src07(spark: SparkSession, d: str) -> DataFrame:
     raw = frame(spark, d, "pages").select("page_id", F.encode("html", "UTF-8").alias("raw"), F.lit("text").alias("kind"))
     return S.extracted(raw, "raw", "kind").select("page_id", "method", "text")
 
 
+def packed_office(texts: list[str], kind: str) -> bytes:
+    """A small office file with a line for each text, or a row of them."""
+    from xml.sax.saxutils import escape
+
+    parts = {
+        "docx": {"word/document.xml": "<w:document xmlns:w='w'><w:body>" + "".join(f"<w:p><w:r><w:t>{escape(t)}</w:t></w:r></w:p>" for t in texts) + "</w:body></w:document>"},
+        "pptx": {f"ppt/slides/slide{k + 1}.xml": f"<p:sld xmlns:p='p' xmlns:a='a'><a:p><a:r><a:t>{escape(t)}</a:t></a:r></a:p></p:sld>" for k, t in enumerate(texts)},
+        "xlsx": {
+            "xl/workbook.xml": "<workbook><sheets><sheet name='One'/></sheets></workbook>",
+            "xl/sharedStrings.xml": "<sst>" + "".join(f"<si><t>{escape(t)}</t></si>" for t in texts) + "</sst>",
+            "xl/worksheets/sheet1.xml": "<worksheet><sheetData><row>" + "".join(f"<c t='s'><v>{k}</v></c>" for k in range(len(texts))) + "<c><v>7</v></c></row></sheetData></worksheet>",
+        },
+        "odf": {"content.xml": "<office:body xmlns:office='o' xmlns:text='t'>" + "".join(f"<text:p>{escape(t[:3])}<text:span>{escape(t[3:])}</text:span></text:p>" for t in texts) + "</office:body>"},
+    }[kind]
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        for name, xml in parts.items():
+            z.writestr(name, xml)
+    return b.getvalue()
+
+
+@query("src07_rich_text", """SELECT page_id, CASE page_id % 6 WHEN 0 THEN 'docx' WHEN 1 THEN 'pptx' WHEN 2 THEN 'xlsx' WHEN 3 THEN 'odf' WHEN 4 THEN 'pdf' ELSE 'none' END AS method,
+  CASE page_id % 6 WHEN 2 THEN 'One' || chr(10) || url || ' | second | 7' WHEN 4 THEN 'read ' || page_id WHEN 5 THEN NULL ELSE url || chr(10) || 'second' END AS text FROM pages""")
+def src07_rich(spark: SparkSession, d: str) -> DataFrame:
+    ship(spark)
+
+    @F.pandas_udf("binary")
+    def made(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for ids, urls in batches:
+            yield pd.Series([packed_office([u, "second"], ("docx", "pptx", "xlsx", "odf")[i % 6]) if i % 6 < 4 else b"%PDF-" + str(i).encode() if i % 6 == 4 else b"PK broken" for i, u in zip(ids, urls)])
+
+    kind = F.when(F.col("page_id") % 6 == 1, "pptx").when(F.col("page_id") % 6 == 2, "xlsx").when(F.col("page_id") % 6 == 4, "pdf").otherwise("docx")
+    raw = frame(spark, d, "pages").select("page_id", made("page_id", "url").alias("raw"), kind.alias("kind"))
+    return S.extracted(raw, "raw", "kind", readers={"pdf": lambda b: "read " + b[5:].decode()}).select("page_id", "method", "text")
+
+
 @query("src10_archive_listing", sql("files", "SELECT folder, len(n) AS n_names, array_to_string(list_sort(n)[1:5], ',') AS head FROM (SELECT folder, list(DISTINCT filename) AS n FROM files GROUP BY folder) x"))
 def src10(spark: SparkSession, d: str) -> DataFrame:
     ship(spark)

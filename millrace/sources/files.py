@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import os
+import re
 import stat
 import zipfile
 from collections.abc import Iterator
@@ -18,6 +19,7 @@ from pyspark.sql.types import StringType
 
 from millrace.functions import text as T
 from millrace.session import ship, written
+from millrace.sources.rich import Reader, text_in
 
 
 def entries(folder: str) -> Iterator[tuple[str, str, int, int]]:
@@ -149,35 +151,27 @@ def archives(df: DataFrame, content: str, limit: int = 20) -> DataFrame:
     return df.withColumn("_a", run(F.col(content))).withColumns({"names": F.col("_a.names"), "n_names": F.col("_a.n")}).drop("_a")
 
 
-def extracted(df: DataFrame, content: str, kind: str, max_chars: int = 20_000) -> DataFrame:
-    """`df` with text and method: plain text and code are decoded, HTML loses its tags, text inside OOXML files is read from their XML. Other kinds have no text; one file that can't be read is a row without text, never a failure."""
+def extracted(df: DataFrame, content: str, kind: str, max_chars: int = 20_000, readers: dict[str, Reader] | None = None) -> DataFrame:
+    """`df` with text and method: plain text and code are decoded, HTML loses its tags, text inside office files is read from their XML. Kinds that need a reader of their own (images, old formats, PDF) have text where one is given or found.
+    One file that can't be read is a row without text, never a failure."""
     ship(df.sparkSession)
 
     @F.pandas_udf("text string, method string")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for raws, kinds in batches:
-            got = [text_of(bytes(b), k, max_chars) if b is not None else (None, "none") for b, k in zip(raws, kinds)]
+            got = [text_of(bytes(b), k, max_chars, readers) if b is not None else (None, "none") for b, k in zip(raws, kinds)]
             yield pd.DataFrame({"text": pd.Series([g[0] for g in got], dtype=object), "method": [g[1] for g in got]})
 
     return df.withColumn("_x", run(F.col(content), F.col(kind))).withColumns({"text": F.col("_x.text"), "method": F.col("_x.method")}).drop("_x")
 
 
-def text_of(raw: bytes, kind: str, max_chars: int) -> tuple[str | None, str]:
-    import re
-
-    if kind in ("text", "code"):
-        found = sniffed(raw[: 4 * max_chars])
-        if found is not None and re.match(r"\s*<(!doctype|html)", found, re.I):
-            return re.sub(r"\s+", " ", re.sub(r"(?s)<(script|style).*?</\1>|<[^>]*>", " ", found)).strip()[:max_chars], "html"
-        return (found[:max_chars], "plain") if found is not None else (None, "none")
-    if kind in ("docx", "pptx", "xlsx"):
-        try:
-            z = zipfile.ZipFile(io.BytesIO(raw))
-            parts = [n for n in sorted(z.namelist()) if re.match(r"word/document\.xml|ppt/slides/slide\d+\.xml|xl/sharedStrings\.xml", n)]
-            return re.sub(r"\s+", " ", " ".join(re.sub(r"<[^>]*>", " ", z.read(n).decode("utf-8", "replace")) for n in parts)).strip()[:max_chars], kind
-        except (zipfile.BadZipFile, OSError, KeyError):
-            return None, "none"
-    return None, "none"
+def text_of(raw: bytes, kind: str, max_chars: int, readers: dict[str, Reader] | None = None) -> tuple[str | None, str]:
+    if kind not in ("text", "code") or (readers and kind in readers):
+        return text_in(raw, kind, max_chars, readers)
+    found = sniffed(raw[: 4 * max_chars])
+    if found is not None and re.match(r"\s*<(!doctype|html)", found, re.I):
+        return re.sub(r"\s+", " ", re.sub(r"(?s)<(script|style).*?</\1>|<[^>]*>", " ", found)).strip()[:max_chars], "html"
+    return (found[:max_chars], "plain") if found is not None else (None, "none")
 
 
 def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -64,6 +64,21 @@ def test_texts_and_archives():
     assert S.text_of(b"<html><script>no</script><p>a <b>b</b></p>", "text", 100) == ("a b", "html") and S.text_of(b"x", "image", 9) == (None, "none") and S.text_of(b"x", "docx", 9) == (None, "none")
 
 
+def test_office_files():
+    from millrace.plans.q_sources import packed_office
+    from millrace.sources.rich import text_in
+
+    assert text_in(packed_office([f"line {i}" for i in range(12)], "pptx"), "pptx", 1000)[0].split("\n")[10] == "line 10"
+    assert text_in(packed_office(["abcdef", "gh"], "docx"), "docx", 4) == ("abcd", "docx")
+    assert text_in(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1 old", "docx", 9)[0] is None and text_in(b"x", "image", 9, {"image": lambda b: "seen"}) == ("seen", "image")
+    rows = "".join(f"<table:table-row><table:table-cell><text:p>r{i}</text:p></table:table-cell><table:table-cell/></table:table-row>" for i in range(300))
+    b = io.BytesIO()
+    with zipfile.ZipFile(b, "w") as z:
+        z.writestr("content.xml", f"<o:body xmlns:o='o' xmlns:table='t' xmlns:text='x'><o:spreadsheet><table:table table:name='S'>{rows}</table:table></o:spreadsheet></o:body>")
+    text, method = text_in(b.getvalue(), "xlsx", 10_000)
+    assert method == "odf" and text.split("\n")[:2] == ["S", "r0"] and len(text.split("\n")) == 201
+
+
 def test_jsonl_round_trip_with_line_separators(spark, tmp_path):
     df = spark.createDataFrame([(1, "a\u2028b"), (2, None)], "i int, s string")
     sinks.jsonl(df, str(tmp_path / "x"), ["i"])
