@@ -125,3 +125,64 @@ def test_no_column_name_is_reserved(spark):
     df = spark.createDataFrame([(1, "some text", "en", *names)], "doc_id long, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
     for got in (language_id.identify(df, language_id.learn(df)), toxicity.score(df, toxicity.learn(df, df.selectExpr("doc_id", "1 AS toxic", "`_id`", "`_y`")))):
         assert got.columns[:10] == df.columns and got.first()[:10] == df.first()
+
+
+def test_language_query_against_brute_force(spark):
+    """Every text of the table by single n-grams in a loop, with the profiles that the query learns."""
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    profiles = language_id.learn(docs, usable=~held_out("doc_id"))
+    got = {r.doc_id: r for r in language_id.op1(spark, sf).collect()}
+    assert len(got) == docs.count()
+    grams = {}
+
+    def gram(g):
+        if g not in grams:
+            v = np.ones(language_id.DIM, np.int64)
+            for place, c in enumerate(g):
+                v = v * np.roll(language_id.letter(ord(c) if c else 0), language_id.N - 1 - place)
+            grams[g] = v
+        return grams[g]
+
+    low = lambda c: (c.lower() if len(c.lower()) == 1 else c) if c.isalpha() else ""
+    for r in docs.select("doc_id", "text").collect():
+        x = ["", *map(low, (r.text or "")[:]), ""]
+        found = [tuple(x[i - 1 : i + 2]) for i in range(1, len(x) - 1) if x[i]]
+        if not found:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+            continue
+        total = sum(gram(g) for g in found)
+        e = profiles.sharpness * (profiles.vectors @ (total / np.linalg.norm(total)))
+        best = int(np.argmax(e))
+        assert got[r.doc_id].lang_pred == profiles.names[best] and abs(got[r.doc_id].score - 1 / np.exp(e - e[best]).sum()) < 1e-5
+
+
+def test_toxicity_query_against_brute_force(spark):
+    """Every text of the table by single character n-grams in a loop, with the model that the query learns."""
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    model = toxicity.learn(docs, table(spark, sf, "labels"), usable=~held_out("_id"))
+    got = {r.doc_id: r for r in toxicity.op2(spark, sf).collect()}
+    assert len(got) == docs.count()
+    weights, m32 = {}, 0xFFFFFFFF
+
+    def weight(g):
+        if g not in weights:
+            h = ord(g[0]) if g[0] else 0
+            for c in g[1:]:
+                h = (h * 0x01000193 + (ord(c) if c else 0)) & m32
+            h = ((h ^ (h >> 15)) * 0x9E3779B1 + len(g)) & m32
+            weights[g] = float(model.weight[h >> (32 - toxicity.BITS)])
+        return weights[g]
+
+    low = lambda c: (c.lower() if len(c.lower()) == 1 else c) if c.isalnum() else ""
+    for r in docs.select("doc_id", "text").collect():
+        x = ["", *map(low, r.text or ""), ""]
+        total, n = 0.0, 0
+        for size in toxicity.SIZES:
+            for i in range(len(x) - size + 1):
+                g = tuple(x[i : i + size])
+                if all(g[1:-1]):
+                    total, n = total + weight(g), n + 1
+        p = 1 / (1 + np.exp(-(total / (n + model.pad) + model.bias)))
+        assert abs(got[r.doc_id].score - p) < 1e-6 and got[r.doc_id].predicted == int(p >= 0.5)
