@@ -117,6 +117,11 @@ def canonical_broken(dups: DataFrame) -> DataFrame:
     return up_.join(dups.select(F.col("folder").alias("_up")), "_up", "left_semi").select("folder", "duplicate_of").distinct()
 
 
+def chains(dups: DataFrame) -> DataFrame:
+    """Duplicate folders whose canonical folder is itself a duplicate: none may be."""
+    return dups.join(dups.select(F.col("folder").alias("duplicate_of")), "duplicate_of", "left_semi").select("folder", "duplicate_of")
+
+
 def same_day(files: DataFrame, decisions: DataFrame, max_size: int = 20) -> DataFrame:
     """(folder, day, size, shas): groups of 2 to max_size contents of one folder and day, in folders with more than one day."""
     rows = files.where("sha IS NOT NULL").join(decisions.select("sha"), "sha", "left").select("folder", F.substring("mtime", 1, 10).alias("day"), "sha")

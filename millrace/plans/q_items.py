@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions.parse import prompt, resource
 from millrace.operators import items as I
 from millrace.operators import tree
 from millrace.plans.fixtures import frame, sql
@@ -175,16 +176,31 @@ def prj03(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("sha", F.size("paths").cast("long").alias("n_paths"), F.size("matched_paths").cast("long").alias("n_matched"), "source_path", "size")
 
 
-@query("prj05_prompt", sql("files", "SELECT file_id, replace(replace('File {name} of {size} bytes', '{name}', filename), '{size}', size::VARCHAR) AS prompt FROM files"))
+TEMPLATE = 'Semester {{SEMESTER}}, {{SUBJECT}} {"sha": "{{SHA}}"}\nAllowed: {{CATEGORIES}}\n{{FILENAME}} ({{EXTENSION}}, {{KIND}}, {{SIZE}} bytes)\nAt: {{PATHS}}\nWhy: {{REASONS}}\n{{HEAD}}{{OTHER}}'
+
+
+@query("prj05_prompt", sql("files content decisions", r"""WITH f AS (SELECT sha, list_sort(list(package || '/' || relpath))[1:10] AS p, arg_min(filename, file_id) AS filename, min(size) AS size, arg_min(text, file_id) AS t FROM files WHERE sha IS NOT NULL GROUP BY sha)
+SELECT d.sha, concat('Semester ', semester, ', ', subject, ' {"sha": "', d.sha, '"}', chr(10), 'Allowed: wyklady, laby', chr(10), filename, ' (', coalesce(nullif(lower(regexp_extract(filename, '\.[^.]*$')), ''), '(none)'), ', ', kind, ', ', size, ' bytes)', chr(10), 'At: ', array_to_string(p, ', '), chr(10),
+  'Why: ', CASE WHEN needs_review = 1 THEN 'review' ELSE '(none)' END, chr(10), coalesce(nullif(substr(t, 1, 200), ''), '(none)'), '{{OTHER}}') AS prompt FROM decisions d JOIN f ON f.sha = d.sha JOIN content c ON c.sha = d.sha"""))
 def prj05(spark: SparkSession, d: str) -> DataFrame:
-    return frame(spark, d, "files").select("file_id", F.replace(F.replace(F.lit("File {name} of {size} bytes"), F.lit("{name}"), F.col("filename")), F.lit("{size}"), F.col("size").cast("string")).alias("prompt"))
+    made: dict = {}
+    path = F.concat_ws("/", "package", "relpath")
+    f = frame(spark, d, "files", made).where("sha IS NOT NULL").groupBy("sha").agg(F.slice(F.array_sort(F.collect_list(path)), 1, 10).alias("p"), F.min_by("filename", "file_id").alias("filename"), F.min("size").alias("size"), F.min_by(F.substring("text", 1, 200), "file_id").alias("head"))
+    rows = frame(spark, d, "decisions", made).join(f, "sha").join(frame(spark, d, "content", made).select("sha", "kind"), "sha")
+    values = {
+        "SEMESTER": F.col("semester"), "SUBJECT": F.col("subject"), "SHA": F.col("sha"), "CATEGORIES": F.lit("wyklady, laby"), "FILENAME": F.col("filename"), "EXTENSION": F.lower(F.regexp_extract("filename", r"\.[^.]*$", 0)),
+        "KIND": F.col("kind"), "SIZE": F.col("size"), "PATHS": F.array_join("p", ", "), "REASONS": F.when(F.col("needs_review") == 1, "review"), "HEAD": F.col("head"),
+    }
+    return rows.select("sha", prompt(TEMPLATE, values).alias("prompt"))
 
+#: Addresses of every shape.
+_SHAPES = "CASE page_id % 10 WHEN 0 THEN 'https://docs.example/document/d/' || i || '/edit' WHEN 1 THEN 'https://docs.example/spreadsheets/d/' || i WHEN 2 THEN 'x/presentation/d/' || i || '#s' WHEN 3 THEN 'https://d.example/embeddedfolderview?x=1&id=' || i WHEN 4 THEN 'https://d.example/drive/folders/' || i || '?usp=1' WHEN 5 THEN 'https://d.example/file/d/' || i || '/view' WHEN 6 THEN 'https://d.example/uc?id=' || i WHEN 7 THEN 'https://d.example/open?id=' || i WHEN 8 THEN ' ' || i || ' ' ELSE url END"
 
-@query("prj07_url_parts", r"SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, CASE WHEN regexp_matches(url, '/[0-9]+') THEN regexp_extract(url, '/([0-9]+)', 1) END AS id, CASE WHEN contains(url, '.html') THEN 'file' WHEN contains(url, '?') THEN 'query' ELSE 'folder' END AS kind FROM pages")
-def prj07(spark: SparkSession, d: str) -> DataFrame:
-    u = F.col("url")
-    return frame(spark, d, "pages").select("page_id", F.regexp_extract(u, "^([a-z]+)://", 1).alias("scheme"), F.when(u.rlike("/[0-9]+"), F.regexp_extract(u, "/([0-9]+)", 1)).alias("id"), F.when(u.contains(".html"), "file").when(u.contains("?"), "query").otherwise("folder").alias("kind"))
 
+@query("prj07_url_parts", f"SELECT page_id, CASE WHEN r < 9 THEN ['doc', 'sheet', 'slide', 'folder', 'folder', 'file', 'file', 'unknown', 'unknown'][r + 1] ELSE 'unknown' END AS kind, nullif(regexp_extract(t, '([-0-9A-Za-z_]*' || page_id || ')($|[^-0-9A-Za-z_])', 1), CASE WHEN r = 9 THEN regexp_extract(t, '([-0-9A-Za-z_]*' || page_id || ')($|[^-0-9A-Za-z_])', 1) ELSE '' END) AS id FROM (SELECT page_id, page_id % 10 AS r, trim({_SHAPES}) AS t FROM (SELECT *, 'ab-C_' || lpad(page_id::VARCHAR, 20, 'z') AS i FROM pages) x) y")
+def prj07(spark: SparkSession, d: str) -> DataFrame:
+    p = frame(spark, d, "pages").withColumn("i", F.concat(F.lit("ab-C_"), F.lpad(F.col("page_id").cast("string"), 20, "z")))
+    return p.select("page_id", resource(F.expr(_SHAPES)).alias("r")).select("page_id", "r.kind", "r.id")
 
 @query("src03_skip_filter", sql("files", "SELECT file_id, CASE WHEN starts_with(n, '.') THEN 'hidden' WHEN lower(n) IN ('thumbs.db', 'desktop.ini') OR starts_with(n, '~$') THEN 'ignored' WHEN file_id % 50 = 7 THEN 'symlink' END AS reason FROM (SELECT file_id, CASE file_id % 10 WHEN 0 THEN '.' || filename WHEN 1 THEN 'Thumbs.db' WHEN 2 THEN '~$' || filename ELSE filename END AS n FROM files) x"))
 def src03(spark: SparkSession, d: str) -> DataFrame:

@@ -105,8 +105,7 @@ def win02(spark: SparkSession, d: str) -> DataFrame:
 
 @query("joi03_duplicate_chain", sql("files", f"WITH {CLEAN_HASHES} SELECT d.folder, d.duplicate_of FROM dups d JOIN dups t ON t.folder = d.duplicate_of"))
 def joi03(spark: SparkSession, d: str) -> DataFrame:
-    x = dups(spark, d, {})
-    return x.join(x.select(F.col("folder").alias("duplicate_of")), "duplicate_of", "left_semi").select("folder", "duplicate_of")
+    return tree.chains(dups(spark, d, {}))
 
 
 @query("gra06_canonical_not_under_duplicate", sql("files", f"WITH {CLEAN_HASHES} SELECT DISTINCT d.folder, d.duplicate_of FROM dups d JOIN dups u ON d.duplicate_of = u.folder OR starts_with(d.duplicate_of, u.folder || '/')"))

@@ -282,4 +282,5 @@ def test_ground_truth_reuses_hashes_and_spares_manual_decisions(spark):
 def test_canonical_folder_under_a_duplicate_and_chains_are_reported(spark):
     d = spark.createDataFrame([("P/b", "Q/a/c"), ("Q/a", "R"), ("R", "S")], "folder string, duplicate_of string")
     assert {r.folder for r in tree.canonical_broken(d).collect()} == {"P/b", "Q/a"}
+    assert [tuple(r) for r in tree.chains(d).collect()] == [("Q/a", "R")]
 

@@ -85,3 +85,14 @@ def test_languages(spark):
     df = spark.createDataFrame([("a.PY", "code"), ("a.py", "pdf"), ("x/.py", None), ("b.h", ""), ("c.unknown", "text"), ("d", None), ("e.tar.toml", None)], "f string, k string")
     assert [r[0] for r in df.select(source_language(F.col("f"), F.col("k"))).collect()] == ["python", None, None, "c", None, None, "ini"]
 
+
+def test_prompts_and_addresses(spark):
+    from millrace.functions.parse import prompt, resource
+
+    df = spark.createDataFrame([("{{B}}", None)], "a string, b string")
+    assert df.select(prompt("{{A}}-{{B}}-{{C}} {x}", {"A": F.col("a"), "B": F.col("b")})).first()[0] == "{{B}}-(none)-{{C}} {x}"
+    i = "a" * 20
+    rows = {f"https://d/document/d/{i}/e": ("doc", i), f"x/folders/{i}?a=1": ("folder", i), f"https://d/uc?export=1&id={i}": ("file", i), f"https://d/?id={i}": ("unknown", i), f" {i} ": ("unknown", i), "short": ("unknown", None), "": ("unknown", None)}
+    got = spark.createDataFrame([(k,) for k in rows], "u string").select("u", resource(F.col("u")).alias("r")).collect()
+    assert {r.u: (r.r.kind, r.r.id) for r in got} == rows
+
