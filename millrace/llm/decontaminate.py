@@ -218,23 +218,25 @@ def _sql_tokens(name: str, source: str, key: str) -> str:
 {name}_arr AS (SELECT k, list(c ORDER BY i) AS c, list(v ORDER BY i) AS v, count(*) AS n FROM {name}_typed WHERE c <> '' GROUP BY k)"""
 
 
-def _sql_windows(name: str, starts: str) -> str:
+def _sql_slots(name: str, source: str) -> str:
     return f"""
-{name}_win AS (
-  SELECT k, s AS pos, c[s + 1 : s + w] AS c, v[s + 1 : s + w] AS v FROM ({starts})),
-{name}_ok AS (
+{name} AS (
   SELECT k, pos, array_to_string(c, ' ') AS tpl, list_filter(list_transform(range(1, len(c) + 1), lambda j: CASE WHEN starts_with(c[j], '<') THEN v[j] END), lambda x: x IS NOT NULL) AS slots
-  FROM {name}_win WHERE len(list_filter(c, lambda x: NOT starts_with(x, '<'))) >= ceil(len(c) / 2.0) + 1)"""
+  FROM {source} WHERE len(list_filter(c, lambda x: NOT starts_with(x, '<'))) >= ceil(len(c) / 2.0) + 1)"""
 
 
 SQL = f"""
-WITH {_sql_tokens("b", "benchmark", "item_id")},{_sql_windows("b", "SELECT k, c, v, least(n, 8) AS w, unnest(range(n - least(n, 8) + 1)) AS s FROM b_arr WHERE n > 1")},
-lens AS (SELECT DISTINCT len(string_split(tpl, ' ')) AS w FROM b_ok),
-{_sql_tokens("d", "documents", "doc_id")},{_sql_windows("d", "SELECT k, c, v, w, unnest(range(n - w + 1)) AS s FROM d_arr, lens WHERE n >= w")},
+WITH {_sql_tokens("b", "benchmark", "item_id")},
+b_win AS (SELECT k, s AS pos, c[s + 1 : s + w] AS c, v[s + 1 : s + w] AS v, false AS one FROM (SELECT k, c, v, least(n, 8) AS w, unnest(range(n - least(n, 8) + 1)) AS s FROM b_arr WHERE n > 1)
+  UNION ALL SELECT k, 0, list_concat(['<name>'], c[2:]), v, true FROM b_arr WHERE n BETWEEN 2 AND 8 AND k IN (SELECT k FROM b_raw WHERE i = 0 AND regexp_matches(x, '^\\p{{Lu}}\\p{{Ll}}'))),{_sql_slots("b_ok", "b_win")},
+bare AS (SELECT DISTINCT k, array_to_string(v, ' ') AS words, len(v) AS w FROM b_win WHERE one OR k NOT IN (SELECT k FROM b_ok)),
+{_sql_tokens("d", "documents", "doc_id")},
+d_win AS (SELECT k, s AS pos, c[s + 1 : s + w] AS c, v[s + 1 : s + w] AS v FROM (SELECT k, c, v, w, unnest(range(n - w + 1)) AS s FROM d_arr, (SELECT DISTINCT len(string_split(tpl, ' ')) AS w FROM b_ok UNION SELECT w FROM bare) WHERE n >= w)),{_sql_slots("d_ok", "d_win")},
 met AS (
   SELECT d.k AS doc_id, b.k AS item_id, d.pos, b.slots = d.slots AS exact,
     list_distinct(list_transform(range(1, len(b.slots) + 1), lambda j: b.slots[j] || chr(0) || d.slots[j])) AS p, list_distinct(b.slots) AS pb, list_distinct(d.slots) AS pd
-  FROM d_ok d JOIN b_ok b ON d.tpl = b.tpl)
+  FROM d_ok d JOIN b_ok b ON d.tpl = b.tpl
+  UNION ALL SELECT d.k, bare.k, d.pos, true, [], [], [] FROM d_win d JOIN bare ON array_to_string(d.v, ' ') = words AND len(d.v) = w)
 SELECT doc_id, item_id, count(DISTINCT pos) AS n_windows, count(DISTINCT CASE WHEN exact THEN pos END) AS n_exact,
   CASE WHEN bool_or(exact) THEN 'verbatim' ELSE 'reparameterised' END AS kind
 FROM met WHERE len(p) = len(pb) AND len(p) = len(pd) GROUP BY doc_id, item_id

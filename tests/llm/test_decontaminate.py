@@ -135,3 +135,20 @@ def test_first_word_of_a_short_item_in_mid_line(spark, docs):
     rows = [(1, "we then Divide the sum of apples by 7"), (2, "so Divide the sum of apples by 9"), (3, "see Short item here"), (4, "Divide the sum of apples by 7")]
     found = got(spark, docs, rows, items)
     assert set(found) == {(1, 0), (2, 0), (3, 1), (4, 0)} and found[2, 0][1] == 0 < found[1, 0][1]
+
+
+def test_the_sql_states_the_same_rows(spark, docs):
+    """Items of numbers, one window, capitalised first words and shared templates, against the SQL of the query."""
+    import duckdb
+    import pandas as pd
+
+    items = ITEMS + [(10, "What is 12 + 7 ?"), (11, "Compute 3 x 4 x 5"), (12, "12 + 7 - 4"), (13, "Divide the sum of apples by 7"), (14, "Short item."), (15, "Die Summe der Zahlen 3 und 4 aus Berlin und Hamburg Nord"), (16, "word")]
+    rows = ROWS[:-1] + [(100 + i, f"he says: {t} and More, {t}") for i, t in items] + [(200, "we Divide the sum of apples by 9"), (201, "What is 12 + 8 ?"), (202, "see Short item here")]
+    c = duckdb.connect()
+    c.register("benchmark", pd.DataFrame(items, columns=["item_id", "text"]))
+    c.register("documents", pd.DataFrame(rows, columns=["doc_id", "text"]))
+    want = c.execute(D.SQL).df()
+    found = D.leaks(docs(rows), spark.createDataFrame(items, "item_id long, text string")).toPandas()
+    as_set = lambda df: set(df[["doc_id", "item_id", "n_windows", "n_exact", "kind"]].itertuples(index=False, name=None))
+    assert as_set(found) == as_set(want) and len(want) > 15
+
