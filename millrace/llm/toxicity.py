@@ -21,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +83,23 @@ def decoded(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(steps, dtype=np.int32), counts
 
 
+@dataclass
+class Packed:
+    """Bags in the order of `places`, unpacked one at a time."""
+
+    column: pa.ChunkedArray
+    places: list[int]
+
+    def __iter__(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        return (decoded(self.column[k].as_py()) for k in self.places)
+
+
+def _sample(rows: pa.Table) -> tuple[Packed, np.ndarray]:
+    """Bags and labels of a table (draw, y, bag), in the same order on every run."""
+    order = pc.sort_indices(rows, [("draw", "ascending"), ("y", "ascending")]).to_numpy()
+    return Packed(rows.column("bag"), order.tolist()), rows.column("y").to_numpy()[order]
+
+
 @dataclass
 class Model:
     """weight: the embedding of each bucket times the difference of the classes' weights; bias: of their biases. pad: n-grams without meaning that are added to every text's mean, so that a few words don't decide."""
@@ -103,22 +121,26 @@ class Model:
 
 
 def train(bags: Iterable[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *, steps: int = 3000, batch: int = 32, rate: float = 2.0, scale: float = 100.0, min_docs: int = 3, min_share: float = 0.005, decay: float = 3e-4, pad: int = 40, seed: int = 7) -> Model:
-    """Gradient descent over the texts' bags on the embeddings and the softmax weights together. `scale` multiplies the mean; buckets in fewer than min_docs texts, or less than min_share of them, are left out: they only learn single texts by heart."""
+    """Gradient descent over the texts' bags, which are read twice, on the embeddings and the softmax weights together. `scale` multiplies the mean; buckets in fewer than min_docs texts, or less than min_share of them, are left out: they only learn single texts by heart."""
     size = 1 << BITS
     labels = np.asarray(labels, float)
     if len(labels) == 0 or labels.min() == labels.max():
         p = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(size, np.float32), float(np.clip(np.log((p + 1e-9) / (1 - p + 1e-9)), -20, 20)), pad)
-    docs, seen = [], np.zeros(size, np.int32)
-    for ids, n in bags:
+    seen = np.zeros(size, np.int32)
+    for ids, _ in bags:
         seen[ids] += 1
-        docs.append((ids, (scale * n / (n.sum(dtype=np.int64) + pad)).astype(np.float32)))
     used = np.flatnonzero(seen >= max(min_docs, min_share * len(labels)))
     place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    for k, (ids, w) in enumerate(docs):
+    # the driver's memory is held by the sample: places and counts in as few bytes as they need, weights made when a text's turn comes
+    docs, factor, kind = [], np.empty(len(labels)), np.uint16 if len(used) <= 1 << 16 else np.int32
+    for k, (ids, n) in enumerate(bags):
         at = place[ids]
-        docs[k] = (at[at >= 0], w[at >= 0])
+        own = n[at >= 0]
+        docs.append((at[at >= 0].astype(kind), own.astype(np.uint16) if len(own) and own.max() < 1 << 16 else own))
+        factor[k] = scale / (n.sum(dtype=np.int64) + pad)
+    del bags
     rng = np.random.default_rng(seed)
     e = np.zeros((len(used), DIM), np.float32)
     u = (rng.normal(0, 1, DIM) / np.sqrt(DIM)).astype(np.float32)  # the difference of the classes' weights: all that a two-way softmax depends on
@@ -129,7 +151,7 @@ def train(bags: Iterable[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *,
         order = rng.permutation(len(docs))
         for k in range(0, len(order), batch):
             rows = order[k : k + batch]
-            ids, w = np.concatenate([docs[r][0] for r in rows]), np.concatenate([docs[r][1] for r in rows])
+            ids, w = np.concatenate([docs[r][0] for r in rows]), np.concatenate([(docs[r][1] * factor[r]).astype(np.float32) for r in rows])
             owner = np.repeat(np.arange(len(rows)), [len(docs[r][0]) for r in rows])
             p = 1 / (1 + np.exp(-np.clip(np.bincount(owner, w * (e @ u)[ids], len(rows)) + b, -30, 30)))
             err = ((p - labels[rows]) / len(rows)).astype(np.float32)
@@ -178,8 +200,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     cells = bags.agg(F.sum("cells").alias("c")).first()["c"] or 0
     if cells > max_train_cells:
         bags = bags.where(F.pmod("draw", F.lit(1_000_000)) < max_train_cells / cells * 1e6)
-    got = bags.select("draw", "y", "bag").toArrow().sort_by([("draw", "ascending"), ("y", "ascending")])
-    return train((decoded(b.as_py()) for b in got.column("bag")), got.column("y").to_numpy())
+    return train(*_sample(bags.select("draw", "y", "bag").toArrow()))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", to: str = "score") -> DataFrame:
