@@ -33,7 +33,7 @@ from millrace.llm.common import bounded, forget, materialise, named, packed, pyt
 from millrace.llm.components import components
 from millrace.llm.text_arrays import flat, groups, mix, shingles, words_by_row
 
-TOKENS, ROOTS, BRANCHES, DEPTH, SMALL, BLOCK_DOCS = 64, 12, 2, 8, 1024, 512
+TOKENS, ROOTS, BRANCHES, DEPTH, SMALL, BLOCK_DOCS = 64, 12, 2, 8, 512, 512
 ATTACH, CORE, REACH, CENTRAL = 0.45, 0.75, 0.08, 64
 _ODD = (mix(np.arange(TOKENS, dtype=np.uint64), 3) | np.uint64(1))[None, :]
 _XOR = mix(np.arange(TOKENS, dtype=np.uint64), 5)[None, :]
