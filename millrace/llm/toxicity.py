@@ -4,8 +4,8 @@ A text is the bag of the character n-grams (3 to 6, with word boundaries) of its
 is the mean of their embeddings, so a misspelling that was never seen, or an unknown ending, shares most of its n-grams with known words. As
 the classifier is linear in the mean, scoring needs one number a bucket: the embedding times the difference of the two classes' weights.
 
-The model learns from a bounded sample of the labelled rows: max_train_rows, a third of them toxic at most, chosen by a hash whatever their length. Whole texts become bags where they are; only bags, a number a bucket, come to the
-driver, and if those of the sample together have more than max_train_cells buckets, a hash takes a smaller share of the rows. Every text is scored whole, long ones in pieces. Null, empty and letterless texts get the model's bias. Labels other than 0 and 1, and null
+The model learns from a bounded sample of the labelled rows: max_train_rows, a third of them toxic at most, chosen by a hash whatever their length. Whole texts become bags where they are; if
+those of the sample together have more than max_train_cells buckets, a hash takes a smaller share of the rows. One task trains on them, and only the model, a number a bucket, comes to the driver. Every text is scored whole, long ones in pieces. Null, empty and letterless texts get the model's bias. Labels other than 0 and 1, and null
 labels, aren't learned from; rows repeated in labels count once. With no labelled row, or one class only, every score is the share of label 1 (0 without any). Input columns named like the output are replaced, and all others stay.
 """
 
@@ -133,7 +133,7 @@ def train(bags: Iterable[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *,
     used = np.flatnonzero(seen >= max(min_docs, min_share * len(labels)))
     place = np.full(size, -1, np.int32)
     place[used] = np.arange(len(used))
-    # the driver's memory is held by the sample: places and counts in as few bytes as they need, weights made when a text's turn comes
+    # memory is held by the sample: places and counts in as few bytes as they need, weights made when a text's turn comes
     docs, factor, kind = [], np.empty(len(labels)), np.uint16 if len(used) <= 1 << 16 else np.int32
     for k, (ids, n) in enumerate(bags):
         at = place[ids]
@@ -169,7 +169,7 @@ def train(bags: Iterable[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, *,
 
 
 def _give_back() -> None:
-    """Return freed memory to the system where the C library can: the driver lives on after training."""
+    """Return freed memory to the system where the C library can: a worker lives on after training."""
     gc.collect()
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
@@ -200,7 +200,15 @@ def learn(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: s
     cells = bags.agg(F.sum("cells").alias("c")).first()["c"] or 0
     if cells > max_train_cells:
         bags = bags.where(F.pmod("draw", F.lit(1_000_000)) < max_train_cells / cells * 1e6)
-    return train(*_sample(bags.select("draw", "y", "bag").toArrow()))
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("draw", pa.int64()), ("y", pa.int32()), ("bag", pa.binary())])
+        model = train(*_sample(pa.Table.from_batches([b.cast(schema) for b in batches], schema)))
+        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(model.weight.tobytes(), 1)], pa.binary()), pa.array([model.bias])], ["weight", "bias"])
+
+    # one task trains on the bounded sample, beside the executors' memory and not in the driver's; only the model comes here
+    row = bags.select("draw", F.col("y").cast("int").alias("y"), "bag").repartition(1).mapInArrow(fitted, "weight binary, bias double").first()
+    return Model(np.frombuffer(zlib.decompress(row["weight"]), np.float32), row["bias"]) if row is not None else train([], np.array([]))
 
 
 def score(docs: DataFrame, model: Model, *, text: str = "text", to: str = "score") -> DataFrame:
