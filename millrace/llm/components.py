@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import forget, materialise, small_side
+from millrace.llm.common import forget, materialise
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -13,17 +13,17 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star steps: every step keeps the components, and the links end as stars around the smallest
     node after a number of rounds that grows with the logarithm of the size; the loop ends when a round changes nothing. A node keeps one link to its smallest neighbour, so
-    hubs cost no more than their links; minima combine before the shuffle, and are written and broadcast if few, else joined on their own, so that adaptive execution can split the links of a hub.
+    hubs cost no more than their links; minima combine before the shuffle and are written, so that Spark knows their size and broadcasts them if they are few; else they are joined on their own, and adaptive execution can split the links of a hub.
     """
     edges = materialise(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
     last = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("c"), F.least("u", "m").alias("m")), "low")
-        large = both.join(small_side(low, low.count()), F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(low, F.col("u") == F.col("c")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialise(large, "large-star")
         low2 = materialise(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "c"), "low")
-        small = large.join(small_side(low2, low2.count()), F.col("u") == F.col("c"))
+        small = large.join(low2, F.col("u") == F.col("c"))
         old, edges = edges, materialise(small.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u <> v").distinct(), "stars")
         forget(old, low, large, low2)
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
