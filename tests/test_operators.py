@@ -291,7 +291,7 @@ def test_canonical_folder_under_a_duplicate_and_chains_are_reported(spark):
 def test_equal_pairs_keep_dictionaries(spark, tmp_path):
     rows = [(hashlib.sha256(f"{v}-{i}".encode()).hexdigest(), f"h{v}") for v in range(12) for i in range(60)] + [("alone", "h99"), ("none", None), ("empty", "")]
     pairs = S.equal_pairs(spark.createDataFrame(rows, "sha string, text_hash string"), "text_hash", block=20)
-    pairs.write.option("parquet.dictionary.page.size", 16384).parquet(str(tmp_path / "pairs"))
+    pairs.write.option("parquet.dictionary.page.size", 16384).option("compression", "uncompressed").parquet(str(tmp_path / "pairs"))
     got = sorted(map(tuple, spark.read.parquet(str(tmp_path / "pairs")).collect()))
     assert got == sorted((a, b) for a, u in rows for b, w in rows if u and u == w and a < b) and len(got) == 12 * 60 * 59 // 2
     # two values of 64 characters a pair; a task's few blocks fit a dictionary
