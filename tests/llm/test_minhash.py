@@ -118,3 +118,20 @@ def test_components_of_a_chain_and_a_star(spark):
     links = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7)]
     got = dict(components(spark.createDataFrame(links, "a long, b long")).collect())
     assert got == {**dict.fromkeys(range(51), 0), **dict.fromkeys(range(100, 130), 100)}
+
+
+def test_few_links_take_one_task_and_no_rounds(spark, monkeypatch):
+    from millrace.llm import components as C
+
+    chain = list(range(1, 200))
+    random.Random(3).shuffle(chain)
+    links = [*zip(chain, chain[1:]), *((500, i) for i in range(501, 560)), (700, 700), (801, 800), (800, 801), (801, 800)]
+    want = {**{i: 1 for i in chain}, **{i: 500 for i in range(500, 560)}, 800: 800, 801: 800}
+    written, materialise = [], C.materialise
+    monkeypatch.setattr(C, "materialise", lambda df, label: written.append(label) or materialise(df, label))
+    df = spark.createDataFrame(links, "a long, b long")
+    rows = [tuple(r) for r in C.components(df).collect()]
+    assert written == ["links"] and len(rows) == len(want) and dict(rows) == want
+    assert C.components(df.where("a < 0")).collect() == []
+    rows = [tuple(r) for r in C.components(df, in_one=0).collect()]  # the loop, for more links than a task takes
+    assert len(written) > 5 and len(rows) == len(want) and dict(rows) == want
